@@ -139,9 +139,10 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     Result: ``case_id, e_factor, a_factor, places`` (arrays by column) and ``tolerant``, the one
     column that may differ by rounding, or null.
     """
-    cell = F.col("cell")
-    flat = rows.select("case_id", "side", F.posexplode("cells").alias("col_no", "cell")).select(
-        "case_id", "side", "col_no", cell["num"].alias("num"), cell["txt"].isNotNull().alias("text")
+    flat = (
+        rows.select("case_id", "side", F.posexplode("cells").alias("col_no", "cell"))
+        .select("case_id", "side", "col_no", _unpercent(F.col("cell")).alias("cell"))
+        .select("case_id", "side", "col_no", "cell.num", F.col("cell.txt").isNotNull().alias("text"))
     )
     per_side = flat.groupBy("case_id", "col_no", "side").agg(
         F.max(F.abs("num")).alias("top"),
@@ -234,8 +235,10 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
     carry rounding noise, rows that still differ are compared by rank within ``tol`` units, the
     rest of the row being equal. Returns ``case_id, diff_rows`` with 0 for equal.
     """
-    plain = rows.select("case_id", "side", F.transform("cells", _unpercent).alias("cells"))
-    joined = plain.join(column_scales(plain, digits), "case_id")
+    joined = rows.join(column_scales(rows, digits), "case_id").select(
+        "case_id", "side", F.transform("cells", _unpercent).alias("cells"),
+        "e_factor", "a_factor", "places", "tolerant",
+    )
 
     def code(cell: Column, i: Column) -> Column:
         factor = F.when(F.col("side") == "expected", F.col("e_factor")[i]).otherwise(F.col("a_factor")[i])
@@ -244,13 +247,14 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
         number = F.concat(F.lit("n"), F.coalesce(units.cast("string"), F.concat(F.lit("~"), x.cast("string"))))
         return F.coalesce(number, F.concat(F.lit("t"), cell["txt"]), F.lit("z"))
 
-    weighed = (
+    weighed = materialise(
         joined.select("case_id", "side", "tolerant", F.transform("cells", code).alias("codes"))
         .groupBy("case_id", "codes", "tolerant")
         .agg(
             F.count(F.when(F.col("side") == "expected", 1)).alias("n_e"),
             F.count(F.when(F.col("side") == "actual", 1)).alias("n_a"),
-        )
+        ),
+        "scaled-rows",
     )
     exact = diffs(weighed)
     value = F.try_element_at("codes", F.col("tolerant") + 1)

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from concord.operators import parity, results
+from concord.session import materialise
 
 # rule, expected, actual that is equal, actual that is not, level that decides
 PAIRS = [
@@ -45,7 +46,8 @@ def judge(spark, pairs, profile):
     )
     e_rows, e_sides = results.rows_from_json(df, "case_id", "expected", "e", profile)
     a_rows, a_sides = results.rows_from_json(df, "case_id", "actual", "a", profile)
-    out = parity.verdicts(e_rows.union(a_rows), e_sides.union(a_sides), profile)
+    rows, sides = materialise(e_rows.union(a_rows), "rows"), materialise(e_sides.union(a_sides), "sides")
+    out = parity.verdicts(rows, sides, profile)
     return {r.case_id: r for r in out.collect()}
 
 
