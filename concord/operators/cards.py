@@ -124,16 +124,17 @@ def schema_cards(
     )
 
 
-def sample_text(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+def sample_text(df: DataFrame, n: int, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """One row ``card``: the first ``n`` rows under a header, right-justified, each value followed by a space."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"v{i}") for i, c in enumerate(df.columns)]
+    columns = list(columns or df.columns)
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns]
     # At most n rows from here on.
     first = df.orderBy(*order).limit(n).select(F.struct(*order).alias("k"), F.array(*texts).alias("r"))
     rows = first.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]).alias("rows"))
-    header = F.array(*[F.lit(c) for c in df.columns])
+    header = F.array(*[F.lit(c) for c in columns])
     everything = F.concat(F.array(header), F.col("rows"))
     widths = F.array(*[
-        F.array_max(F.transform(everything, lambda r: F.length(F.get(r, F.lit(i))))) for i in range(len(df.columns))
+        F.array_max(F.transform(everything, lambda r: F.length(F.get(r, F.lit(i))))) for i in range(len(columns))
     ])
     line = lambda r: F.array_join(
         F.transform(r, lambda v, i: F.concat(F.lpad(v, F.greatest(F.get(F.col("widths"), i), F.length(v)), " "), F.lit(" "))), ""
