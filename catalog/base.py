@@ -34,7 +34,7 @@ def sql_strip(x: str) -> str:
 
 
 def sql_units(x: str, digits: int = 2) -> str:
-    """Exact half-even rounding of a double to units, as in the library."""
+    """Exact half-even rounding of a double to units, by the sign of the error in every row."""
     s = f"{10**digits}::DOUBLE"
     p = f"({x}*{s})"
     hi = f"({x}*134217729::DOUBLE-({x}*134217729::DOUBLE-{x}))"

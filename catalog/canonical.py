@@ -49,10 +49,11 @@ def _canon_sql(profile: str) -> str:
 
 
 def _canon_cells(spark, sf_dir, profile):
-    events = table(spark, sf_dir, "events").select("event_id", F.expr(_MESSY.format(text="STRING")).alias("raw"))
-    cell = canon.canon_cell(F.col("raw"), F.lit("string"), profile)
+    raw = canon.strip("(" + _MESSY.format(text="STRING") + ")")
+    events = table(spark, sf_dir, "events").select("event_id", F.expr(raw).alias("raw"))
+    cell = F.expr(canon.canon_cell("raw", "'string'", profile))
     return events.select("event_id", cell.alias("cell")).select(
-        "event_id", canon.round_number(F.col("cell.num")).alias("num"), F.col("cell.txt").alias("txt")
+        "event_id", F.expr(canon.round_number("cell.num")).alias("num"), F.col("cell.txt").alias("txt")
     )
 
 
@@ -78,8 +79,8 @@ def canon_round(spark, sf_dir):
     """Rounding of products and of exact ties."""
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        canon.round_units(F.expr(_CHARGE)).alias("charge_units"),
-        canon.round_units(F.col("l_quantity") / 8).alias("eighth_units"),
+        F.expr(canon.round_units(f"({_CHARGE})")).alias("charge_units"),
+        F.expr(canon.round_units("(l_quantity / 8D)")).alias("eighth_units"),
     )
 
 
@@ -106,10 +107,11 @@ def canon_lineitem(spark, sf_dir):
     """All cells of lineitem through the long table and its canonical form, summed up by column."""
     lines = table(spark, sf_dir, "lineitem")
     cells = results.to_cells(lines, F.lit("lineitem"), "expected", lines.columns)
-    cell = canon.canon_cell(F.col("raw"), F.col("kind"))
+    cell = F.expr(canon.canon_cell("raw", "kind"))
     return (
-        cells.select("col_no", "kind", cell.alias("cell"))
-        .select("col_no", "kind", canon.round_units(F.col("cell.num")).alias("units"), F.col("cell.txt").alias("txt"))
+        cells.select("col_no", "kind", F.expr(canon.strip("raw")).alias("raw"))
+        .select("col_no", "kind", cell.alias("cell"))
+        .select("col_no", "kind", F.expr(canon.round_units("cell.num")).alias("units"), F.col("cell.txt").alias("txt"))
         .groupBy("col_no", "kind")
         .agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.max("txt").alias("last_text"))
     )
@@ -180,8 +182,9 @@ _COLLECTION = """CASE event_id % 5
         FROM events""",
 )
 def parse_arrays(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(
-        "event_id", canon.parse_collection(F.expr(_COLLECTION.format(text="STRING"))).alias("v")
+    texts = table(spark, sf_dir, "events").select("event_id", F.expr(_COLLECTION.format(text="STRING")).alias("t"))
+    events = texts.select(
+        "event_id", F.expr(canon.parse_collection("t")).alias("v")
     )
     kind = F.schema_of_variant("v")
     items = F.transform(

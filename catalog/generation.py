@@ -166,7 +166,7 @@ def column_profile(spark, sf_dir):
     "sample_card",
     """WITH first AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS a, c_name AS b, coalesce(CAST(nullif(c_nationkey, 0) AS VARCHAR), 'None') AS c
         FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 12),
-    w AS (SELECT greatest(9, max(length(a))) AS wa, greatest(6, max(length(b))) AS wb, greatest(11, max(length(c))) AS wc FROM first),
+    w AS (SELECT CAST(greatest(9, max(length(a))) AS INTEGER) AS wa, CAST(greatest(6, max(length(b))) AS INTEGER) AS wb, CAST(greatest(11, max(length(c))) AS INTEGER) AS wc FROM first),
     lines AS (SELECT 0 AS o, 0.0 AS bal, 0 AS k, lpad('c_custkey', wa, ' ') || ' ' || lpad('c_name', wb, ' ') || ' ' || lpad('c_nationkey', wc, ' ') || ' ' AS line FROM w
         UNION ALL SELECT 1, -customer.c_acctbal, first.c_custkey, lpad(a, wa, ' ') || ' ' || lpad(b, wb, ' ') || ' ' || lpad(c, wc, ' ') || ' ' FROM first, w, customer
         WHERE customer.c_custkey = first.c_custkey)

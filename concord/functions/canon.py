@@ -1,15 +1,17 @@
-"""Canonical cell values, as column expressions.
+"""Canonical cell values, as SQL expression texts.
 
 A canonical cell is ``struct<num: double, txt: string>``: a number, a text, or neither (null).
 Its *code* is one tagged string used as a comparison key: ``n<units>`` for a number counted in
 units of ``10**-digits``, ``t<text>`` for text, ``z`` for null. Number-like text is always a number,
 so two cells are equal under the rules exactly when their codes are equal.
+
+Every function takes and returns SQL text, for use in ``expr``: the expressions are applied to many
+columns and inside lambdas, and one parsed text is far cheaper to plan than a tree built call by
+call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CELL_TYPE = "struct<num: double, txt: string>"
@@ -35,183 +37,195 @@ PERCENT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*%$"
 
 PROFILES = ("strict", "lenient")
 
-# Beyond this many units a double has no fractional digits left to round.
-_EXACT_UNITS = float(2**53)
+# From this many units on, a double has no fractional digits left to round.
+_EXACT_UNITS = 2**53
+
 
+def _words(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
-def strip(c: Column) -> Column:
-    """Remove leading and trailing white space of every kind (SQL ``trim`` knows spaces only)."""
-    return F.trim(c, F.lit(WHITESPACE))
 
+def strip(x: str) -> str:
+    """Remove leading and trailing white space of every kind (plain ``trim`` knows spaces only)."""
+    return f"trim(BOTH '{WHITESPACE}' FROM {x})"
 
-def round_units(x: Column, digits: int = 2) -> Column:
-    """Number of ``10**-digits`` units in ``x``, rounded half to even on the exact binary value.
 
-    The double product ``x * scale`` carries a rounding error, which is recovered exactly by
-    splitting ``x`` into two 26-bit halves; ties and near-ties then fall the right way, as a
-    decimal rounding of the stored value would. Null when ``x`` has no fraction to round.
+def round_units(x: str, digits: int = 2) -> str:
+    """Number of ``10**-digits`` units in a double, rounded half to even on its exact binary value.
+
+    The product ``x * scale`` can only mislead where it lands on a half; there its rounding error,
+    recovered exactly by splitting ``x`` into two 26-bit halves, tells on which side the value lies,
+    as a decimal rounding of the stored value would. Null when ``x`` has no fraction to round.
     """
-    scale = F.lit(float(10**digits))
-    p = x * scale
-    head = x * F.lit(134217729.0)  # 2**27 + 1
-    hi = head - (head - x)
-    err = (hi * scale - p) + (x - hi) * scale
-    k = F.rint(p)
-    over = ((p - k) - F.lit(0.5)) + err
-    under = ((p - k) + F.lit(0.5)) + err
-    odd = F.pmod(k, F.lit(2.0)) == 1.0
-    units = (
-        F.when((over > 0) | ((over == 0) & odd), k + 1)
-        .when((under < 0) | ((under == 0) & odd), k - 1)
-        .otherwise(k)
+    s = f"{10**digits}D"
+    p = f"({x} * {s})"
+    hi = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    err = f"(({hi} * {s} - {p}) + ({x} - {hi}) * {s})"
+    return (
+        f"CASE WHEN abs({p}) < {_EXACT_UNITS}D THEN CASE WHEN abs({p} - rint({p})) = 0.5D AND {err} <> 0D "
+        f"THEN CASE WHEN {err} > 0D THEN ceil({p}) ELSE floor({p}) END ELSE CAST(rint({p}) AS BIGINT) END END"
     )
-    return F.when(F.abs(p) < _EXACT_UNITS, units.cast("bigint"))
 
 
-def round_number(x: Column, digits: int = 2) -> Column:
-    """``x`` rounded half to even at ``digits`` places."""
-    return F.coalesce(round_units(x, digits) / F.lit(float(10**digits)), x)
+def round_number(x: str, digits: int = 2) -> str:
+    """A double rounded half to even at ``digits`` places."""
+    return f"coalesce({round_units(x, digits)} / {10**digits}D, {x})"
 
 
-def number_code(x: Column, digits: int = 2) -> Column:
-    units = round_units(x, digits).cast("string")
-    return F.concat(F.lit("n"), F.coalesce(units, F.concat(F.lit("~"), x.cast("string"))))
+def number_code(x: str, digits: int = 2) -> str:
+    return f"concat('n', coalesce(CAST({round_units(x, digits)} AS STRING), concat('~', CAST({x} AS STRING))))"
 
 
-def day_text(t: Column) -> Column:
+def day_text(t: str) -> str:
     """Day of a date-like text as ``yyyy-MM-dd``; null when it is not a date.
 
     Accepted: year-month-day with dashes or slashes and an optional time part, and
     month/day/year (day/month/year where the first number cannot be a month).
     """
-    iso = F.regexp_replace(F.regexp_extract(t, r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}", 0), "/", "-")
-    month_first = F.regexp_replace(t, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2")
-    day_first = F.regexp_replace(t, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$2-$1")
+    iso = f"replace(regexp_extract({t}, r'^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}', 0), '/', '-')"
+    swap = lambda order: f"try_cast(regexp_replace({t}, r'^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})$', '{order}') AS DATE)"
     return (
-        F.when(t.rlike(ISO_DAY), iso.try_cast("date"))
-        .when(t.rlike(SLASH_DAY), F.coalesce(month_first.try_cast("date"), day_first.try_cast("date")))
-        .cast("string")
+        f"CAST(CASE WHEN {t} RLIKE r'{ISO_DAY}' THEN try_cast({iso} AS DATE) "
+        f"WHEN {t} RLIKE r'{SLASH_DAY}' THEN coalesce({swap('$3-$1-$2')}, {swap('$3-$2-$1')}) END AS STRING)"
     )
 
 
-def clock_text(t: Column) -> Column:
+def clock_text(t: str) -> str:
     """``7:05`` and ``07:05:00`` in one form."""
-    padded = F.when(F.length(F.substring_index(t, ":", 1)) == 1, F.concat(F.lit("0"), t)).otherwise(t)
-    return F.when(F.length(padded) == 5, F.concat(padded, F.lit(":00"))).otherwise(padded)
+    return f"lpad(CASE WHEN length({t}) <= 5 THEN concat({t}, ':00') ELSE {t} END, 8, '0')"
 
 
-def exact_integer_text(t: Column) -> Column:
+def exact_integer_text(t: str) -> str:
     """Digits of an integer text that no double holds exactly; null for all others.
 
     Such integers (long identifiers, mostly) stay text, so that two neighbours never merge.
     """
-    exact = t.try_cast("decimal(38,0)")
-    nearest = t.try_cast("double").try_cast("decimal(38,0)")
-    return F.when(t.rlike(LONG_INTEGER) & (exact != nearest), exact.cast("string"))
+    exact = f"try_cast({t} AS DECIMAL(38,0))"
+    return (
+        f"CASE WHEN {t} RLIKE r'{LONG_INTEGER}' AND {exact} <> try_cast(try_cast({t} AS DOUBLE) AS DECIMAL(38,0)) "
+        f"THEN CAST({exact} AS STRING) END"
+    )
 
 
-def _long_text(c: Column) -> Column:
+def _long_text(c: str) -> str:
     """The same for an integer column."""
-    back = c.cast("double").cast("decimal(38,0)")
-    return F.when(back != c.cast("decimal(38,0)"), c.cast("string"))
-
-
-def _text_num(t: Column, profile: str) -> Column:
-    num = F.when(t.rlike(NUMBER) & exact_integer_text(t).isNull(), t.try_cast("double"))
-    if profile == "lenient":
-        word = F.lower(t)
-        num = num.when(word.isin(*TRUE_WORDS), F.lit(1.0)).when(word.isin(*FALSE_WORDS), F.lit(0.0))
-    return num
+    return f"CASE WHEN CAST(CAST({c} AS DOUBLE) AS DECIMAL(38,0)) <> {c} THEN CAST({c} AS STRING) END"
 
 
-def _text_txt(t: Column, profile: str) -> Column:
-    """Text part of a stripped text cell; null where it is a number or a null word."""
-    txt = F.when(t.rlike(NUMBER), exact_integer_text(t))
-    if profile == "lenient":
-        word = F.lower(t)
-        txt = txt.when(word.isin(*NULL_WORDS, *TRUE_WORDS, *FALSE_WORDS), F.lit(None).cast("string"))
-        txt = txt.when(t.rlike(CLOCK), clock_text(t))
-    return txt.when(t.contains("-") | t.contains("/"), F.coalesce(day_text(t), t)).otherwise(t)
-
-
-def canon_text(raw: Column, profile: str = "strict") -> Column:
-    """Canonical cell of a text value.
+def text_number(t: str, profile: str = "strict") -> str:
+    """The number a stripped text stands for, or null.
 
     ``strict`` is the coded normalisation: numbers, days, stripped text. ``lenient`` adds boolean
-    words, null words and clock times.
+    words here, and null words and clock times to the text part.
     """
+    words = ""
+    if _checked(profile) == "lenient":
+        words = f"WHEN lower({t}) IN ({_words(TRUE_WORDS)}) THEN 1D WHEN lower({t}) IN ({_words(FALSE_WORDS)}) THEN 0D "
+    number = f"CASE WHEN ({exact_integer_text(t)}) IS NULL THEN try_cast({t} AS DOUBLE) END"
+    return f"CASE WHEN {t} RLIKE r'{NUMBER}' THEN {number} {words}END"
+
+
+def text_text(t: str, profile: str = "strict") -> str:
+    """The text part of a stripped text; null where it is a number or a null word."""
+    words = ""
+    if _checked(profile) == "lenient":
+        words = (
+            f"WHEN lower({t}) IN ({_words(NULL_WORDS + TRUE_WORDS + FALSE_WORDS)}) THEN NULL "
+            f"WHEN {t} RLIKE r'{CLOCK}' THEN {clock_text(t)} "
+        )
+    return (
+        f"CASE WHEN {t} RLIKE r'{NUMBER}' THEN {exact_integer_text(t)} {words}"
+        f"WHEN contains({t}, '-') OR contains({t}, '/') THEN coalesce({day_text(t)}, {t}) ELSE {t} END"
+    )
+
+
+def _checked(profile: str) -> str:
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}")
-    t = strip(raw)
-    return F.struct(_text_num(t, profile).alias("num"), _text_txt(t, profile).alias("txt"))
+    return profile
+
 
+def _cell(num: str, txt: str) -> str:
+    return f"named_struct('num', {num}, 'txt', {txt})"
 
-def _no_nan(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
 
+def _no_nan(x: str) -> str:
+    return f"nanvl({x}, NULL)"
 
-def canon_cell(raw: Column, kind: Column, profile: str = "strict") -> Column:
-    """Canonical cell of a value given as text with its kind.
+
+def canon_cell(t: str, kind: str, profile: str = "strict") -> str:
+    """Canonical cell of a value given as stripped text with its kind.
 
     Kinds are ``number``, ``string``, ``bool``, ``date``, ``timestamp`` and ``null``.
     """
-    t = strip(raw)
-    number = _no_nan(F.when(exact_integer_text(t).isNull(), t.try_cast("double")))
+    number = f"CASE WHEN ({exact_integer_text(t)}) IS NULL THEN {_no_nan(f'try_cast({t} AS DOUBLE)')} END"
     num = (
-        F.when(kind == "string", _text_num(t, profile))
-        .when(kind == "number", number)
-        .when(kind == "bool", (F.lower(t) == "true").cast("double"))
+        f"CASE {kind} WHEN 'number' THEN {number} WHEN 'string' THEN {text_number(t, profile)} "
+        f"WHEN 'bool' THEN CAST(lower({t}) = 'true' AS DOUBLE) END"
     )
     txt = (
-        F.when(kind == "string", _text_txt(t, profile))
-        .when(kind == "number", exact_integer_text(t))
-        .when(kind.isin("date", "timestamp"), F.coalesce(day_text(t), t))
+        f"CASE WHEN {kind} = 'number' THEN {exact_integer_text(t)} WHEN {kind} = 'string' THEN {text_text(t, profile)} "
+        f"WHEN {kind} IN ('date', 'timestamp') THEN coalesce({day_text(t)}, {t}) END"
     )
-    return F.struct(num.alias("num"), txt.alias("txt"))
+    return _cell(num, txt)
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+_NO_NUM, _NO_TXT = "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
+_TIMES = (T.TimestampType, T.TimestampNTZType)
+
+
+def is_plain(dtype: T.DataType) -> bool:
+    """Whether a type needs no reading as text: numbers, booleans, dates, timestamps."""
+    return isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, *_TIMES))
 
 
-def canon_column(c: Column, dtype: T.DataType, profile: str = "strict") -> Column:
-    """Canonical cell of a typed column: only the branch its type needs, so it stays in codegen."""
-    none_num, none_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
+def plain_cell(c: str, dtype: T.DataType) -> str:
+    """Canonical cell of a column of a plain type."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.struct(_no_nan(c.cast("double")).alias("num"), none_txt.alias("txt"))
+        return _cell(_no_nan(f"CAST({c} AS DOUBLE)"), _NO_TXT)
     if isinstance(dtype, T.LongType):
         exact = _long_text(c)
-        return F.struct(F.when(exact.isNull(), c.cast("double")).alias("num"), exact.alias("txt"))
-    if isinstance(dtype, (T.IntegralType, T.DecimalType, T.BooleanType)):
-        return F.struct(c.cast("double").alias("num"), none_txt.alias("txt"))
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.struct(none_num.alias("num"), F.date_format(c, "yyyy-MM-dd").alias("txt"))
-    if isinstance(dtype, T.StringType):
-        return canon_text(c, profile)
-    return canon_text(to_text(c, dtype), profile)
-
-
-def column_code(c: Column, dtype: T.DataType, profile: str = "strict", digits: int = 2) -> Column:
-    """Code of a typed column, by the shortest expression for its type."""
-    null_code = F.lit("z")
+        return _cell(f"CASE WHEN ({exact}) IS NULL THEN CAST({c} AS DOUBLE) END", exact)
+    if isinstance(dtype, (T.DateType, *_TIMES)):
+        return _cell(_NO_NUM, f"CAST(CAST({c} AS DATE) AS STRING)")
+    return _cell(f"CAST({c} AS DOUBLE)", _NO_TXT)
+
+
+def plain_code(c: str, dtype: T.DataType, digits: int = 2) -> str:
+    """Code of a column of a plain type, by the shortest expression."""
+    unit = 10**digits
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
-        units = c.cast("bigint") * F.lit(10**digits)
-        return F.coalesce(F.concat(F.lit("n"), units.cast("string")), null_code)
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.concat(F.lit("t"), c.cast("date").cast("string")), null_code)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.coalesce(number_code(_no_nan(c.cast("double")), digits), null_code)
+        return f"coalesce(concat('n', CAST(CAST({c} AS BIGINT) * {unit} AS STRING)), 'z')"
     if isinstance(dtype, T.LongType):
-        small = F.abs(c) < F.lit(int(_EXACT_UNITS) // 10**digits)
-        units = F.concat(F.lit("n"), (c * F.lit(10**digits)).cast("string"))
-        exact = F.concat(F.lit("t"), _long_text(c))
-        return F.when(small, units).otherwise(F.coalesce(exact, number_code(c.cast("double"), digits), null_code))
-    if isinstance(dtype, T.DecimalType):
-        return F.coalesce(number_code(c.cast("double"), digits), null_code)
-    return cell_code(canon_column(c, dtype, profile), digits)
+        small = f"{c} BETWEEN {-(_EXACT_UNITS // unit) + 1} AND {_EXACT_UNITS // unit - 1}"
+        large = f"coalesce(concat('t', {_long_text(c)}), {number_code(f'CAST({c} AS DOUBLE)', digits)}, 'z')"
+        return f"CASE WHEN {small} THEN concat('n', CAST({c} * {unit} AS STRING)) ELSE {large} END"
+    if isinstance(dtype, (T.DateType, *_TIMES)):
+        return f"coalesce(concat('t', CAST(CAST({c} AS DATE) AS STRING)), 'z')"
+    x = c if isinstance(dtype, T.DoubleType) else f"CAST({c} AS DOUBLE)"
+    return f"CASE WHEN isnan({x}) OR {c} IS NULL THEN 'z' ELSE {number_code(x, digits)} END"
+
+
+def text_cell(t: str, x: str, profile: str = "strict") -> str:
+    """Canonical cell of a stripped text whose number is ``x``."""
+    return _cell(x, text_text(t, profile))
+
+
+def text_code(t: str, x: str, profile: str = "strict", digits: int = 2) -> str:
+    """Code of a stripped text whose number is ``x``."""
+    return f"CASE WHEN {x} IS NOT NULL THEN {number_code(x, digits)} ELSE coalesce(concat('t', {text_text(t, profile)}), 'z') END"
 
 
-def to_text(c: Column, dtype: T.DataType) -> Column:
+def to_text(field: T.StructField) -> str:
     """Text of any value; nested values as JSON."""
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(c)
-    return c.cast("string")
+    c = quote(field.name)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return f"to_json({c})"
+    return f"CAST({c} AS STRING)"
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -221,33 +235,32 @@ def kind_of(dtype: T.DataType) -> str:
         return "number"
     if isinstance(dtype, T.DateType):
         return "date"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, _TIMES):
         return "timestamp"
     return "string"
 
 
-def cell_code(cell: Column, digits: int = 2) -> Column:
+def cell_code(cell: str, digits: int = 2) -> str:
     """The comparison key of a canonical cell."""
-    num, txt = cell["num"], cell["txt"]
-    return F.coalesce(number_code(num, digits), F.concat(F.lit("t"), txt), F.lit("z"))
+    num, txt = f"{cell}.num", f"{cell}.txt"
+    return f"CASE WHEN {num} IS NOT NULL THEN {number_code(num, digits)} ELSE coalesce(concat('t', {txt}), 'z') END"
 
 
 # --- texts that hold collections -----------------------------------------------------------
 
-_SINGLE_QUOTED = r"'((?:[^'\\]|\\.)*)'"
+_SINGLE_QUOTED = r"\x27((?:[^\x27\\]|\\.)*)\x27"
 
 
-def parse_collection(c: Column) -> Column:
+def parse_collection(x: str) -> str:
     """Variant value of a text that looks like a list, tuple or dict; null where it is not one.
 
     Tried as JSON first, then with single quotes, parentheses and the words None, True and False
     rewritten to their JSON forms.
     """
-    t = strip(c)
-    looks = t.rlike(r"(?s)^(\[.*\]|\{.*\}|\(.*\))$")
-    plain = F.regexp_replace(t, _SINGLE_QUOTED, '"$1"')
-    plain = F.translate(plain, "()", "[]")
-    plain = F.regexp_replace(plain, r",\s*\]", "]")
+    t = strip(x)
+    plain = f"regexp_replace({t}, r'{_SINGLE_QUOTED}', '\"$1\"')"
+    plain = rf"regexp_replace(translate({plain}, '()', '[]'), r',\s*\]', ']')"
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
-        plain = F.regexp_replace(plain, rf"(?<=[\[,:\s{{]){word}(?=[\],\s}}])", json_word)
-    return F.when(looks, F.coalesce(F.try_parse_json(t), F.try_parse_json(plain)))
+        plain = rf"regexp_replace({plain}, r'(?<=[\[,:\s{{]){word}(?=[\],\s}}])', '{json_word}')"
+    looks = rf"{t} RLIKE r'(?s)^(\[.*\]|\{{.*\}}|\(.*\))$'"
+    return f"CASE WHEN {looks} THEN coalesce(try_parse_json({t}), try_parse_json({plain})) END"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concord.functions.canon import strip
+from concord.functions.canon import WHITESPACE
 
 # Words that mark an error message as a passing network failure.
 TRANSIENT_WORDS = (
@@ -25,6 +25,11 @@ TRANSIENT_CLASSES = (
     "InternalServerError", "BadGatewayError", "ServiceUnavailableError",
 )
 
+def strip(c: Column) -> Column:
+    """Remove leading and trailing white space of every kind."""
+    return F.trim(c, F.lit(WHITESPACE))
+
+
 UNCLASSIFIED = "Unclassified"
 
 _FENCE = r"(?s)```(.*?)(?:```|\z)"

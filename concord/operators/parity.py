@@ -74,33 +74,31 @@ def diff_flat(weighed: DataFrame) -> DataFrame:
 # --- tokens ----------------------------------------------------------------------------------
 
 
-def _plain_number(units: Column, digits: int) -> Column:
+def _plain_number(units: str, digits: int) -> str:
     unit = 10**digits
-    return F.when(
-        F.pmod(units, F.lit(unit)) == 0, (units / F.lit(unit)).cast("bigint").cast("string")
-    ).otherwise((units / F.lit(float(unit))).cast("string"))
+    return (
+        f"CASE WHEN {units} % {unit} = 0 THEN CAST({units} DIV {unit} AS STRING) "
+        f"ELSE CAST({units} / {unit}D AS STRING) END"
+    )
 
 
-def row_tokens(codes: Column, digits: int = 2) -> Column:
+def row_tokens(codes: str, digits: int = 2) -> Column:
     """Lower-case words of a coded row, cell borders ignored; numbers in one plain form."""
-    def words(code: Column) -> Column:
-        body = F.substring(code, 2, 2**31 - 1)
-        number = F.coalesce(_plain_number(body.try_cast("bigint"), digits), body)
-        return F.when(code == "z", F.lit("\x00")).when(code.startswith("n"), number).otherwise(F.lower(body))
-
-    split = F.split(F.array_join(F.transform(codes, words), " "), r"\s+")
-
-    def plain(token: Column) -> Column:
-        units = F.when(token.rlike(canon.NUMBER), canon.round_units(token.try_cast("double"), digits))
-        return F.coalesce(_plain_number(units, digits), token)
-
-    return F.transform(F.filter(split, lambda t: t != ""), plain)
+    body = "substring(c, 2)"
+    words = (
+        f"CASE WHEN c = 'z' THEN '\\0' WHEN startswith(c, 'n') THEN "
+        f"coalesce({_plain_number(f'try_cast({body} AS BIGINT)', digits)}, {body}) ELSE lower({body}) END"
+    )
+    split = f"split(array_join(transform({codes}, c -> {words}), ' '), r'\\s+')"
+    units = f"({canon.round_units('try_cast(t AS DOUBLE)', digits)})"
+    plain = f"CASE WHEN t RLIKE r'{canon.NUMBER}' THEN coalesce({_plain_number(units, digits)}, t) ELSE t END"
+    return F.expr(f"transform(filter({split}, t -> t <> ''), t -> {plain})")
 
 
 def diff_tokens(weighed: DataFrame, digits: int = 2) -> DataFrame:
     """Distinct token rows that only one side holds: ``Ann Lee`` against ``ann``, ``LEE``."""
     return (
-        weighed.select("case_id", row_tokens(F.col("codes"), digits).alias("codes"), "n_e", "n_a")
+        weighed.select("case_id", row_tokens("codes", digits).alias("codes"), "n_e", "n_a")
         .groupBy("case_id", "codes")
         .agg(F.max("n_e").alias("n_e"), F.max("n_a").alias("n_a"))
         .groupBy("case_id")
@@ -111,23 +109,22 @@ def diff_tokens(weighed: DataFrame, digits: int = 2) -> DataFrame:
 # --- scale -----------------------------------------------------------------------------------
 
 
-def _unpercent(cell: Column) -> Column:
+def _unpercent(cell: str) -> str:
     """A canonical cell with ``22.7%`` read as the number 22.7."""
-    txt = cell["txt"]
-    percent = txt.rlike(canon.PERCENT)
-    number = F.regexp_replace(txt, r"\s*%$", "").try_cast("double")
-    return F.struct(
-        F.when(percent, number).otherwise(cell["num"]).alias("num"), F.when(~percent, txt).alias("txt")
+    percent = f"{cell}.txt RLIKE r'{canon.PERCENT}'"
+    number = f"try_cast(regexp_replace({cell}.txt, r'\\s*%$', '') AS DOUBLE)"
+    return (
+        f"named_struct('num', CASE WHEN {percent} THEN {number} ELSE {cell}.num END, "
+        f"'txt', CASE WHEN {percent} THEN NULL ELSE {cell}.txt END)"
     )
 
 
-def _decimals(x: Column, digits: int) -> Column:
-    """Decimal places ``x`` shows, up to ``digits``."""
-    out = F.lit(digits)
-    for places in range(digits - 1, -1, -1):
-        shifted = x * F.lit(float(10**places))
-        out = F.when(F.abs(shifted - F.rint(shifted)) < 1e-6, F.lit(places)).otherwise(out)
-    return out
+def _decimals(x: str, digits: int) -> Column:
+    """Decimal places a number shows, up to ``digits``."""
+    tests = " ".join(
+        f"WHEN abs({x} * {10**places}D - rint({x} * {10**places}D)) < 1e-6D THEN {places}" for places in range(digits)
+    )
+    return F.expr(f"CASE WHEN {x} IS NULL THEN NULL {tests} ELSE {digits} END")
 
 
 def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
@@ -141,15 +138,15 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     """
     flat = (
         rows.select("case_id", "side", F.posexplode("cells").alias("col_no", "cell"))
-        .select("case_id", "side", "col_no", _unpercent(F.col("cell")).alias("cell"))
+        .select("case_id", "side", "col_no", F.expr(_unpercent("cell")).alias("cell"))
         .select("case_id", "side", "col_no", "cell.num", F.col("cell.txt").isNotNull().alias("text"))
     )
     per_side = flat.groupBy("case_id", "col_no", "side").agg(
         F.max(F.abs("num")).alias("top"),
         F.max("text").alias("text"),
         F.max(F.abs(F.col("num") - F.rint("num"))).alias("fraction"),
-        F.max(_decimals(F.col("num"), digits)).alias("plain_places"),
-        F.max(_decimals(F.col("num") * 100.0, digits)).alias("raised_places"),
+        F.max(_decimals("num", digits)).alias("plain_places"),
+        F.max(_decimals("(num * 100D)", digits)).alias("raised_places"),
     )
     by_side = lambda name, side: F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side[0]}_{name}")
     names = ("top", "text", "fraction", "plain_places", "raised_places")
@@ -184,11 +181,10 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def _coarse_units(x: Column, places: Column, digits: int) -> Column:
-    out = canon.round_units(x, digits)
-    for p in range(digits):
-        out = F.when(places == p, canon.round_units(x, p) * F.lit(10 ** (digits - p))).otherwise(out)
-    return out
+def _coarse_units(x: str, places: str, digits: int) -> str:
+    """Units of a number rounded at so many places."""
+    coarse = " ".join(f"WHEN {p} THEN ({canon.round_units(x, p)}) * {10 ** (digits - p)}" for p in range(digits))
+    return f"CASE {places} {coarse} ELSE {canon.round_units(x, digits)} END"
 
 
 def within_tolerance(values: DataFrame, tol: int = 1) -> DataFrame:
@@ -236,19 +232,21 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
     rest of the row being equal. Returns ``case_id, diff_rows`` with 0 for equal.
     """
     joined = rows.join(column_scales(rows, digits), "case_id").select(
-        "case_id", "side", F.transform("cells", _unpercent).alias("cells"),
-        "e_factor", "a_factor", "places", "tolerant",
+        "case_id", "side", "places", "tolerant",
+        F.expr(f"transform(cells, c -> {_unpercent('c')})").alias("cells"),
+        F.expr("CASE WHEN side = 'expected' THEN e_factor ELSE a_factor END").alias("factor"),
+    )
+    scaled = joined.select(
+        "case_id", "side", "places", "tolerant",
+        F.expr("transform(cells, (c, i) -> struct(c.num * get(factor, i) AS num, c.txt AS txt))").alias("cells"),
+    )
+    units = _coarse_units("c.num", "get(places, i)", digits)
+    code = (
+        f"CASE WHEN c.num IS NOT NULL THEN concat('n', coalesce(CAST({units} AS STRING), concat('~', CAST(c.num AS STRING)))) "
+        f"ELSE coalesce(concat('t', c.txt), 'z') END"
     )
-
-    def code(cell: Column, i: Column) -> Column:
-        factor = F.when(F.col("side") == "expected", F.col("e_factor")[i]).otherwise(F.col("a_factor")[i])
-        x = cell["num"] * factor
-        units = _coarse_units(x, F.col("places")[i], digits)
-        number = F.concat(F.lit("n"), F.coalesce(units.cast("string"), F.concat(F.lit("~"), x.cast("string"))))
-        return F.coalesce(number, F.concat(F.lit("t"), cell["txt"]), F.lit("z"))
-
     weighed = materialise(
-        joined.select("case_id", "side", "tolerant", F.transform("cells", code).alias("codes"))
+        scaled.select("case_id", "side", "tolerant", F.expr(f"transform(cells, (c, i) -> {code})").alias("codes"))
         .groupBy("case_id", "codes", "tolerant")
         .agg(
             F.count(F.when(F.col("side") == "expected", 1)).alias("n_e"),
@@ -257,14 +255,10 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
         "scaled-rows",
     )
     exact = diffs(weighed)
-    value = F.try_element_at("codes", F.col("tolerant") + 1)
-    units = F.substring(value, 2, 40).try_cast("bigint")
+    units = "try_cast(substring(get(codes, tolerant), 2) AS BIGINT)"
+    rest = f"transform(codes, (c, i) -> CASE WHEN i = tolerant AND startswith(c, 'n') AND {units} IS NOT NULL THEN 'n' ELSE c END)"
     loose = weighed.filter(F.col("tolerant").isNotNull() & (F.col("n_e") != F.col("n_a"))).select(
-        "case_id",
-        F.transform("codes", lambda c, i: F.when(i != F.col("tolerant"), c).otherwise(
-            F.when(c.startswith("n") & units.isNotNull(), F.lit("n")).otherwise(c))).alias("grp"),
-        F.coalesce(units, F.lit(0)).cast("bigint").alias("x"),
-        F.col("n_e"), F.col("n_a"),
+        "case_id", F.expr(rest).alias("grp"), F.expr(f"coalesce({units}, 0)").alias("x"), "n_e", "n_a"
     )
     near = within_tolerance(loose, tol).filter("ok").select("case_id", F.lit(True).alias("near"))
     return exact.join(near, "case_id", "left").select(

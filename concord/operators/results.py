@@ -41,14 +41,9 @@ def to_cells(
 ) -> DataFrame:
     """Long cell table of a result frame. ``row_no`` only names a row; it carries no order."""
     fields = _typed(df, values, case)
-    cells = F.array(
-        *[
-            F.struct(
-                canon.to_text(F.col(f.name), f.dataType).alias("raw"),
-                F.when(F.col(f.name).isNull(), F.lit("null")).otherwise(canon.kind_of(f.dataType)).alias("kind"),
-            )
-            for f in fields
-        ]
+    cells = ", ".join(
+        f"struct({canon.to_text(f)} AS raw, nvl2({canon.quote(f.name)}, '{canon.kind_of(f.dataType)}', 'null') AS kind)"
+        for f in fields
     )
     number = F.monotonically_increasing_id() if row_no is None else row_no
     number = F.col(number) if isinstance(number, str) else number
@@ -56,31 +51,56 @@ def to_cells(
         _case_column(case).alias("case_id"),
         F.lit(side).alias("side"),
         number.cast("bigint").alias("row_no"),
-        F.posexplode(cells).alias("col_no", "cell"),
+        F.posexplode(F.expr(f"array({cells})")).alias("col_no", "cell"),
     ).select("case_id", "side", "row_no", "col_no", "cell.raw", "cell.kind")
 
 
 def rows_from_cells(cells: DataFrame, profile: str = "strict") -> DataFrame:
     """Canonical rows from the long cell table: one shuffle on the row, never on the case."""
-    cell = canon.canon_cell(F.col("raw"), F.col("kind"), profile)
+    cell = F.expr(canon.canon_cell("raw", "kind", profile))
+    stripped = F.expr(canon.strip("raw")).alias("raw")
     return (
-        cells.select("case_id", "side", "row_no", "col_no", cell.alias("cell"))
+        cells.select("case_id", "side", "row_no", "col_no", stripped, "kind")
+        .select("case_id", "side", "row_no", "col_no", cell.alias("cell"))
         .groupBy("case_id", "side", "row_no")
         .agg(F.sort_array(F.collect_list(F.struct("col_no", "cell.num", "cell.txt"))).alias("c"))
         .select("case_id", "side", F.transform("c", lambda x: F.struct(x["num"], x["txt"])).alias("cells"))
     )
 
 
+def _per_column(df, case, side, fields, of_plain, of_text, profile) -> DataFrame:
+    """``case_id, side, v`` with one value per column.
+
+    Text columns are stripped and read as numbers in projections of their own, so that each is
+    worked out once however often the last expression refers to it.
+    """
+    plain = [canon.is_plain(f.dataType) for f in fields]
+    names = [f"v{i}" for i in range(len(fields))]
+    first = df.select(
+        _case_column(case).alias("case_id"), F.lit(side).alias("side"),
+        *[
+            F.expr(canon.quote(f.name) if p else canon.strip(canon.to_text(f))).alias(n)
+            for f, p, n in zip(fields, plain, names)
+        ],
+    )
+    if not all(plain):
+        first = first.select(
+            "*", *[F.expr(canon.text_number(n, profile)).alias(f"x{n}") for p, n in zip(plain, names) if not p]
+        )
+    values = [of_plain(n, f.dataType) if p else of_text(n, f"x{n}") for f, p, n in zip(fields, plain, names)]
+    return first.select("case_id", "side", F.expr(f"array({', '.join(values)})").alias("v"))
+
+
 def rows_from_frame(
     df: DataFrame, case: str | Column, side: str, values: Sequence[str] | None = None,
     profile: str = "strict",
 ) -> DataFrame:
     """Canonical rows straight from a frame: no shuffle, one expression per column type."""
-    cells = [canon.canon_column(F.col(f.name), f.dataType, profile) for f in _typed(df, values, case)]
-    return df.select(
-        _case_column(case).alias("case_id"), F.lit(side).alias("side"),
-        F.array(*cells).cast(f"array<{canon.CELL_TYPE}>").alias("cells"),
+    v = _per_column(
+        df, case, side, _typed(df, values, case), canon.plain_cell,
+        lambda t, x: canon.text_cell(t, x, profile), profile,
     )
+    return v.select("case_id", "side", F.col("v").cast(f"array<{canon.CELL_TYPE}>").alias("cells"))
 
 
 def coded_from_frame(
@@ -88,65 +108,59 @@ def coded_from_frame(
     profile: str = "strict", digits: int = 2,
 ) -> DataFrame:
     """Coded rows straight from a frame."""
-    codes = [canon.column_code(F.col(f.name), f.dataType, profile, digits) for f in _typed(df, values, case)]
-    return df.select(
-        _case_column(case).alias("case_id"), F.lit(side).alias("side"), F.array(*codes).alias("codes")
-    )
+    return _per_column(
+        df, case, side, _typed(df, values, case), lambda c, dtype: canon.plain_code(c, dtype, digits),
+        lambda t, x: canon.text_code(t, x, profile, digits), profile,
+    ).withColumnRenamed("v", "codes")
 
 
 def coded(rows: DataFrame, digits: int = 2) -> DataFrame:
     """Coded rows from canonical rows."""
     return rows.select(
-        "case_id", "side", F.transform("cells", lambda c: canon.cell_code(c, digits)).alias("codes")
+        "case_id", "side", F.expr(f"transform(cells, c -> {canon.cell_code('c', digits)})").alias("codes")
     )
 
 
 # --- JSON outputs --------------------------------------------------------------------------
 
 
-def _variant(text: Column) -> Column:
+def _variant(text: str) -> str:
     """JSON text as a variant; bare NaN and Infinity, which JSON lacks, count as null."""
-    bare = F.regexp_replace(text, r"(?<=[\[,:\s])-?(?:NaN|Infinity)(?=[\],}\s])", "null")
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(bare))
+    bare = f"regexp_replace({text}, r'(?<=[\\[,:\\s])-?(?:NaN|Infinity)(?=[\\],}}\\s])', 'null')"
+    return f"coalesce(try_parse_json({text}), try_parse_json({bare}))"
 
 
-def _is_array(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
+def _is(v: str, shape: str) -> str:
+    return f"startswith(schema_of_variant({v}), '{shape}')"
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+def _get(v: str, dtype: str) -> str:
+    return f"try_variant_get({v}, '$', '{dtype}')"
 
 
-def _items(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _items(v: str) -> str:
+    return _get(v, "array<variant>")
 
 
-def _entries(v: Column) -> Column:
-    """An object as [key, value] pairs in key order."""
-    as_map = F.try_variant_get(v, "$", "map<string,variant>")
-    return F.transform(
-        F.array_sort(F.map_keys(as_map)),
-        lambda k: F.array(k.cast("variant"), F.element_at(as_map, k)),
-    )
+_MAP = "map<string,variant>"
 
+# An object as [key, value] pairs in key order.
+_ENTRIES = f"transform(array_sort(map_keys({_get('v', _MAP)})), k -> array(CAST(k AS VARIANT), element_at({_get('v', _MAP)}, k)))"
 
-def _flat(v: Column) -> Column:
-    """Items of a cell that is itself a list, flattened two levels; else the value alone."""
-    inner = F.flatten(F.transform(_items(v), lambda x: F.when(_is_array(x), _items(x)).otherwise(F.array(x))))
-    return F.when(_is_array(v), inner).otherwise(F.array(v))
-
-
-def _value_cell(v: Column, profile: str) -> Column:
-    schema = F.schema_of_variant(v)
-    kind = (
-        F.when(schema == "STRING", F.lit("string"))
-        .when(schema == "BOOLEAN", F.lit("bool"))
-        .when(schema == "VOID", F.lit("null"))
-        .when(schema.startswith("OBJECT") | schema.startswith("ARRAY"), F.lit("string"))
-        .otherwise(F.lit("number"))
-    )
-    return canon.canon_cell(F.try_variant_get(v, "$", "string"), kind, profile)
+# One item of a list as a row: a list gives its items (flattened two levels), an object its values.
+_ITEM_ROW = (
+    f"CASE WHEN {_is('x', 'ARRAY')} THEN flatten(transform({_items('x')}, y -> CASE WHEN {_is('y', 'ARRAY')} "
+    f"THEN flatten(transform({_items('y')}, w -> CASE WHEN {_is('w', 'ARRAY')} THEN {_items('w')} ELSE array(w) END)) "
+    f"ELSE array(y) END)) WHEN {_is('x', 'OBJECT')} THEN map_values({_get('x', _MAP)}) ELSE array(x) END"
+)
+_TABLE = (
+    f"CASE WHEN {_is('v', 'ARRAY')} THEN transform({_items('v')}, x -> {_ITEM_ROW}) "
+    f"WHEN {_is('v', 'OBJECT')} THEN {_ENTRIES} ELSE array(array(v)) END"
+)
+_KIND = (
+    "CASE schema_of_variant(x) WHEN 'STRING' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VOID' THEN 'null' "
+    f"ELSE CASE WHEN {_is('x', 'OBJECT')} OR {_is('x', 'ARRAY')} THEN 'string' ELSE 'number' END END"
+)
 
 
 def rows_from_json(
@@ -156,40 +170,35 @@ def rows_from_json(
 
     A list of lists gives rows, a flat list an n×1 column, an object its sorted pairs, an object
     inside a list the row of its values, a scalar a 1×1 table. A text that holds a stringified
-    collection is parsed first. A null output gives a side with status ``missing``.
+    collection is parsed first. A null output gives a side with status ``missing``. Both frames
+    repeat the parsing, so store the rows when more than one query reads them.
     """
     read = df.select(_case_column(case).alias("case_id"), F.col(output).alias("output")).select(
-        "case_id", "output", _variant(F.col("output")).alias("v")
-    )
-    as_text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
-    as_text = F.coalesce(as_text, F.when(F.col("v").isNull(), F.col("output")))
-    parsed = read.select(
-        "case_id", F.coalesce(canon.parse_collection(as_text), F.col("v"), F.col("output").cast("variant")).alias("v")
+        "case_id", "output", F.expr(_variant("output")).alias("v")
     )
-    v = F.col("v")
-    item_row = lambda x: (
-        F.when(_is_array(x), F.flatten(F.transform(_items(x), _flat)))
-        .when(_is_object(x), F.map_values(F.try_variant_get(x, "$", "map<string,variant>")))
-        .otherwise(F.array(x))
+    as_text = f"coalesce(CASE WHEN schema_of_variant(v) = 'STRING' THEN {_get('v', 'string')} END, CASE WHEN v IS NULL THEN output END)"
+    parsed = read.select("case_id", "v", "output", F.expr(as_text).alias("s")).select(
+        "case_id", F.expr(f"coalesce({canon.parse_collection('s')}, v, CAST(output AS VARIANT))").alias("v")
     )
-    table = (
-        F.when(_is_array(v), F.transform(_items(v), item_row))
-        .when(_is_object(v), _entries(v))
-        .otherwise(F.array(F.array(v)))
+    shaped = parsed.select("case_id", F.expr("v IS NULL OR schema_of_variant(v) = 'VOID'").alias("missing"), "v").select(
+        "case_id", "missing", F.expr(f"CASE WHEN NOT missing THEN {_TABLE} END").alias("t")
     )
-    missing = v.isNull() | (F.schema_of_variant(v) == "VOID")
-    shaped = parsed.select("case_id", missing.alias("missing"), F.when(~missing, table).alias("t"))
-    rows = shaped.select("case_id", F.explode("t").alias("r")).select(
-        "case_id",
-        F.lit(side).alias("side"),
-        F.transform("r", lambda x: _value_cell(x, profile)).cast(f"array<{canon.CELL_TYPE}>").alias("cells"),
+    cell = canon.canon_cell("c.raw", "c.kind", profile)
+    raw = f"transform(r, x -> struct({canon.strip(_get('x', 'string'))} AS raw, {_KIND} AS kind))"
+    rows = (
+        shaped.select("case_id", F.explode("t").alias("r"))
+        .select("case_id", F.expr(raw).alias("r"))
+        .select(
+            "case_id", F.lit(side).alias("side"),
+            F.expr(f"CAST(transform(r, c -> {cell}) AS array<{canon.CELL_TYPE}>)").alias("cells"),
+        )
     )
     sides = shaped.select(
         "case_id",
         F.lit(side).alias("side"),
-        F.coalesce(F.size("t"), F.lit(0)).cast("bigint").alias("n_rows"),
-        F.coalesce(F.array_max(F.transform("t", F.size)), F.lit(0)).cast("int").alias("n_cols"),
-        F.when(F.col("missing"), "missing").otherwise("ok").alias("status"),
+        F.expr("CAST(coalesce(size(t), 0) AS BIGINT)").alias("n_rows"),
+        F.expr("coalesce(array_max(transform(t, r -> size(r))), 0)").alias("n_cols"),
+        F.expr("CASE WHEN missing THEN 'missing' ELSE 'ok' END").alias("status"),
     )
     return rows, sides
 
