@@ -49,12 +49,10 @@ def _canon_sql(profile: str) -> str:
 
 
 def _canon_cells(spark, sf_dir, profile):
-    raw = canon.strip("(" + _MESSY.format(text="STRING") + ")")
-    events = table(spark, sf_dir, "events").select("event_id", F.expr(raw).alias("raw"))
-    cell = F.expr(canon.canon_cell("raw", "'string'", profile))
-    return events.select("event_id", cell.alias("cell")).select(
-        "event_id", F.expr(canon.round_number("cell.num")).alias("num"), F.col("cell.txt").alias("txt")
+    messy = table(spark, sf_dir, "events").select(
+        "event_id", F.expr(_MESSY.format(text="STRING")).alias("raw"), F.lit("string").alias("kind")
     )
+    return results.canonical_cells(messy, profile).withColumn("num", F.expr(canon.round_number("num")))
 
 
 @query("canon_cells", _canon_sql("lenient"))
@@ -107,11 +105,9 @@ def canon_lineitem(spark, sf_dir):
     """All cells of lineitem through the long table and its canonical form, summed up by column."""
     lines = table(spark, sf_dir, "lineitem")
     cells = results.to_cells(lines, F.lit("lineitem"), "expected", lines.columns)
-    cell = F.expr(canon.canon_cell("raw", "kind"))
     return (
-        cells.select("col_no", "kind", F.expr(canon.strip("raw")).alias("raw"))
-        .select("col_no", "kind", cell.alias("cell"))
-        .select("col_no", "kind", F.expr(canon.round_units("cell.num")).alias("units"), F.col("cell.txt").alias("txt"))
+        results.canonical_cells(cells.select("col_no", "raw", "kind", F.col("kind").alias("source")))
+        .select("col_no", F.col("source").alias("kind"), F.expr(canon.round_units("num")).alias("units"), "txt")
         .groupBy("col_no", "kind")
         .agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.max("txt").alias("last_text"))
     )

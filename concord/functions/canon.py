@@ -50,21 +50,27 @@ def strip(x: str) -> str:
     return f"trim(BOTH '{WHITESPACE}' FROM {x})"
 
 
-def round_units(x: str, digits: int = 2) -> str:
-    """Number of ``10**-digits`` units in a double, rounded half to even on its exact binary value.
+def rounded_units(x: str, digits: int = 2) -> str:
+    """A double in units of ``10**-digits``, as a whole double, rounded half to even on its exact binary value.
 
     The product ``x * scale`` can only mislead where it lands on a half; there its rounding error,
     recovered exactly by splitting ``x`` into two 26-bit halves, tells on which side the value lies,
-    as a decimal rounding of the stored value would. Null when ``x`` has no fraction to round.
+    as a decimal rounding of the stored value would.
     """
     s = f"{10**digits}D"
     p = f"({x} * {s})"
     hi = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
-    err = f"(({hi} * {s} - {p}) + ({x} - {hi}) * {s})"
-    return (
-        f"CASE WHEN abs({p}) < {_EXACT_UNITS}D THEN CASE WHEN abs({p} - rint({p})) = 0.5D AND {err} <> 0D "
-        f"THEN CASE WHEN {err} > 0D THEN ceil({p}) ELSE floor({p}) END ELSE CAST(rint({p}) AS BIGINT) END END"
-    )
+    err = f"({hi} * {s} - {p}) + ({x} - {hi}) * {s}"
+    return f"rint({p} + CASE WHEN abs({p} - rint({p})) = 0.5D THEN signum({err}) * 0.5D ELSE 0D END)"
+
+
+def exact_units(u: str) -> str:
+    """Whole units as an integer; null beyond the range in which a double has a fraction to round."""
+    return f"CASE WHEN abs({u}) < {_EXACT_UNITS}D THEN CAST({u} AS BIGINT) END"
+
+
+def round_units(x: str, digits: int = 2) -> str:
+    return exact_units(rounded_units(x, digits))
 
 
 def round_number(x: str, digits: int = 2) -> str:
@@ -72,8 +78,17 @@ def round_number(x: str, digits: int = 2) -> str:
     return f"coalesce({round_units(x, digits)} / {10**digits}D, {x})"
 
 
+def units_code(u: str, x: str) -> str:
+    """Code of a double ``x`` whose rounded units are ``u``: the units, or for a number too large to
+    have a fraction its integer digits as text."""
+    return (
+        f"CASE WHEN abs({u}) < {_EXACT_UNITS}D THEN concat('n', CAST(CAST({u} AS BIGINT) AS STRING)) "
+        f"WHEN abs({x}) < 9.2E18D THEN concat('t', CAST(CAST({x} AS BIGINT) AS STRING)) ELSE concat('n~', CAST({x} AS STRING)) END"
+    )
+
+
 def number_code(x: str, digits: int = 2) -> str:
-    return f"concat('n', coalesce(CAST({round_units(x, digits)} AS STRING), concat('~', CAST({x} AS STRING))))"
+    return units_code(rounded_units(x, digits), x)
 
 
 def day_text(t: str) -> str:
@@ -95,20 +110,17 @@ def clock_text(t: str) -> str:
     return f"lpad(CASE WHEN length({t}) <= 5 THEN concat({t}, ':00') ELSE {t} END, 8, '0')"
 
 
-def exact_integer_text(t: str) -> str:
-    """Digits of an integer text that no double holds exactly; null for all others.
+def _inexact(t: str) -> str:
+    """Whether a text is an integer that no double holds exactly.
 
     Such integers (long identifiers, mostly) stay text, so that two neighbours never merge.
     """
     exact = f"try_cast({t} AS DECIMAL(38,0))"
-    return (
-        f"CASE WHEN {t} RLIKE r'{LONG_INTEGER}' AND {exact} <> try_cast(try_cast({t} AS DOUBLE) AS DECIMAL(38,0)) "
-        f"THEN CAST({exact} AS STRING) END"
-    )
+    return f"length({t}) >= 16 AND {t} RLIKE r'{LONG_INTEGER}' AND {exact} <> try_cast(try_cast({t} AS DOUBLE) AS DECIMAL(38,0))"
 
 
 def _long_text(c: str) -> str:
-    """The same for an integer column."""
+    """The digits of an integer column's value that no double holds exactly, else null."""
     return f"CASE WHEN CAST(CAST({c} AS DOUBLE) AS DECIMAL(38,0)) <> {c} THEN CAST({c} AS STRING) END"
 
 
@@ -121,20 +133,20 @@ def text_number(t: str, profile: str = "strict") -> str:
     words = ""
     if _checked(profile) == "lenient":
         words = f"WHEN lower({t}) IN ({_words(TRUE_WORDS)}) THEN 1D WHEN lower({t}) IN ({_words(FALSE_WORDS)}) THEN 0D "
-    number = f"CASE WHEN ({exact_integer_text(t)}) IS NULL THEN try_cast({t} AS DOUBLE) END"
-    return f"CASE WHEN {t} RLIKE r'{NUMBER}' THEN {number} {words}END"
+    return f"CASE WHEN {_inexact(t)} THEN NULL WHEN {t} RLIKE r'{NUMBER}' THEN try_cast({t} AS DOUBLE) {words}END"
 
 
-def text_text(t: str, profile: str = "strict") -> str:
-    """The text part of a stripped text; null where it is a number or a null word."""
+def text_text(t: str, x: str, profile: str = "strict") -> str:
+    """The text part of a stripped text whose number is ``x``; null where it is a number or a null word."""
     words = ""
     if _checked(profile) == "lenient":
         words = (
-            f"WHEN lower({t}) IN ({_words(NULL_WORDS + TRUE_WORDS + FALSE_WORDS)}) THEN NULL "
+            f"WHEN lower({t}) IN ({_words(NULL_WORDS)}) THEN NULL "
             f"WHEN {t} RLIKE r'{CLOCK}' THEN {clock_text(t)} "
         )
     return (
-        f"CASE WHEN {t} RLIKE r'{NUMBER}' THEN {exact_integer_text(t)} {words}"
+        f"CASE WHEN {x} IS NOT NULL THEN NULL {words}"
+        f"WHEN length({t}) >= 16 AND {t} RLIKE r'{LONG_INTEGER}' THEN CAST(try_cast({t} AS DECIMAL(38,0)) AS STRING) "
         f"WHEN contains({t}, '-') OR contains({t}, '/') THEN coalesce({day_text(t)}, {t}) ELSE {t} END"
     )
 
@@ -153,21 +165,24 @@ def _no_nan(x: str) -> str:
     return f"nanvl({x}, NULL)"
 
 
-def canon_cell(t: str, kind: str, profile: str = "strict") -> str:
-    """Canonical cell of a value given as stripped text with its kind.
+def cell_number(t: str, kind: str, profile: str = "strict") -> str:
+    """The number of a value given as stripped text with its kind, or null.
 
     Kinds are ``number``, ``string``, ``bool``, ``date``, ``timestamp`` and ``null``.
     """
-    number = f"CASE WHEN ({exact_integer_text(t)}) IS NULL THEN {_no_nan(f'try_cast({t} AS DOUBLE)')} END"
-    num = (
+    number = f"CASE WHEN {_inexact(t)} THEN NULL ELSE {_no_nan(f'try_cast({t} AS DOUBLE)')} END"
+    return (
         f"CASE {kind} WHEN 'number' THEN {number} WHEN 'string' THEN {text_number(t, profile)} "
         f"WHEN 'bool' THEN CAST(lower({t}) = 'true' AS DOUBLE) END"
     )
-    txt = (
-        f"CASE WHEN {kind} = 'number' THEN {exact_integer_text(t)} WHEN {kind} = 'string' THEN {text_text(t, profile)} "
-        f"WHEN {kind} IN ('date', 'timestamp') THEN coalesce({day_text(t)}, {t}) END"
+
+
+def cell_text(t: str, kind: str, x: str, profile: str = "strict") -> str:
+    """The text part of such a value whose number is ``x``."""
+    return (
+        f"CASE WHEN {x} IS NOT NULL THEN NULL WHEN {kind} IN ('string', 'date', 'timestamp') THEN {text_text(t, x, profile)} "
+        f"WHEN {kind} = 'number' AND {_inexact(t)} THEN CAST(try_cast({t} AS DECIMAL(38,0)) AS STRING) END"
     )
-    return _cell(num, txt)
 
 
 def quote(name: str) -> str:
@@ -196,28 +211,31 @@ def plain_cell(c: str, dtype: T.DataType) -> str:
 
 
 def plain_code(c: str, dtype: T.DataType, digits: int = 2) -> str:
-    """Code of a column of a plain type, by the shortest expression."""
+    """Code of a column of a plain type (fractional ones as doubles), null for null."""
     unit = 10**digits
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
-        return f"coalesce(concat('n', CAST(CAST({c} AS BIGINT) * {unit} AS STRING)), 'z')"
+        return f"concat('n', CAST(CAST({c} AS BIGINT) * {unit} AS STRING))"
     if isinstance(dtype, T.LongType):
-        small = f"{c} BETWEEN {-(_EXACT_UNITS // unit) + 1} AND {_EXACT_UNITS // unit - 1}"
-        large = f"coalesce(concat('t', {_long_text(c)}), {number_code(f'CAST({c} AS DOUBLE)', digits)}, 'z')"
-        return f"CASE WHEN {small} THEN concat('n', CAST({c} * {unit} AS STRING)) ELSE {large} END"
+        top = (_EXACT_UNITS - 1) // unit
+        return f"CASE WHEN {c} BETWEEN {-top} AND {top} THEN concat('n', CAST({c} * {unit} AS STRING)) ELSE concat('t', CAST({c} AS STRING)) END"
     if isinstance(dtype, (T.DateType, *_TIMES)):
-        return f"coalesce(concat('t', CAST(CAST({c} AS DATE) AS STRING)), 'z')"
-    x = c if isinstance(dtype, T.DoubleType) else f"CAST({c} AS DOUBLE)"
-    return f"CASE WHEN isnan({x}) OR {c} IS NULL THEN 'z' ELSE {number_code(x, digits)} END"
+        return f"concat('t', CAST(CAST({c} AS DATE) AS STRING))"
+    # A value that cannot be null needs no null checks in the generated arithmetic.
+    return f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN {number_code(f'coalesce({c}, 0D)', digits)} END"
+
+
+def is_fractional(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
 
 
 def text_cell(t: str, x: str, profile: str = "strict") -> str:
     """Canonical cell of a stripped text whose number is ``x``."""
-    return _cell(x, text_text(t, profile))
+    return _cell(x, text_text(t, x, profile))
 
 
-def text_code(t: str, x: str, profile: str = "strict", digits: int = 2) -> str:
-    """Code of a stripped text whose number is ``x``."""
-    return f"CASE WHEN {x} IS NOT NULL THEN {number_code(x, digits)} ELSE coalesce(concat('t', {text_text(t, profile)}), 'z') END"
+def text_code(t: str, x: str, u: str, profile: str = "strict") -> str:
+    """Code of a stripped text whose number is ``x``, in units ``u``; null for null."""
+    return f"CASE WHEN {x} IS NOT NULL THEN {units_code(u, x)} ELSE concat('t', {text_text(t, x, profile)}) END"
 
 
 def to_text(field: T.StructField) -> str:

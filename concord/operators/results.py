@@ -55,40 +55,58 @@ def to_cells(
     ).select("case_id", "side", "row_no", "col_no", "cell.raw", "cell.kind")
 
 
+def canonical_cells(cells: DataFrame, profile: str = "strict") -> DataFrame:
+    """Any frame with ``raw`` and ``kind``, these two replaced by the canonical ``num`` and ``txt``.
+
+    Three projections, each of which uses the one before more than once: so none is merged into the
+    next, every step is worked out once per cell, and the generated methods stay small.
+    """
+    rest = [c for c in cells.columns if c not in ("raw", "kind")]
+    return (
+        cells.select(*rest, F.expr(canon.strip("raw")).alias("t"), "kind")
+        .select(*rest, "t", "kind", F.expr(canon.cell_number("t", "kind", profile)).alias("num"))
+        .select(*rest, "num", F.expr(canon.cell_text("t", "kind", "num", profile)).alias("txt"))
+    )
+
+
 def rows_from_cells(cells: DataFrame, profile: str = "strict") -> DataFrame:
     """Canonical rows from the long cell table: one shuffle on the row, never on the case."""
-    cell = F.expr(canon.canon_cell("raw", "kind", profile))
-    stripped = F.expr(canon.strip("raw")).alias("raw")
     return (
-        cells.select("case_id", "side", "row_no", "col_no", stripped, "kind")
-        .select("case_id", "side", "row_no", "col_no", cell.alias("cell"))
+        canonical_cells(cells, profile)
         .groupBy("case_id", "side", "row_no")
-        .agg(F.sort_array(F.collect_list(F.struct("col_no", "cell.num", "cell.txt"))).alias("c"))
+        .agg(F.sort_array(F.collect_list(F.struct("col_no", "num", "txt"))).alias("c"))
         .select("case_id", "side", F.transform("c", lambda x: F.struct(x["num"], x["txt"])).alias("cells"))
     )
 
 
-def _per_column(df, case, side, fields, of_plain, of_text, profile) -> DataFrame:
-    """``case_id, side, v`` with one value per column.
+def _unfused(values: Sequence[str]) -> Column:
+    """An array of expressions, evaluated outside Spark's fused loop.
 
-    Text columns are stripped and read as numbers in projections of their own, so that each is
-    worked out once however often the last expression refers to it.
+    The fused loop puts all expressions of a row into one method, and the JVM does not compile a
+    method as large as those of a table with many columns. A projection that holds a lambda is left
+    out of the loop, and its generated code is cut into small methods.
     """
-    plain = [canon.is_plain(f.dataType) for f in fields]
-    names = [f"v{i}" for i in range(len(fields))]
-    first = df.select(
-        _case_column(case).alias("case_id"), F.lit(side).alias("side"),
-        *[
-            F.expr(canon.quote(f.name) if p else canon.strip(canon.to_text(f))).alias(n)
-            for f, p, n in zip(fields, plain, names)
-        ],
-    )
-    if not all(plain):
-        first = first.select(
-            "*", *[F.expr(canon.text_number(n, profile)).alias(f"x{n}") for p, n in zip(plain, names) if not p]
-        )
-    values = [of_plain(n, f.dataType) if p else of_text(n, f"x{n}") for f, p, n in zip(fields, plain, names)]
-    return first.select("case_id", "side", F.expr(f"array({', '.join(values)})").alias("v"))
+    return F.expr(f"CASE WHEN exists(array(case_id), c -> c IS NULL) THEN NULL ELSE array({', '.join(values)}) END")
+
+
+def _stage(df, case, side, fields, profile) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``case_id, side`` and one column per field: ``v*`` plain, ``t*`` stripped text.
+
+    Also the column names by field, and for each text column the expression of its number. Each
+    projection uses the one before more than once, so Spark never merges them and repeats work.
+    """
+    names = [f"v{i}" if canon.is_plain(f.dataType) else f"t{i}" for i, f in enumerate(fields)]
+    columns = [
+        F.expr(canon.strip(canon.to_text(f)) if n[0] == "t" else f"CAST({canon.quote(f.name)} AS DOUBLE)"
+               if canon.is_fractional(f.dataType) else canon.quote(f.name)).alias(n)
+        for f, n in zip(fields, names)
+    ]
+    frame = df.select(_case_column(case).alias("case_id"), F.lit(side).alias("side"), *columns)
+    frame = frame.filter(F.col("case_id").isNotNull())
+    texts = [n for n in names if n[0] == "t"]
+    if texts:
+        frame = frame.select("*", _unfused([canon.text_number(t, profile) for t in texts]).alias("xs"))
+    return frame, names, {t: f"get(xs, {i})" for i, t in enumerate(texts)}
 
 
 def rows_from_frame(
@@ -96,22 +114,28 @@ def rows_from_frame(
     profile: str = "strict",
 ) -> DataFrame:
     """Canonical rows straight from a frame: no shuffle, one expression per column type."""
-    v = _per_column(
-        df, case, side, _typed(df, values, case), canon.plain_cell,
-        lambda t, x: canon.text_cell(t, x, profile), profile,
-    )
-    return v.select("case_id", "side", F.col("v").cast(f"array<{canon.CELL_TYPE}>").alias("cells"))
+    fields = _typed(df, values, case)
+    frame, names, numbers = _stage(df, case, side, fields, profile)
+    cells = [
+        canon.text_cell(n, numbers[n], profile) if n in numbers else canon.plain_cell(n, f.dataType)
+        for n, f in zip(names, fields)
+    ]
+    return frame.select("case_id", "side", _unfused(cells).cast(f"array<{canon.CELL_TYPE}>").alias("cells"))
 
 
 def coded_from_frame(
     df: DataFrame, case: str | Column, side: str, values: Sequence[str] | None = None,
     profile: str = "strict", digits: int = 2,
 ) -> DataFrame:
-    """Coded rows straight from a frame."""
-    return _per_column(
-        df, case, side, _typed(df, values, case), lambda c, dtype: canon.plain_code(c, dtype, digits),
-        lambda t, x: canon.text_code(t, x, profile, digits), profile,
-    ).withColumnRenamed("v", "codes")
+    """Coded rows straight from a frame: no shuffle, one expression per column type."""
+    fields = _typed(df, values, case)
+    frame, names, numbers = _stage(df, case, side, fields, profile)
+    codes = [
+        canon.text_code(n, numbers[n], canon.rounded_units(numbers[n], digits), profile)
+        if n in numbers else canon.plain_code(n, f.dataType, digits)
+        for n, f in zip(names, fields)
+    ]
+    return frame.select("case_id", "side", _unfused([f"coalesce({c}, 'z')" for c in codes]).alias("codes"))
 
 
 def coded(rows: DataFrame, digits: int = 2) -> DataFrame:
@@ -183,15 +207,14 @@ def rows_from_json(
     shaped = parsed.select("case_id", F.expr("v IS NULL OR schema_of_variant(v) = 'VOID'").alias("missing"), "v").select(
         "case_id", "missing", F.expr(f"CASE WHEN NOT missing THEN {_TABLE} END").alias("t")
     )
-    cell = canon.canon_cell("c.raw", "c.kind", profile)
-    raw = f"transform(r, x -> struct({canon.strip(_get('x', 'string'))} AS raw, {_KIND} AS kind))"
+    raw = f"transform(r, x -> struct({canon.strip(_get('x', 'string'))} AS t, {_KIND} AS kind))"
+    number = f"transform(r, c -> struct(c.t AS t, c.kind AS kind, {canon.cell_number('c.t', 'c.kind', profile)} AS num))"
+    cell = f"transform(r, c -> struct(c.num AS num, {canon.cell_text('c.t', 'c.kind', 'c.num', profile)} AS txt))"
     rows = (
         shaped.select("case_id", F.explode("t").alias("r"))
         .select("case_id", F.expr(raw).alias("r"))
-        .select(
-            "case_id", F.lit(side).alias("side"),
-            F.expr(f"CAST(transform(r, c -> {cell}) AS array<{canon.CELL_TYPE}>)").alias("cells"),
-        )
+        .select("case_id", F.expr(number).alias("r"))
+        .select("case_id", F.lit(side).alias("side"), F.expr(cell).cast(f"array<{canon.CELL_TYPE}>").alias("cells"))
     )
     sides = shaped.select(
         "case_id",
