@@ -146,6 +146,7 @@ def sample_text(df: DataFrame, n: int, order: Sequence[str], columns: Sequence[s
 
 def sample_card(df: DataFrame, n: int, order: Sequence[str], table: str) -> DataFrame:
     """The sample rows as a comment that names the query they answer."""
+    # The layout of the comment.
     name = f"`{table}`" if table in RESERVED_NAMES else table
     head = f"/* \n {n} example rows: \n SELECT * FROM {name} LIMIT {n}; \n "
     return sample_text(df, n, order).select(F.concat(F.lit(head), "card", F.lit(" \n */")).alias("card"))

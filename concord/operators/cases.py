@@ -24,7 +24,7 @@ class Case:
 
 
 def _frame(spark: SparkSession, form: Form, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The result of one side; SQL texts refer to tables by name as ``{table}`` parameters would."""
+    """The result of one side. A SQL text sees the tables of its database as views."""
     if callable(form):
         return form(tables)
     for name, df in tables.items():

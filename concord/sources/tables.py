@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
-from pathlib import PurePosixPath
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +23,8 @@ def _csv_reader(spark: SparkSession, schema: T.StructType | str | None, encoding
 
 
 def _undecodable(spark: SparkSession, path: str) -> bool:
-    """Whether a text holds the character that stands for bytes that are not UTF-8."""
-    return not spark.read.text(path).filter(F.col("value").contains("�")).limit(1).isEmpty()
+    """Whether a file holds bytes that are not UTF-8; stops at the first such line."""
+    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).isEmpty()
 
 
 def read_table_dir(
@@ -39,19 +37,16 @@ def read_table_dir(
     With a schema the read needs no inference pass. The second encoding is tried where the first
     does not fit; one that Spark refuses by default switches on its setting for older charsets.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .load(path).select("path").distinct()
+    # Only the names come to the driver, however many part files the folders hold.
+    names = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        .select(F.regexp_extract("path", r"(?i)/([^/]+\.csv)(?:/[^/]*)?$", 1).alias("name"))
+        .filter("name <> ''").distinct()
     )
-    # One path per file: the listing that any read of the folder makes.
-    files = sorted(unquote(r.path) for r in listing.collect())
-    root = unquote(path.rstrip("/")).split(":", 1)[-1].lstrip("/")
-    found: dict[str, str] = {}
-    for file in files:
-        parts = PurePosixPath(file.split(root, 1)[-1].lstrip("/")).parts
-        match = re.fullmatch(r"(.+)\.csv", parts[0], flags=re.IGNORECASE)
-        if match:
-            found[match.group(1)] = f"{path.rstrip('/')}/{parts[0]}"
+    found = {}
+    for row in sorted(names.collect()):
+        name = unquote(row.name)
+        found[name[: -len(".csv")]] = f"{path.rstrip('/')}/{name}"
     tables, status = {}, []
     for name, file in found.items():
         encoding = encodings[0]
