@@ -91,12 +91,12 @@ _LINE_TEXTS = ("l_returnflag", "l_linestatus", "CAST(CAST(l_shipdate AS DATE) AS
     " UNION ALL ".join(
         [
             f"SELECT {i} AS col_no, 'number' AS kind, count(*) AS n, CAST(sum(CAST(round_even({c} * 100, 0) AS BIGINT)) AS BIGINT) AS units, "
-            f"CAST(NULL AS VARCHAR) AS last_text FROM lineitem"
+            f"CAST(NULL AS BIGINT) AS text_length FROM lineitem"
             for i, c in enumerate(_LINE_NUMBERS)
         ]
         + [
             f"SELECT {i + 8} AS col_no, '{'timestamp' if i == 2 else 'string'}' AS kind, count(*) AS n, CAST(NULL AS BIGINT) AS units, "
-            f"max({c}) AS last_text FROM lineitem"
+            f"CAST(sum(length({c})) AS BIGINT) AS text_length FROM lineitem"
             for i, c in enumerate(_LINE_TEXTS)
         ]
     ),
@@ -109,7 +109,7 @@ def canon_lineitem(spark, sf_dir):
         results.canonical_cells(cells.select("col_no", "raw", "kind", F.col("kind").alias("source")))
         .select("col_no", F.col("source").alias("kind"), F.expr(canon.round_units("num")).alias("units"), "txt")
         .groupBy("col_no", "kind")
-        .agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.max("txt").alias("last_text"))
+        .agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.sum(F.length("txt").cast("bigint")).alias("text_length"))
     )
 
 

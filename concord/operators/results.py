@@ -63,7 +63,7 @@ def canonical_cells(cells: DataFrame, profile: str = "strict") -> DataFrame:
     """
     rest = [c for c in cells.columns if c not in ("raw", "kind")]
     return (
-        cells.select(*rest, F.expr(canon.strip("raw")).alias("t"), "kind")
+        cells.select(*rest, F.expr(f"CASE WHEN kind = 'string' THEN {canon.strip('raw')} ELSE trim(raw) END").alias("t"), "kind")
         .select(*rest, "t", "kind", F.expr(canon.cell_number("t", "kind", profile)).alias("num"))
         .select(*rest, "num", F.expr(canon.cell_text("t", "kind", "num", profile)).alias("txt"))
     )
