@@ -102,7 +102,7 @@ def _stage(df, case, side, fields, profile) -> tuple[DataFrame, list[str], dict[
         for f, n in zip(fields, names)
     ]
     frame = df.select(_case_column(case).alias("case_id"), F.lit(side).alias("side"), *columns)
-    frame = frame.filter(F.col("case_id").isNotNull())
+    frame = frame.filter(F.col("case_id").isNotNull())  # a row without a case belongs to no verdict
     texts = [n for n in names if n[0] == "t"]
     if texts:
         frame = frame.select("*", _unfused([canon.text_number(t, profile) for t in texts]).alias("xs"))
