@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+import catalog
 import check
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,10 +13,10 @@ def con():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     assert check.compare(spark, con, SF_DIR, name).startswith("ok")
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
