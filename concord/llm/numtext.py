@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE, SLICE_ROWS = 1 << 20, 1 << 12
 _SEGMENT = 1 << 22
 
 #: The white space that separates words, 0x20 and 0x09 to 0x0D.
@@ -76,7 +76,7 @@ def slices(values: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
     first, rows = 0, len(offsets) - 1
     while first < rows:
         end = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        end = min(max(end, first + 1), rows)
+        end = min(max(end, first + 1), rows, first + SLICE_ROWS)
         lo, hi = offsets[first], offsets[end]
         yield first, end, data[lo:hi], offsets[first : end + 1] - lo
         first = end
@@ -129,7 +129,13 @@ def windows(values: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     return mix(total[at]), at
 
 
-def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """Count, or exact sum of integers below 2**53, by row."""
-    out = np.bincount(rows, weights, n)
-    return out.astype(np.int64) if weights is None or weights.dtype.kind in "biu" else out
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each byte value occurs in each row."""
+    rows = len(offsets) - 1
+    place = np.repeat(np.arange(rows, dtype=np.int64) << 8, np.diff(offsets))
+    return np.bincount(place + data, minlength=rows << 8).reshape(rows, 256)
+
+
+def row_salt(rows: int) -> np.ndarray:
+    """A hash for each row, to keep equal values of different rows apart."""
+    return mix(np.arange(1, rows + 1, dtype=np.uint64))
