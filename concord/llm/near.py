@@ -64,7 +64,7 @@ def bitmap(values: np.ndarray) -> bytes:
 def _texts(docs: DataFrame) -> DataFrame:
     """``doc_id, row, text``: ``row`` names the content of a row, so ids may be null or repeat."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(0), "text").alias("row"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row"), F.col("text").cast("string").alias("text")
     )
 
 
@@ -390,7 +390,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, n_shingles, component_id`` per row.
+    """``doc_id, row, root, n_shingles, component_id`` per row.
 
     Texts that are null or have no word link with nothing, nor do they with each other. Rows without an id take
     part in links; a component in which no row has an id has a null component_id. Rows that repeat are
@@ -401,7 +401,26 @@ def labelled(docs: DataFrame) -> DataFrame:
     own = materialise(own, "rooted")
     least = materialise(own.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = own.join(least, "root", "left")
-    return out.select("doc_id", "row", "cls", F.col("root"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "row", "root", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are the first of their component.
+
+    First is the smallest id, rows without an id last, then the hash of the row. Rows that repeat it whole are one.
+    Documents without a word link with nothing and all stay. Dropped rows are found by an anti join on the
+    content of rows, so the texts that stay are not grouped.
+    """
+    rows = labelled(docs).filter("n_shingles > 0")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("row").alias("row"))
+    first = rows.groupBy("root").agg(F.min(key).alias("first"))
+    gone = rows.join(materialise(first, "first"), "root").filter(key != F.col("first")).select(F.col("row").alias("gone"))
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row of this stage"))
+    own = own.join(materialise(gone.distinct(), "gone"), F.col("`row of this stage`") == F.col("gone"), "left_anti")
+    again = materialise(rows.groupBy(F.col("row").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"), "again")
+    once = own.join(again, F.col("`row of this stage`") == F.col("again"), "left_anti")
+    more = own.join(again, F.col("`row of this stage`") == F.col("again"), "left_semi").dropDuplicates(["row of this stage"])
+    return once.unionAll(more).drop("row of this stage")
 
 
 @query("op4_ngram_jaccard")
