@@ -120,8 +120,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     flips = spark.range(1 << BLOCK_BITS).filter(F.bit_count("id") <= FLIPS).select(F.col("id").cast("int").alias("flip"))
     flips = F.array(*[F.lit(r.flip) for r in flips.collect()])
     near = marked.select("item_id", F.posexplode("item_print").alias("block", "value"))
+    # flips multiply the items some 700 times, which Spark's size estimate does not see: never broadcast them
     near = near.select("item_id", "block", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
-    pairs = kinds.select("w1", "w2", F.posexplode("print").alias("block", "value")).join(near, ["block", "value"]).select("w1", "w2", "item_id").distinct()
+    pairs = kinds.select("w1", "w2", F.posexplode("print").alias("block", "value")).join(near.hint("merge"), ["block", "value"]).select("w1", "w2", "item_id").distinct()
 
     both = materialise(pairs, "candidates").join(kinds, ["w1", "w2"]).join(marked, "item_id")
     apart = F.aggregate(F.zip_with("print", "item_print", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
