@@ -63,7 +63,8 @@ def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     repeats becomes empty. Rows that agree in id and text are one document in the order and get the same
     result. Documents without an id come last in the order.
     """
-    covered = materialise(repeated_places(docs, size), "covered")
+    # always by a shuffle of the texts, at any size: covered grows with the input, so it is not broadcast
+    covered = materialise(repeated_places(docs, size), "covered").hint("merge")
     held = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered, _ROW, "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
