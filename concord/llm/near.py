@@ -16,10 +16,10 @@ from concord.session import materialise
 
 SHINGLE = 5
 PERCENT = 75
-#: Bits of a document's bitmap.
-BITS = 512
+#: Bits of the bitmap by which tiles compare, and bits a shingle of the one by which pairs are held against each other.
+BITS, WIDE = 512, 4
 #: Tokens held before a task sorts and passes them on; tokens listed as frequent at most; tile side.
-HELD, FREQUENT, TILE = 1 << 21, 1 << 17, 1024
+HELD, FREQUENT, TILE = 1 << 21, 1 << 20, 1024
 _FILTER_BITS = 24
 
 
@@ -55,10 +55,20 @@ def class_of(values: np.ndarray) -> int:
     return int(numtext.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(values % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+def bitmap(values: np.ndarray, size: int = BITS) -> bytes:
+    """A bit for each remainder of a hash; ``size`` is a power of two, so halves can be laid over each other."""
+    bits = np.zeros(size, bool)
+    bits[(values & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def wide_bitmap(values: np.ndarray) -> bytes:
+    return bitmap(values, 1 << max(9, (WIDE * len(values) - 1).bit_length()))
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap as words, its parts laid over each other down to ``size`` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -75,26 +85,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, cls, n, bits`` per row: the name, size and bitmap of its set."""
+    """``doc_id, row, cls, n, bits, wide`` per row: the name, size and bitmaps of its set."""
 
     def task(batches):
         for batch, _, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array([class_of(x) for x in sets], pa.int64()),
-                 pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary())],
-                names=["doc_id", "row", "cls", "n", "bits"],
+                 pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary()),
+                 pa.array([wide_bitmap(x) for x in sets], pa.binary())],
+                names=["doc_id", "row", "cls", "n", "bits", "wide"],
             )
 
-    return _texts(docs).mapInArrow(task, "doc_id long, row long, cls long, n long, bits binary")
+    return _texts(docs).mapInArrow(task, "doc_id long, row long, cls long, n long, bits binary, wide binary")
 
 
 # Tokens that two or more sets share
 
 
-def frequent(docs: DataFrame, least: int = 64) -> np.ndarray:
+def frequent(docs: DataFrame, least: int = 8) -> np.ndarray:
     """At most ``FREQUENT`` of the most frequent shingles, sorted. They only set the order of tokens.
 
-    A task passes on what it meets four times among two million shingles, so any shingle of a noticeable
+    A task passes on what it meets three times among two million shingles, so any shingle of a noticeable
     share of documents is counted; what is not listed is merely ordered by its hash.
     """
 
@@ -103,7 +114,7 @@ def frequent(docs: DataFrame, least: int = 64) -> np.ndarray:
 
         def counted():
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values[n >= 4].view(np.int64)), pa.array(n[n >= 4])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values[n >= 3].view(np.int64)), pa.array(n[n >= 3])], names=["token", "n"])
 
         for _, _, sets in _sets(batches):
             held += sets
@@ -141,7 +152,9 @@ def prefix_length(n: int) -> int:
 
 
 def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
-    """``token, cls, hub, m`` for tokens that are in the prefixes of ``m`` >= 2 sets; ``hub`` is the least of these.
+    """``token, cls, place, hub`` for tokens that are in the prefixes of two sets or more; ``hub`` is the least of these.
+
+    ``place`` counts the tokens of the set that come before it.
 
     Linked sets share a token of their prefixes: at least 75 % of the larger set is common to both. The
     order puts frequent tokens last, so a passage of many documents is in a prefix only of documents that
@@ -154,17 +167,17 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
     known = spark.sparkContext.broadcast(frequent(docs))
 
     def spread(batches):
-        tokens, names, size, seen, late = [], [], 0, set(), _member(known.value)
+        tokens, names, places, size, seen, late = [], [], [], 0, set(), _member(known.value)
 
         def packed():
-            t, c = np.concatenate(tokens), np.concatenate(names)
+            t, c, at = np.concatenate(tokens), np.concatenate(names), np.concatenate(places)
             order = np.argsort(t)
-            t, c = t[order], c[order]
+            t, c, at = t[order], c[order], at[order]
             cut = np.searchsorted(t >> shift, np.arange(ranges + 1, dtype=np.uint64))
             keep = [i for i in range(ranges) if cut[i] < cut[i + 1]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(keep, pa.int32()), pa.array([t[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()),
-                 pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["range", "tokens", "names"],
+                 *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()) for x in (c, at)]], names=["range", "tokens", "names", "places"],
             )
 
         for _, _, sets in _sets(batches):
@@ -177,10 +190,11 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
                 prefix = np.concatenate([values[~last], values[last]])[: prefix_length(len(values))]
                 tokens.append(prefix)
                 names.append(np.full(len(prefix), cls, np.int64))
+                places.append(np.arange(len(prefix), dtype=np.uint32))
                 size += len(prefix)
             if size >= HELD:
                 yield packed()
-                tokens, names, size = [], [], 0
+                tokens, names, places, size = [], [], [], 0
                 if len(seen) > HELD:
                     seen = set()
         if size:
@@ -190,33 +204,31 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
         held, now = [], None
 
         def found():
-            t = np.frombuffer(b"".join(x for x, _ in held), np.uint64)
-            c = np.frombuffer(b"".join(x for _, x in held), np.int64)
+            t, c, at = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint64, np.int64, np.uint32)))
             order = np.lexsort((c, t))
-            t, c = t[order], c[order]
+            t, c, at = t[order], c[order], at[order]
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c = t[new], c[new]
+            t, c, at = t[new], c[new], at[new]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             m = np.diff(np.append(first, len(t)))
-            hub, every = np.repeat(c[first], m), np.repeat(m, m)
-            keep = every > 1
-            cols = [t[keep].view(np.int64), c[keep], hub[keep], every[keep].astype(np.int64)]
+            keep = np.repeat(m, m) > 1
+            cols = [t[keep].view(np.int64), c[keep], at[keep].astype(np.int64), np.repeat(c[first], m)[keep]]
             for a in range(0, int(keep.sum()), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in cols], names=["token", "cls", "hub", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in cols], names=["token", "cls", "place", "hub"])
 
         for batch in batches:
-            for r, t, c in zip(batch.column("range").to_pylist(), batch.column("tokens"), batch.column("names")):
+            for r, *parts in zip(batch.column("range").to_pylist(), *(batch.column(c) for c in ("tokens", "names", "places"))):
                 if r != now and held:
                     yield from found()
                     held = []
                 now = r
-                held.append((t.as_py(), c.as_py()))
+                held.append([x.as_py() for x in parts])
         if held:
             yield from found()
 
-    runs = _texts(docs).mapInArrow(spread, "range int, tokens binary, names binary")
-    return runs.repartitionByRange(ranges, "range").sortWithinPartitions("range").mapInArrow(gather, "token long, cls long, hub long, m long")
+    runs = _texts(docs).mapInArrow(spread, "range int, tokens binary, names binary, places binary")
+    return runs.repartitionByRange(ranges, "range").sortWithinPartitions("range").mapInArrow(gather, "token long, cls long, place long, hub long")
 
 
 # Candidates
@@ -237,16 +249,20 @@ def _words_of(values: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that sizes and bitmaps allow."""
+    """Pairs ``a, b`` that sizes, the small and then the wide bitmaps allow."""
 
     def task(batches):
         for batch in batches:
             n1, n2 = (batch.column(c).to_numpy().astype(np.int64) for c in ("n1", "n2"))
-            keep = pa.array(_bound(n1, n2, _words_of(batch.column("x")), _words_of(batch.column("y"))))
-            yield batch.select(["a", "b"]).filter(keep)
-
-    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
-    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
+            keep = np.zeros(len(n1), bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x, y = x.as_py(), y.as_py()
+                size = min(len(x), len(y))
+                keep[i] = _bound(n1[i : i + 1], n2[i : i + 1], folded(x, size)[None], folded(y, size)[None])[0]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("x"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("y"))
     sized = pairs.join(one.drop("x"), "a").join(two.drop("y"), "b").filter(_can_link(F.col("n1"), F.col("n2"))).select("a", "b")
     return sized.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(task, "a long, b long")
 
@@ -256,31 +272,33 @@ def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
 
     Only tokens of two or more components are looked at. The sets of a token are laid out by size bands, each
     4/3 of the one before, so that links stay within a band or reach the next; a band with more than
-    ``TILE`` sets is cut into blocks by hash, and every two blocks make a tile. So no task gets a token whole.
+    ``TILE`` sets is cut into blocks by hash, and every two blocks make a tile. So no task gets a token whole. A pair
+    is taken from a token only if enough tokens follow it in both sets, as they must after the first they share.
     """
-    rooted = entries.select("token", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = entries.select("token", "cls", "place").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rooted = materialise(rooted, "rooted")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("token")
     own = materialise(rooted.join(mixed, "token"), "mixed").join(classes.select("cls", "n"), "cls")
     own = own.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int"))
-    blocks = own.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
+    blocks = own.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"), (F.count("*") > 1).alias("some"))
     blocks = materialise(blocks, "bands")
     after = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("k").alias("k_next"))
     before = blocks.select("token", (F.col("band") + 1).alias("band"), F.col("k").alias("k_last"))
     own = own.join(blocks, ["token", "band"]).join(after, ["token", "band"], "left").join(before, ["token", "band"], "left")
+    own = own.filter("some or k_next is not null or k_last is not null")  # others meet nobody
     own = own.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     upto = lambda k: F.when(F.coalesce(k, F.lit(0)) > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    within = F.transform(upto(F.col("k")), lambda j: F.struct(F.col("band").alias("low"), F.least("i", j).alias("p"), (F.greatest("i", j) * 2).alias("q"), F.lit(0).alias("side")))
+    within = F.transform(upto(F.when(F.col("some"), F.col("k"))), lambda j: F.struct(F.col("band").alias("low"), F.least("i", j).alias("p"), (F.greatest("i", j) * 2).alias("q"), F.lit(0).alias("side")))
     next_ = F.transform(upto(F.col("k_next")), lambda j: F.struct(F.col("band").alias("low"), F.col("i").alias("p"), (j * 2 + 1).alias("q"), F.lit(1).alias("side")))
     last = F.transform(upto(F.col("k_last")), lambda j: F.struct((F.col("band") - 1).alias("low"), j.alias("p"), (F.col("i") * 2 + 1).alias("q"), F.lit(2).alias("side")))
-    laid = own.select("token", "cls", "root", "n", F.explode(F.concat(within, next_, last)).alias("t")).select("token", "cls", "root", "n", "t.*")
+    laid = own.select("token", "cls", "root", "n", "place", F.explode(F.concat(within, next_, last)).alias("t")).select("token", "cls", "root", "n", "place", "t.*")
     laid = laid.join(classes.select("cls", "bits"), "cls")
-    laid = laid.withColumn("tile", F.xxhash64("token", "low", "p", "q")).select("tile", "cls", "root", "n", "side", "bits")
+    laid = laid.withColumn("tile", F.xxhash64("token", "low", "p", "q")).select("tile", "cls", "root", "n", "place", "side", "bits")
 
     def task(batches):
         left = None
         for batch in batches:
-            part = [batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "cls", "root", "n", "side")] + [_words_of(batch.column("bits"))]
+            part = [batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "cls", "root", "n", "place", "side")] + [_words_of(batch.column("bits"))]
             part = part if left is None else [np.concatenate(x) for x in zip(left, part)]
             cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
             left = [x[cut:] for x in part]
@@ -289,7 +307,7 @@ def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
             yield from compared(left)
 
     def compared(part):
-        tile, cls, root, n, side, bits = part
+        tile, cls, root, n, place, side, bits = part
         size = len(tile)
         end = np.searchsorted(tile, tile, "right") if size else tile
         live, k = np.arange(size), 1
@@ -299,6 +317,7 @@ def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
                 i = live[a : a + (1 << 16)]
                 j = i + k
                 ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j])) & _can_link(n[i], n[j])
+                ok &= np.minimum(n[i] - place[i], n[j] - place[j]) * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT
                 i, j = i[ok], j[ok]
                 ok = _bound(n[i], n[j], bits[i], bits[j])
                 i, j = cls[i[ok]], cls[j[ok]]
@@ -364,11 +383,11 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Exact copies meet in one set, so links are between different texts. First each set is held against the
     hub of every token it shares; components of these links already hold nearly all near copies. Then tiles
     look at every pair that shares a token across components, so no component is missed while pairs
-    within one are not spelled out. Returns ``rows`` (doc_id, row, cls, n, bits), ``links`` (a, b, shared, total)
+    within one are not spelled out. Returns ``rows`` (doc_id, row, cls, n, bits, wide), ``links`` (a, b, shared, total)
     and ``roots`` (node, root).
     """
     rows = materialise(summaries(docs), "sets")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"))
     classes = materialise(classes, "classes")
     total = classes.agg(F.sum(F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")).alias("t")).first().t or 0
     entries = materialise(shared_tokens(docs, int(total)), "tokens")
@@ -378,7 +397,8 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     arrays = materialise(_arrays(docs, named(hubs).distinct().join(classes, "cls").select("row")), "arrays")
     links = materialise(_verified(hubs, arrays), "links")
     roots = components(links)
-    more = materialise(tiles(entries, classes, roots).join(hubs, ["a", "b"], "left_anti").join(hubs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = _likely(materialise(tiles(entries, classes, roots), "pairs"), classes)
+    more = materialise(more.join(hubs, ["a", "b"], "left_anti").join(hubs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
     lacking = named(more).distinct().join(arrays.select("cls"), "cls", "left_anti").join(classes, "cls").select("row")
     if not more.isEmpty():
         arrays = arrays.unionAll(materialise(_arrays(docs, lacking), "arrays").join(arrays.select("cls"), "cls", "left_anti"))
@@ -397,7 +417,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     copies like any others.
     """
     rows, _, roots = join(docs)
-    own = rows.drop("bits").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    own = rows.drop("bits", "wide").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     own = materialise(own, "rooted")
     least = materialise(own.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = own.join(least, "root", "left")

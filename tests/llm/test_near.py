@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from concord.llm import components, near, numtext
 from tests.llm import helpers as H
@@ -36,7 +37,7 @@ def test_small_tiles_find_the_same(spark, monkeypatch):
     rows = family(rng)
     monkeypatch.setattr(near, "TILE", 4)
     held, links, _ = near.join(H.documents(spark, rows))
-    classes = held.groupBy("cls").agg({"n": "min", "bits": "min"}).toDF("cls", "bits", "n").filter("n > 0")
+    classes = held.filter("n > 0").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("n", "bits", "wide")])
     entries = near.shared_tokens(H.documents(spark, rows), 10_000)
     none = spark.createDataFrame([], "node long, root long")
     pairs = {(r.a, r.b) for r in near.tiles(entries, classes, none).collect()}
