@@ -61,9 +61,12 @@ def _prints(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
-    """Items with words: ``item_id, n_words, words``, one row per distinct row. Items without words match nothing."""
+    """Items with words: ``item, item_id, n_words, words``, one row per distinct row; ``item`` names it, as ids may be
+    null or repeat. Items without words match nothing."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("words"))
-    return own.filter(F.size("words") > 0).distinct().withColumn("n_words", F.size("words"))
+    return own.filter(F.size("words") > 0).distinct().withColumns(
+        {"n_words": F.size("words"), "item": F.xxhash64(F.col("item_id").isNull(), F.coalesce("item_id", F.lit(0)), "words")}
+    )
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -115,16 +118,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     cut = materialise(cut.withColumns({"w1": F.xxhash64("words"), "w2": F.xxhash64(F.lit(1), "words")}).distinct(), "windows")
 
     kinds = materialise(_prints(cut.groupBy("w1", "w2").agg(F.first("words").alias("words")), "w1", "w2"), "kinds")
-    marked = materialise(_prints(items, "item_id", "n_words"), "prints").withColumnRenamed("bag", "item_bag").withColumnRenamed("print", "item_print")
+    marked = materialise(_prints(items, "item", "item_id"), "prints").withColumnRenamed("bag", "item_bag").withColumnRenamed("print", "item_print")
     spark = docs.sparkSession
     flips = spark.range(1 << BLOCK_BITS).filter(F.bit_count("id") <= FLIPS).select(F.col("id").cast("int").alias("flip"))
     flips = F.array(*[F.lit(r.flip) for r in flips.collect()])
-    near = marked.select("item_id", F.posexplode("item_print").alias("block", "value"))
+    near = marked.select("item", F.posexplode("item_print").alias("block", "value"))
     # flips multiply the items some 700 times, which Spark's size estimate does not see: never broadcast them
-    near = near.select("item_id", "block", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
-    pairs = kinds.select("w1", "w2", F.posexplode("print").alias("block", "value")).join(near.hint("merge"), ["block", "value"]).select("w1", "w2", "item_id").distinct()
+    near = near.select("item", "block", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
+    pairs = kinds.select("w1", "w2", F.posexplode("print").alias("block", "value")).join(near.hint("merge"), ["block", "value"]).select("w1", "w2", "item").distinct()
 
-    both = materialise(pairs, "candidates").join(kinds, ["w1", "w2"]).join(marked, "item_id")
+    both = materialise(pairs, "candidates").join(kinds, ["w1", "w2"]).join(marked, "item")
     apart = F.aggregate(F.zip_with("print", "item_print", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     both = both.withColumn("shared", F.size(F.array_intersect("bag", "item_bag"))).withColumn("total", F.size("bag") + F.size("item_bag") - F.col("shared"))
     held = both.filter(apart <= RADIUS).filter(F.col("shared") * 100 >= F.col("total") * percent)
