@@ -19,7 +19,7 @@ PERCENT = 75
 #: Bits of the bitmap by which tiles compare, and bits a shingle of the one by which pairs are held against each other.
 BITS, WIDE = 512, 4
 #: Tokens held before a task sorts and passes them on; tokens listed as frequent at most; tile side.
-HELD, FREQUENT, TILE = 1 << 21, 1 << 20, 1024
+HELD, FREQUENT, TILE = 1 << 20, 1 << 20, 1024
 _FILTER_BITS = 24
 
 
@@ -105,7 +105,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 def frequent(docs: DataFrame, least: int = 8) -> np.ndarray:
     """At most ``FREQUENT`` of the most frequent shingles, sorted. They only set the order of tokens.
 
-    A task passes on what it meets three times among two million shingles, so any shingle of a noticeable
+    A task passes on what it meets three times among a million shingles, so any shingle of a noticeable
     share of documents is counted; what is not listed is merely ordered by its hash.
     """
 
@@ -228,7 +228,7 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
             yield from found()
 
     runs = _texts(docs).mapInArrow(spread, "range int, tokens binary, names binary, places binary")
-    return runs.repartitionByRange(ranges, "range").sortWithinPartitions("range").mapInArrow(gather, "token long, cls long, place long, hub long")
+    return runs.repartitionById(ranges, "range").sortWithinPartitions("range").mapInArrow(gather, "token long, cls long, place long, hub long")
 
 
 # Candidates
