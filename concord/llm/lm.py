@@ -28,7 +28,7 @@ DISCOUNT = 0.75
 #: Steps of a quantised log10: 16 bits reach from 1 to 1e-16.
 STEPS = 4096
 #: n-grams held in a task before they are passed on; tokens of a shard.
-HELD, SHARD = 1 << 21, 1 << 22
+HELD, SHARD = 1 << 20, 1 << 22
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -80,15 +80,25 @@ class Trie:
 
     def children(self, level: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each parent (-1: none) and word: the node at ``level``, its own probability, the parent's weight for shorter contexts."""
+        bits = max(1, self.kinds.bit_length())
+        if int(self.base[level - 2][-1]).bit_length() + bits < 63 and len(parents):  # ask once for what occurs again
+            kinds, which = np.unique(np.where(parents < 0, -1, (parents << bits) | (words + 1)), return_inverse=True)
+            parents, words = kinds >> bits, (kinds & ((1 << bits) - 1)) - 1
+            return tuple(x[which] for x in self._children(level, parents, words))
+        return self._children(level, parents, words)
+
+    def _children(self, level: int, parents: np.ndarray, words: np.ndarray):
         node, own, weight = np.full(len(parents), -1), np.zeros(len(parents)), np.ones(len(parents))
         live = np.flatnonzero(parents >= 0)
-        live = live[np.argsort(parents[live], kind="stable")]
+        if len(live) and (np.diff(parents[live]) < 0).any():
+            live = live[np.argsort(parents[live], kind="stable")]
         base = self.base[level - 2]
         sorted_ = parents[live]
         for s, a, b in _cuts(np.searchsorted(base, sorted_, "right") - 1, len(base) - 1):
             shard, at = _bundle(self.files[level - 1][s]), live[a:b]
             local = sorted_[a:b] - base[s]
-            kinds, which = np.unique(local, return_inverse=True)
+            new = np.concatenate([[True], local[1:] != local[:-1]])
+            kinds, which = local[new], np.cumsum(new) - 1
             pointers = _sequence(shard)
             ends = succinct.elias_fano_at(pointers, np.concatenate([kinds, kinds + 1]))
             start, end = ends[: len(kinds)][which], ends[len(kinds) :][which]
@@ -140,7 +150,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _slices(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        for a, b, data, offsets in numtext.slices(batch.column("text")):
+        for a, b, data, offsets in numtext.slices(batch.column("text"), 2 * numtext.SLICE):
             yield batch.slice(a, b - a), *tokens(data, offsets)
 
 
@@ -192,7 +202,7 @@ def _by_shard(packed: DataFrame, shards: int, build, schema: pa.Schema, sql: str
         if held:
             yield done()
 
-    return packed.repartitionByRange(shards, "shard").sortWithinPartitions("shard").mapInArrow(task, sql)
+    return packed.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(task, sql)
 
 
 def _vocabulary(docs: DataFrame, folder: str, shards: int) -> Trie:

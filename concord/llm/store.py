@@ -39,6 +39,6 @@ def mapped(uri: str) -> np.ndarray:
     """The bytes of a file: memory-mapped where the shared folder is mounted, else read once."""
     files, path = _open(uri)
     if isinstance(files, fs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r") if files.get_file_info(path).size else np.zeros(0, np.uint8)
+        return np.memmap(path, np.uint8, "r").view(np.ndarray) if files.get_file_info(path).size else np.zeros(0, np.uint8)
     with files.open_input_file(path) as f:
         return np.frombuffer(f.read_buffer(f.size()), np.uint8)
