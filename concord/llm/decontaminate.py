@@ -143,7 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that hold no item. Rows of an id go together."""
     found = materialise(matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_hit"]), "left_anti")
 
 
 @query("op9_decontamination")

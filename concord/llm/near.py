@@ -436,10 +436,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(key).alias("first"))
     gone = rows.join(materialise(first, "first"), "root").filter(key != F.col("first")).select(F.col("row").alias("gone"))
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row of this stage"))
-    own = own.join(materialise(gone.distinct(), "gone"), F.col("`row of this stage`") == F.col("gone"), "left_anti")
+    gone = materialise(gone.distinct(), "gone")
+    own = own.join(gone, own["row of this stage"] == gone["gone"], "left_anti")
     again = materialise(rows.groupBy(F.col("row").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"), "again")
-    once = own.join(again, F.col("`row of this stage`") == F.col("again"), "left_anti")
-    more = own.join(again, F.col("`row of this stage`") == F.col("again"), "left_semi").dropDuplicates(["row of this stage"])
+    same = own["row of this stage"] == again["again"]
+    once, more = own.join(again, same, "left_anti"), own.join(again, same, "left_semi").dropDuplicates(["row of this stage"])
     return once.unionAll(more).drop("row of this stage")
 
 

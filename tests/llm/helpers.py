@@ -7,7 +7,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASHING = ["id", "row", "cls", "n", "score", "label", "size", "copies", "root", "held_out", "words", "gap0", "ids", "_hit", "copy"]
+CLASHING = ["id", "row", "cls", "n", "score", "label", "size", "copies", "root", "held_out", "words", "gap0", "ids", "_hit", "copy", "gone", "again"]
 
 
 def documents(spark, rows, clashing=False):

@@ -37,7 +37,7 @@ def test_lengths_are_huffman_where_they_fit():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 3, 50, 700):
         counts = rng.integers(0, 1000, n) ** 2
-        lengths = token_ids.code_lengths(counts).astype(int)
+        lengths = token_ids.code_lengths(counts, 40).astype(int)
         used = counts > 0
         heap = [(int(c), 0) for c in counts[used]]
         heapq.heapify(heap)
@@ -70,7 +70,7 @@ def test_bits_round_trip(n, tmp_path):
 
 def test_files_of_all_documents(spark):
     rng = random.Random(3)
-    rows = [(i * 7 % 301, H.prose(rng, rng.randrange(40)), "en", "s") for i in range(301)] + [(1000 + i, t, "en", "s") for i, t in enumerate(AWKWARD)]
+    rows = [(i * 11 % 301, H.prose(rng, rng.randrange(40)), "en", "s") for i in range(301)] + [(1000 + i, t, "en", "s") for i, t in enumerate(AWKWARD)]
     files = token_ids.write(H.documents(spark, rows), PATH, scratch_path(spark, "test"), file_ids=3000)
     got = {r.doc_id: tuple(r)[1:] for r in token_ids.read(files).collect()}
     assert files.count() > 3
