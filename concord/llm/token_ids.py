@@ -7,6 +7,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,10 +63,10 @@ _LETTERS = _byte_letters()
 
 def _encode_new(tokenizer, pieces: list[bytes]) -> list[bytes]:
     """Ids of each piece; a run of letters is one unit to the pattern, and goes to the merges directly."""
-    out, other = [b""] * len(pieces), []
+    out, other, tokenize = [b""] * len(pieces), [], tokenizer.model.tokenize
     for i, x in enumerate(pieces):
         if _ONE_RUN.fullmatch(x):
-            out[i] = np.array([t.id for t in tokenizer.model.tokenize(x.decode("latin-1").translate(_LETTERS))], np.uint32).tobytes()
+            out[i] = array("I", [t.id for t in tokenize(x.decode("latin-1").translate(_LETTERS))]).tobytes()
         else:
             other.append(i)
     for i, e in zip(other, tokenizer.encode_batch([pieces[i].decode() for i in other], add_special_tokens=False)):
@@ -343,8 +344,15 @@ def counts_of(encoded: DataFrame, size: int, narrow: bool) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
+            held, n_held = [], 0
             for blob, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
-                total += np.bincount(_unpack(blob.as_py(), n, narrow), minlength=size)
+                held.append(_unpack(blob.as_py(), n, narrow))
+                n_held += n
+                if n_held >= 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held, n_held = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
