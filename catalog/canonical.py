@@ -216,3 +216,16 @@ def json_result_rows(spark, sf_dir):
     )
     rows, _ = results.rows_from_json(events, "event_id", "expected")
     return results.coded(rows).select("case_id", F.array_join("codes", " ").alias("row_code"))
+
+
+@query(
+    "parse_quoted",
+    """SELECT conv_id, turn, 'a (' || role || ') True|it''s|say "' || turn || '", ]|true|~' AS items FROM conversations""",
+)
+def parse_quoted(spark, sf_dir):
+    """Marks and words of Python inside strings stay as they are."""
+    text = """concat("['a (", role, ") True', \\"it's\\", 'say \\"", turn, "\\", ]', True, None, ]")"""
+    lists = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(text).alias("t"))
+    value = F.try_variant_get(F.expr(canon.parse_collection("t")), "$", "array<variant>")
+    items = F.transform(value, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("~")))
+    return lists.select("conv_id", "turn", F.array_join(items, "|").alias("items"))

@@ -331,3 +331,20 @@ def corpus_read(spark, sf_dir):
     )
     frame.write.json(path)
     return tables.read_corpus(spark, path, lines=True).drop("pos", "idx", "gold_code")
+
+
+@query(
+    "corpus_read_array",
+    f"""WITH {CORPUS_CTE} SELECT question_id, db_id, question, evidence, verified_knowledge, difficulty,
+    concat('SELECT ', question_id) AS gold_sql, concat('[[', question_id, ']]') AS output FROM corpus""",
+)
+def corpus_read_array(spark, sf_dir):
+    """The same records as JSON arrays, one file for each of some hundred conversations."""
+    path = scratch_path(spark, "corpus")
+    fields = ("question_id", "db_id", "question", "evidence", "verified_knowledge", "difficulty")
+    sql = F.array(F.concat(F.lit("SELECT "), F.col("question_id"))).alias("SQL")
+    record = F.to_json(F.struct(*fields, sql, F.array(F.array("question_id")).alias("output")))
+    frame = corpus(spark, sf_dir).select(F.floor(F.col("question_id") / 100_000).alias("part"), record.alias("r"))
+    arrays = frame.groupBy("part").agg(F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("r")), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return tables.read_corpus(spark, path).drop("pos", "idx", "gold_code")

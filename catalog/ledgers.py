@@ -9,7 +9,7 @@ from concord.operators import ledger, metrics
 from concord.plans import evaluate
 from concord.session import scratch_path
 from concord.sources import sinks, tables
-from concord.streaming.verdicts import stream_verdicts
+from concord.streaming.verdicts import stream_verdicts, unread_path
 
 
 def _orders(spark, sf_dir):
@@ -201,3 +201,27 @@ def evaluate_run(spark, sf_dir):
     segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     _, acc = evaluate.evaluate(preds, corpus, scratch_path(spark, "verdict-ledger"), levels=segments)
     return acc.select("level", "n", "n_correct")
+
+
+@query("records_without_order", "SELECT doc_id, lang, source FROM documents")
+def records_without_order(spark, sf_dir):
+    """One record an id; those in English have no order, and keep their fields all the same."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.expr("nullif(lang, 'en')").alias("o"))
+    return ledger.keep_first(docs, "doc_id", "o").drop("o")
+
+
+@query(
+    "stream_unread",
+    """SELECT CASE WHEN o_orderstatus = 'P' THEN concat('{"case_id": ', o_custkey, ', broken ', o_orderkey)
+        ELSE concat('{"res":1,"seq":', o_orderkey, '}') END AS line FROM orders WHERE o_orderstatus <> 'F'""",
+)
+def stream_unread(spark, sf_dir):
+    """Lines of a verdict stream that do not parse or have no id, the stream started twice."""
+    root = scratch_path(spark, "stream")
+    status, key = F.col("o_orderstatus"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))
+    good = F.to_json(F.struct(key.alias("case_id"), F.lit(1).alias("res"), F.col("o_orderkey").alias("seq")))
+    broken = F.concat(F.lit('{"case_id": '), F.col("o_custkey"), F.lit(", broken "), F.col("o_orderkey"))
+    table(spark, sf_dir, "orders").select(F.when(status == "P", broken).otherwise(good).alias("value")).write.text(f"{root}/in")
+    for _ in range(2):
+        stream_verdicts(spark, f"{root}/in", f"{root}/ledger", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(unread_path(f"{root}/ledger")).select("line")

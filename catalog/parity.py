@@ -293,3 +293,38 @@ def sql_vs_dataframe(spark, sf_dir):
     ]
     rows, sides = C.run_cases(spark, cases, {"shop": tables})
     return parity.verdicts(rows, sides)
+
+
+@query(
+    "verdicts_lenient_one_case",
+    f"""
+    WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, {sql_cents('l_extendedprice')} AS price FROM lineitem),
+    a AS (SELECT {sql_cents('l_extendedprice')} AS price, l_returnflag, l_partkey, l_linenumber, l_orderkey FROM lineitem),
+    p AS (SELECT l_orderkey, l_linenumber, l_partkey, price FROM a),
+    t AS (SELECT NOT EXISTS (SELECT * FROM e EXCEPT SELECT * FROM p) AND NOT EXISTS (SELECT * FROM p EXCEPT SELECT * FROM e) AS equal)
+    SELECT 'lineitem' AS case_id, CAST(equal AS INTEGER) AS res, CASE WHEN equal THEN 'projection' ELSE 'none' END AS level,
+        (SELECT count(*) FROM e) + (SELECT count(*) FROM a) AS diff_rows, CAST(NULL AS VARCHAR) AS error FROM t""",
+)
+def verdicts_lenient_one_case(spark, sf_dir):
+    """All of lineitem as one case that only the projection level decides."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("case_key", F.lit("lineitem"))
+    rows = results.rows_from_frame(lines, "case_key", "expected", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "lenient").union(
+        results.rows_from_frame(lines, "case_key", "actual", ["l_extendedprice", "l_returnflag", "l_partkey", "l_linenumber", "l_orderkey"], "lenient")
+    )
+    rows = materialise(rows, "case-rows")
+    return parity.verdicts(rows, results.sides_of(rows), "lenient")
+
+
+@query(
+    "verdicts_undeclared",
+    """SELECT o_orderpriority AS case_id, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS res,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN 'multiset' ELSE 'none' END AS level, CAST(0 AS BIGINT) AS diff_rows,
+        CASE WHEN o_orderpriority <> '1-URGENT' THEN 'actual side absent' END AS error
+    FROM orders GROUP BY o_orderpriority""",
+)
+def verdicts_undeclared(spark, sf_dir):
+    """Cases with equal rows, of which one alone has side records."""
+    orders = table(spark, sf_dir, "orders")
+    of = lambda side: results.rows_from_frame(orders, "o_orderpriority", side, ["o_orderkey", "o_totalprice"])
+    rows = of("expected").union(of("actual"))
+    return parity.verdicts(rows, results.sides_of(rows).filter("case_id = '1-URGENT'"))

@@ -56,3 +56,19 @@ _KEYS = (("l_orderkey",), ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_line
 def key_report(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("tax_code", F.expr("nullif(l_tax, 0)"))
     return report_keys(lines, _KEYS)
+
+
+@query("table_dir_gbk", "SELECT c_custkey, concat(c_name, ' 客户') AS c_name, 'GBK:ok' AS status FROM customer")
+def table_dir_gbk(spark, sf_dir):
+    """A table in another encoding, found by its bytes; no setting of the session stays changed."""
+    path, setting = scratch_path(spark, "gbk"), "spark.sql.legacy.javaCharsets"
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" 客户")).alias("c_name"))
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        named.write.option("header", True).option("encoding", "GBK").csv(f"{path}/customer.csv")
+    finally:
+        spark.conf.set(setting, before)
+    read, status = tables.read_table_dir(spark, path, {"customer": named.schema})
+    note = status.select(F.concat_ws(":", "encoding", "status").alias("status")).first()["status"]
+    return read["customer"].withColumn("status", F.lit(note))

@@ -266,19 +266,29 @@ def cell_code(cell: str, digits: int = 2) -> str:
 
 # --- texts that hold collections -----------------------------------------------------------
 
-_SINGLE_QUOTED = r"\x27((?:[^\x27\\]|\\.)*)\x27"
+_STRINGS = r"\x27(?:[^\x27\\]|\\.)*\x27|\x22(?:[^\x22\\]|\\.)*\x22"
+
+
+def _json_string(k: str) -> str:
+    """A single-quoted string as JSON: its own quote freed, the other one escaped."""
+    inner = f"substring({k}, 2, length({k}) - 2)"
+    return rf"concat('\"', regexp_replace(replace({inner}, '\\\'', '\''), r'(?<!\\)(\x22)', r'\\$1'), '\"')"
 
 
 def parse_collection(x: str) -> str:
     """Variant value of a text that looks like a list, tuple or dict; null where it is not one.
 
-    Tried as JSON first, then with single quotes, parentheses and the words None, True and False
-    rewritten to their JSON forms.
+    Tried as JSON first. Then the text is cut into quoted strings and what is between them: strings take
+    JSON's quotes, and only between strings parentheses, a last comma and the words None, True and False
+    take their JSON forms. A quote that is never closed makes the text no collection.
     """
     t = strip(x)
-    plain = f"regexp_replace({t}, r'{_SINGLE_QUOTED}', '\"$1\"')"
-    plain = rf"regexp_replace(translate({plain}, '()', '[]'), r',\s*\]', ']')"
+    cut = f"regexp_extract_all({t}, r'((?s){_STRINGS}|[^\\x27\\x22]+)', 1)"
+    plain = r"regexp_replace(translate(k, '()', '[]'), r',\s*\]', ']')"
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
-        plain = rf"regexp_replace({plain}, r'(?<=[\[,:\s{{]){word}(?=[\],\s}}])', '{json_word}')"
+        plain = rf"regexp_replace({plain}, r'\b{word}\b', '{json_word}')"
+    token = f"CASE left(k, 1) WHEN '\\'' THEN {_json_string('k')} WHEN '\"' THEN k ELSE {plain} END"
+    whole = f"array_join({cut}, '') = {t}"
+    rewritten = f"array_join(transform({cut}, k -> {token}), '')"
     looks = rf"{t} RLIKE r'(?s)^(\[.*\]|\{{.*\}}|\(.*\))$'"
-    return f"CASE WHEN {looks} THEN coalesce(try_parse_json({t}), try_parse_json({plain})) END"
+    return f"CASE WHEN {looks} THEN coalesce(try_parse_json({t}), CASE WHEN {whole} THEN try_parse_json({rewritten}) END) END"

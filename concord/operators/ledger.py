@@ -19,16 +19,21 @@ def _one_per_id(df: DataFrame, key: str, order: str | Column, last: bool) -> Dat
     rest = [c for c in df.columns if c != key]
     pick = F.max_by if last else F.min_by
     order = F.col(order) if isinstance(order, str) else order
+    # A record without an order comes after all others (first) or before them (last), but is never lost.
+    order = F.struct(order.isNotNull() if last else order.isNull(), order)
     return df.groupBy(key).agg(pick(F.struct(*rest), order).alias("_row")).select(key, "_row.*").select(*df.columns)
 
 
 def keep_first(df: DataFrame, key: str, order: str | Column) -> DataFrame:
-    """The first record of each id in the given order, which must be unique within an id."""
+    """The first record of each id in the given order, which must be unique within an id.
+
+    Records without an order count only where an id has no other.
+    """
     return _one_per_id(df, key, order, last=False)
 
 
 def latest_entry(df: DataFrame, key: str, order: str | Column) -> DataFrame:
-    """The last record of each id in the given order."""
+    """The last record of each id in the given order; records without one only where there is no other."""
     return _one_per_id(df, key, order, last=True)
 
 

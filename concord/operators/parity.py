@@ -224,6 +224,20 @@ def within_tolerance(values: DataFrame, tol: int = 1) -> DataFrame:
     )
 
 
+_SALTS = 32
+
+
+def _of_cases(rows: DataFrame, cases: DataFrame, content: str, how: str = "inner") -> DataFrame:
+    """Rows joined with a table of cases, dealt out by case and a salt of their content.
+
+    The table of cases is repeated for each salt, so one case with a large share of all rows meets its record
+    in many tasks; what groups the rows afterwards has to shuffle them by more than the case.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(content), F.lit(_SALTS)).cast("int"))
+    spread = cases.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(spread, ["case_id", "_salt"], how).drop("_salt")
+
+
 def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
     """Differences left after percent signs and factors of 100 are evened out, per case.
 
@@ -231,7 +245,7 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
     carry rounding noise, rows that still differ are compared by rank within ``tol`` units, the
     rest of the row being equal. Returns ``case_id, diff_rows`` with 0 for equal.
     """
-    joined = rows.join(column_scales(rows, digits), "case_id").select(
+    joined = _of_cases(rows, column_scales(rows, digits), "cells").select(
         "case_id", "side", "places", "tolerant",
         F.expr(f"transform(cells, c -> {_unpercent('c')})").alias("cells"),
         F.expr("CASE WHEN side = 'expected' THEN e_factor ELSE a_factor END").alias("factor"),
@@ -301,7 +315,7 @@ def _projection_rows(weighed: DataFrame) -> DataFrame:
     in_narrow = F.when(F.col("expected_narrow"), F.col("n_e") > 0).otherwise(F.col("n_a") > 0)
     in_wide = F.when(F.col("expected_narrow"), F.col("n_a") > 0).otherwise(F.col("n_e") > 0)
     roles = F.array_compact(F.array(F.when(in_narrow, F.lit("n")), F.when(in_wide, F.lit("w"))))
-    return weighed.join(shapes, "case_id").select("case_id", F.explode(roles).alias("role"), "codes")
+    return _of_cases(weighed, shapes, "codes").select("case_id", F.explode(roles).alias("role"), "codes")
 
 
 def _column_plans(rows: DataFrame) -> DataFrame:
@@ -349,7 +363,7 @@ def _pick(codes: Column, positions: Column) -> Column:
 
 def _verified(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Cases for which one of the full column maps gives equal sets of rows, checked exactly."""
-    joined = rows.join(maps, "case_id").select(
+    joined = _of_cases(rows, maps, "codes").select(
         "case_id", "to", "role",
         F.when(F.col("role") == "n", _pick(F.col("codes"), F.col("n_cols")))
         .otherwise(_pick(F.col("codes"), F.col("to"))).alias("codes"),
@@ -373,10 +387,10 @@ def _search_maps(rows: DataFrame, plans: DataFrame) -> DataFrame:
     in the frontier, so the work of a round is bounded while no map is ever skipped.
     """
     spark = rows.sparkSession
-    rows = materialise(rows.join(plans.select("case_id"), "case_id", "left_semi"), "projection-rows")
+    rows = materialise(_of_cases(rows, plans.select("case_id"), "codes", "left_semi"), "projection-rows")
     depth = F.explode(F.sequence(F.lit(1), F.size("n_cols"))).alias("depth")
     prefixes = materialise(
-        rows.filter("role = 'n'").join(plans.select("case_id", "n_cols"), "case_id")
+        _of_cases(rows.filter("role = 'n'"), plans.select("case_id", "n_cols"), "codes")
         .select("case_id", depth, "n_cols", "codes")
         .groupBy("case_id", "depth")
         .agg(_sketch(_pick(F.col("codes"), F.slice("n_cols", F.lit(1), F.col("depth")))).alias("sketch")),
@@ -396,7 +410,7 @@ def _search_maps(rows: DataFrame, plans: DataFrame) -> DataFrame:
         )
         per_case = grown.groupBy("case_id").agg(F.collect_list("to").alias("maps"))
         sketched = (
-            rows.filter("role = 'w'").join(per_case, "case_id")
+            _of_cases(rows.filter("role = 'w'"), per_case, "codes")
             .select("case_id", F.explode("maps").alias("to"), "codes")
             .groupBy("case_id", "to")
             .agg(_sketch(_pick(F.col("codes"), F.col("to"))).alias("sketch"))
@@ -484,13 +498,14 @@ def _verdicts(coded: DataFrame, rows: DataFrame | None, sides: DataFrame, profil
         e_empty = e_empty | F.coalesce("e_null", F.lit(False))
         a_empty = a_empty | F.coalesce("a_null", F.lit(False))
     counted = diffs(weigh(coded))
-    base = shapes.join(counted, "case_id", "left").select(
+    # A case with rows but no side record is a verdict too: both its sides are absent.
+    base = shapes.join(counted, "case_id", "full").select(
         "case_id", "e_n_rows", "a_n_rows", "e_n_cols", "a_n_cols",
         side_error.alias("error"),
         F.coalesce("diff_rows", F.lit(0).cast("bigint")).alias("diff_rows"),
         F.coalesce("diff_distinct", F.lit(0).cast("bigint")).alias("diff_distinct"),
-        (e_empty & a_empty).alias("both_empty"),
-        (e_empty | a_empty).alias("one_empty"),
+        F.coalesce(e_empty & a_empty, F.lit(False)).alias("both_empty"),
+        F.coalesce(e_empty | a_empty, F.lit(False)).alias("one_empty"),
     )
     first = (
         F.when(F.col("error").isNotNull(), "none")
@@ -505,7 +520,7 @@ def _verdicts(coded: DataFrame, rows: DataFrame | None, sides: DataFrame, profil
     is_open = base.filter(F.col("level").isNull()).select("case_id", "e_n_rows", "a_n_rows", "e_n_cols", "a_n_cols")
     if is_open.isEmpty():
         return _verdict_columns(base)
-    rest = materialise(weigh(coded.join(is_open, "case_id", "left_semi")), "verdict-rest")
+    rest = materialise(weigh(_only(coded, is_open, "codes")), "verdict-rest")
     found = []
     for level in LEVELS[2:]:
         if level == "projection":
@@ -515,7 +530,7 @@ def _verdicts(coded: DataFrame, rows: DataFrame | None, sides: DataFrame, profil
             hits = diff_flat(_only(rest, is_open.filter(vector))).filter("diff_rows = 0").select("case_id")
         elif level == "scaled":
             hits = (
-                diff_scaled(_only(rows, is_open.filter("e_n_cols = a_n_cols")), digits)
+                diff_scaled(_only(rows, is_open.filter("e_n_cols = a_n_cols"), "cells"), digits)
                 .filter("diff_rows = 0").select("case_id")
             )
         else:
@@ -528,8 +543,8 @@ def _verdicts(coded: DataFrame, rows: DataFrame | None, sides: DataFrame, profil
     return _verdict_columns(joined.withColumn("level", F.coalesce("level", "found", F.lit("none"))))
 
 
-def _only(frame: DataFrame, cases: DataFrame) -> DataFrame:
-    return frame.join(cases.select("case_id"), "case_id", "left_semi")
+def _only(frame: DataFrame, cases: DataFrame, content: str = "codes") -> DataFrame:
+    return _of_cases(frame, cases.select("case_id"), content, "left_semi")
 
 
 def _verdict_columns(base: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed; once per session."""
+    if getattr(spark.sparkContext, "_concord_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="concord-package-"))  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(package, folder / "root" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "root"))
+    spark.sparkContext._concord_shipped = True

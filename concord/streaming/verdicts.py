@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from concord.operators import ledger
@@ -11,20 +12,33 @@ from concord.operators import ledger
 INPUT_SCHEMA = "case_id bigint, res int, seq bigint"
 
 
+def unread_path(path: str) -> str:
+    """Where the lines that gave no record are kept, a folder for each batch."""
+    return path.rstrip("/") + "-unread"
+
+
 def stream_verdicts(
     spark: SparkSession, source: str, path: str, checkpoint: str, schema: str = INPUT_SCHEMA,
     key: str = "case_id", order: str = "seq",
 ) -> StreamingQuery:
     """Feed a verdict ledger from JSON-lines files; stops when all present files are read.
 
-    Lines that do not parse have no id and are dropped. Each micro-batch keeps the first record of
-    an id and adds only ids the ledger lacks, so a batch that is repeated after a failure changes
-    nothing.
+    Each micro-batch keeps the first record of an id and adds only ids the ledger lacks, so a batch that is
+    repeated after a failure changes nothing. Lines that do not parse or have no id are kept, as ``line``,
+    in the table ``unread_path(path)``, which a repeated batch writes over.
     """
-    def add(batch: DataFrame, _: int) -> None:
-        ledger.append_new(batch, path, key, order)
-
-    stream = spark.readStream.schema(schema).json(source).filter(F.col(key).isNotNull())
+    fields = T.StructType.fromDDL(schema).add("_corrupt_record", "string")
+    good = F.col("r._corrupt_record").isNull() & F.col(f"r.{key}").isNotNull()
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        ledger.append_new(batch.filter(good).select(*[f"r.{f.name}" for f in fields[:-1]]), path, key, order)
+        unread = batch.filter(~good).select(F.col("value").alias("line"))
+        unread.write.mode("overwrite").parquet(f"{unread_path(path)}/batch={number}")
+        batch.unpersist()
+
+    parsed = F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    stream = spark.readStream.text(source).filter(F.trim("value") != "").select("value", parsed)
     return (
         stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)

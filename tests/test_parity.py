@@ -4,7 +4,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from concord.functions import canon
 from concord.operators import parity, results
 from concord.session import materialise
 
@@ -159,3 +161,50 @@ def test_tolerance_against_brute_force(spark):
     df = spark.createDataFrame(rows, "case_id string, grp string, x bigint, n_e bigint, n_a bigint").repartition(4)
     got = {r.case_id: r.ok for r in parity.within_tolerance(df).collect()}
     assert got == want
+
+
+COLLECTIONS = [
+    ("['a (b)', 'c']", ["a (b)", "c"]), ("['x True y', True]", ["x True y", True]), ('["it\'s", \'c\']', ["it's", "c"]),
+    ("['say \"hi\"', 'c']", ['say "hi"', "c"]), ("('a, ]', None, )", ["a, ]", None]), ("['it\\'s']", ["it's"]), ("{'k': (1, False)}", {"k": [1, False]}),
+]
+
+
+def test_collections_keep_what_is_inside_strings(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(COLLECTIONS)], "i int, t string")
+    got = {r.i: json.loads(r.j) for r in df.selectExpr("i", f"to_json({canon.parse_collection('t')}) AS j").collect()}
+    assert got == {i: v for i, (_, v) in enumerate(COLLECTIONS)}
+    odd = spark.createDataFrame([("['open]",), ("[1] 'x",), ("plain",)], "t string")
+    assert odd.selectExpr(f"{canon.parse_collection('t')} AS v").filter("v IS NOT NULL").count() == 0
+
+
+def test_collections_as_cells(spark):
+    pairs = {str(i): (v, t) for i, (t, v) in enumerate(COLLECTIONS)}
+    assert {r.res for r in judge(spark, pairs, "lenient").values()} == {1}
+
+
+@pytest.mark.parametrize("profile", ["strict", "lenient"])
+def test_rows_without_a_side_record_get_a_verdict(spark, profile):
+    df = spark.createDataFrame([("a", "[[1]]"), ("b", "[[1]]")], "case_id string, v string")
+    one = [results.rows_from_json(df, "case_id", s, "v", profile) for s in ("expected", "actual")]
+    rows, sides = one[0][0].union(one[1][0]), one[0][1].union(one[1][1]).filter("case_id = 'a'")
+    got = {r.case_id: (r.res, r.error is None) for r in parity.verdicts(materialise(rows, "rows"), materialise(sides, "sides"), profile).collect()}
+    assert got == {"a": (1, True), "b": (0, False)}
+
+
+def test_a_hot_case_is_dealt_out_by_content(spark):
+    """Without broadcasts, every join with cases is dealt by more than the case, and so is what groups after it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1000).selectExpr("'hot' AS case_id", "array(CAST(id AS STRING)) AS codes", "'expected' AS side")
+        cases = spark.createDataFrame([("hot",)], "case_id string")
+        grouped = parity._of_cases(rows, cases, "codes", "left_semi").groupBy("case_id", "codes").count()
+        plan = grouped._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(exchanges) == 3 and all("codes" in x or "_salt" in x for x in exchanges)
+        held = parity._of_cases(rows, cases, "codes").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in held) < 700 and sum(r["count"] for r in held) == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord.operators import cards, cases, corpus, ledger, metrics, parity, stage
 from concord.plans import evaluate, generate
 from concord.sources import sinks, tables
-from concord.streaming.verdicts import stream_verdicts
+from concord.streaming.verdicts import stream_verdicts, unread_path
 
 
 def test_table_dir(spark, tmp_path):
@@ -22,6 +22,51 @@ def test_table_dir(spark, tmp_path):
     assert {(r.table_name, r.encoding) for r in status.collect()} == {("plain", "UTF-8"), ("Wide", "GBK")}
 
 
+def test_table_dir_splits_files_and_leaves_no_setting(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("a,b\n" + "".join(f'{i},"v ""{i}"""\n' for i in range(40_000)))
+    (tmp_path / "empty.csv").write_text("a,b\n")
+    (tmp_path / "wide.csv").write_bytes("a,b\n1,中文\n".encode("gbk"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        read, _ = tables.read_table_dir(spark, str(tmp_path), {"big": "a int, b string"})
+        assert read["big"].rdd.getNumPartitions() > 3
+        assert read["big"].agg(F.sum("a"), F.min("b")).first() == (sum(range(40_000)), 'v "0"')
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read["wide"].first()["b"] == "中文" and read["empty"].count() == 0
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+
+
+def test_large_array_corpus_loses_nothing(spark, tmp_path):
+    """Beyond the size of one variant (128 MB)."""
+    n, pad = 150_000, "x" * 960
+    with (tmp_path / "c.json").open("w") as f:
+        f.write("[" + ",\n".join(f'{{"question_id": {i}, "question": "{pad}", "SQL": ["s{i}"]}}' for i in range(n)) + "]")
+    got = tables.read_corpus(spark, str(tmp_path / "c.json"))
+    row = got.agg(F.count("*"), F.sum("question_id"), F.max("pos"), F.count("gold_sql"), F.min(F.length("question"))).first()
+    assert tuple(row) == (n, n * (n - 1) // 2, n - 1, n, 960)
+    (tmp_path / "cut.json").write_text('[{"question_id": 1}, {"quest')
+    with pytest.raises(Exception):
+        tables.read_corpus(spark, str(tmp_path / "cut.json")).collect()
+
+
+def test_records_without_an_order_are_kept(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, 5, "c"), (2, 7, "d"), (None, None, "e")], "k int, o int, v string")
+    assert {(r.k, r.v) for r in ledger.keep_first(df, "k", "o").collect()} == {(1, "a"), (2, "c"), (None, "e")}
+    assert {(r.k, r.v) for r in ledger.latest_entry(df, "k", "o").collect()} == {(1, "a"), (2, "d"), (None, "e")}
+
+
+def test_stream_keeps_what_it_could_not_read(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "ledger")
+    source.mkdir()
+    (source / "a.json").write_text('{"case_id": 1, "res": 1, "seq": 1}\n{broken\n\n{"res": 0, "seq": 2}\n{"case_id": "x", "res": 1, "seq": 3}\n')
+    for _ in range(2):
+        stream_verdicts(spark, str(source), path, str(tmp_path / "checkpoint")).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(path).select("case_id", "res", "seq").collect()] == [(1, 1, 1)]
+    assert sorted(r.line for r in spark.read.parquet(unread_path(path)).collect()) == ['{"case_id": "x", "res": 1, "seq": 3}', '{"res": 0, "seq": 2}', "{broken"]
+
+
 def test_export_is_ordered_and_keeps_empty_headers(spark, tmp_path):
     df = spark.createDataFrame([(i, i / 3, None if i % 5 else "v") for i in range(100)], "k int, x double, s string")
     sinks.export_table(df.repartition(3), str(tmp_path / "t.csv"), ["k"])
