@@ -20,6 +20,8 @@ PERCENT = 75
 BITS, WIDE = 512, 4
 #: Tokens held before a task sorts and passes them on; tokens listed as frequent at most; tile side.
 HELD, FREQUENT, TILE = 1 << 20, 1 << 20, 1024
+#: Hubs of a token: every set that has it is held against each of them.
+HUBS = 6
 _FILTER_BITS = 24
 
 
@@ -152,14 +154,15 @@ def prefix_length(n: int) -> int:
 
 
 def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
-    """``token, cls, place, hub`` for tokens that are in the prefixes of two sets or more; ``hub`` is the least of these.
-
-    ``place`` counts the tokens of the set that come before it.
+    """What the tokens that two or more prefixes share say about pairs of sets.
 
     Linked sets share a token of their prefixes: at least 75 % of the larger set is common to both. The
     order puts frequent tokens last, so a passage of many documents is in a prefix only of documents that
-    are little else. Tokens travel in packed runs by range of their value; ``total`` of them make so many ranges
-    that each fits a task. A set that repeats within a task is passed on once.
+    are little else. Of each token some sets, spread over the run of its sets, are hubs; every set makes a pair with each.
+    Pairs come as rows ``a, b`` with a null ``token``. So tokens of up to ``HUBS`` + 1 sets are done; for others there is a
+    row ``token, a, n, place`` a set too: its size, and the tokens of it that come before. Pairs that sizes or places
+    rule out are left out. Tokens travel in packed runs by range of their value; ``total`` of them make so many
+    ranges that each fits a task. A set that repeats within a task is passed on once.
     """
     spark = docs.sparkSession
     ranges = 1 << max(3, int(np.ceil(np.log2(max(1, total / HELD)))))
@@ -167,18 +170,15 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
     known = spark.sparkContext.broadcast(frequent(docs))
 
     def spread(batches):
-        tokens, names, places, size, seen, late = [], [], [], 0, set(), _member(known.value)
+        held, size, seen, late = [], 0, set(), _member(known.value)
 
         def packed():
-            t, c, at = np.concatenate(tokens), np.concatenate(names), np.concatenate(places)
+            t, *rest = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(t)
-            t, c, at = t[order], c[order], at[order]
-            cut = np.searchsorted(t >> shift, np.arange(ranges + 1, dtype=np.uint64))
+            cut = np.searchsorted(t[order] >> shift, np.arange(ranges + 1, dtype=np.uint64))
             keep = [i for i in range(ranges) if cut[i] < cut[i + 1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keep, pa.int32()), pa.array([t[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()),
-                 *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()) for x in (c, at)]], names=["range", "tokens", "names", "places"],
-            )
+            parts = [[x[order[cut[i] : cut[i + 1]]].tobytes() for i in keep] for x in (t, *rest)]
+            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array(x, pa.binary()) for x in parts]], names=["range", *_PACKED])
 
         for _, _, sets in _sets(batches):
             for values in sets:
@@ -188,13 +188,12 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
                 seen.add(cls)
                 last = late(values)
                 prefix = np.concatenate([values[~last], values[last]])[: prefix_length(len(values))]
-                tokens.append(prefix)
-                names.append(np.full(len(prefix), cls, np.int64))
-                places.append(np.arange(len(prefix), dtype=np.uint32))
-                size += len(prefix)
+                n = len(prefix)
+                held.append((prefix, np.full(n, cls, np.int64), np.full(n, len(values), np.uint32), np.arange(n, dtype=np.uint32)))
+                size += n
             if size >= HELD:
                 yield packed()
-                tokens, names, places, size = [], [], [], 0
+                held, size = [], 0
                 if len(seen) > HELD:
                     seen = set()
         if size:
@@ -202,38 +201,65 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
 
     def gather(batches):
         held, now = [], None
-
-        def found():
-            t, c, at = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint64, np.int64, np.uint32)))
-            order = np.lexsort((c, t))
-            t, c, at = t[order], c[order], at[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, at = t[new], c[new], at[new]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            m = np.diff(np.append(first, len(t)))
-            keep = np.repeat(m, m) > 1
-            cols = [t[keep].view(np.int64), c[keep], at[keep].astype(np.int64), np.repeat(c[first], m)[keep]]
-            for a in range(0, int(keep.sum()), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in cols], names=["token", "cls", "place", "hub"])
-
         for batch in batches:
-            for r, *parts in zip(batch.column("range").to_pylist(), *(batch.column(c) for c in ("tokens", "names", "places"))):
+            for r, *parts in zip(batch.column("range").to_pylist(), *(batch.column(c) for c in _PACKED)):
                 if r != now and held:
-                    yield from found()
+                    yield from _pairs_and_entries(held)
                     held = []
                 now = r
                 held.append([x.as_py() for x in parts])
         if held:
-            yield from found()
-
-    runs = _texts(docs).mapInArrow(spread, "range int, tokens binary, names binary, places binary")
-    return runs.repartitionById(ranges, "range").sortWithinPartitions("range").mapInArrow(gather, "token long, cls long, place long, hub long")
+            yield from _pairs_and_entries(held)
+
+    runs = _texts(docs).mapInArrow(spread, "range int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    runs = runs.repartitionById(ranges, "range").sortWithinPartitions("range")
+    return runs.mapInArrow(gather, "token long, a long, b long, n long, place long")
+
+
+_PACKED = ("tokens", "names", "sizes", "places")
+
+
+def _pairs_and_entries(held: list) -> Iterator[pa.RecordBatch]:
+    """The rows of ``shared_tokens`` for one range of tokens, from what all tasks passed on."""
+    t, c, n, at = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint64, np.int64, np.uint32, np.uint32)))
+    order = np.lexsort((c, t))
+    t, c = t[order], c[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+    t, c, n, at = t[new], c[new], n[order][new].astype(np.int64), at[order][new].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    m = np.diff(np.append(first, len(t)))
+    start, size = np.repeat(first, m), np.repeat(m, m)
+    keep = np.flatnonzero(size > 1)
+    found = []
+    for k in range(HUBS):
+        own = keep[size[keep] > k]
+        hub = start[own] + np.where(size[own] > HUBS, size[own] * k // HUBS, k)
+        ok = (own != hub) & _can_link(n[own], n[hub]) & _enough_left(n[own], n[hub], at[own], at[hub])
+        x, y = c[own[ok]], c[hub[ok]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    none = lambda k: pa.nulls(k, pa.int64())
+    for i in range(0, len(pairs), 1 << 18):
+        x, y = pairs[i : i + (1 << 18)].T
+        yield pa.RecordBatch.from_arrays([none(len(x)), pa.array(x), pa.array(y), none(len(x)), none(len(x))], names=_ROWS)
+    many = np.flatnonzero(size > HUBS + 1)
+    for i in range(0, len(many), 1 << 18):
+        j = many[i : i + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(t[j].view(np.int64)), pa.array(c[j]), none(len(j)), pa.array(n[j]), pa.array(at[j])], names=_ROWS)
+
+
+_ROWS = ["token", "a", "b", "n", "place"]
 
 
 # Candidates
 
 
+def _enough_left(n1, n2, place1, place2):
+    """Whether enough tokens follow, and with it, for the two sets to link if this is the first they share."""
+    return np.minimum(n1 - place1, n2 - place2) * (100 + PERCENT) >= (n1 + n2) * PERCENT
+
+
 def _can_link(n1, n2):
     return (n1 * 100 >= n2 * PERCENT) & (n2 * 100 >= n1 * PERCENT)
 
@@ -275,10 +301,10 @@ def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     ``TILE`` sets is cut into blocks by hash, and every two blocks make a tile. So no task gets a token whole. A pair
     is taken from a token only if enough tokens follow it in both sets, as they must after the first they share.
     """
-    rooted = entries.select("token", "cls", "place").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = entries.select("token", "cls", "n", "place").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rooted = materialise(rooted, "rooted")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("token")
-    own = materialise(rooted.join(mixed, "token"), "mixed").join(classes.select("cls", "n"), "cls")
+    own = materialise(rooted.join(mixed, "token"), "mixed")
     own = own.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int"))
     blocks = own.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"), (F.count("*") > 1).alias("some"))
     blocks = materialise(blocks, "bands")
@@ -317,7 +343,7 @@ def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
                 i = live[a : a + (1 << 16)]
                 j = i + k
                 ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j])) & _can_link(n[i], n[j])
-                ok &= np.minimum(n[i] - place[i], n[j] - place[j]) * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT
+                ok &= _enough_left(n[i], n[j], place[i], place[j])
                 i, j = i[ok], j[ok]
                 ok = _bound(n[i], n[j], bits[i], bits[j])
                 i, j = cls[i[ok]], cls[j[ok]]
@@ -381,7 +407,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their sets, verified links between sets, and components of sets.
 
     Exact copies meet in one set, so links are between different texts. First each set is held against the
-    hub of every token it shares; components of these links already hold nearly all near copies. Then tiles
+    hubs of every token it shares; components of these links already hold nearly all near copies. Then tiles
     look at every pair that shares a token across components, so no component is missed while pairs
     within one are not spelled out. Returns ``rows`` (doc_id, row, cls, n, bits, wide), ``links`` (a, b, shared, total)
     and ``roots`` (node, root).
@@ -390,15 +416,15 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"))
     classes = materialise(classes, "classes")
     total = classes.agg(F.sum(F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")).alias("t")).first().t or 0
-    entries = materialise(shared_tokens(docs, int(total)), "tokens")
+    shared = materialise(shared_tokens(docs, int(total)), "tokens")
     named = lambda p: p.select(F.col("a").alias("cls")).unionAll(p.select(F.col("b").alias("cls")))
-    hubs = entries.filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    hubs = materialise(_likely(hubs, classes), "hubs")
+    hubs = materialise(_likely(shared.filter("token is null").select("a", "b").distinct(), classes), "hubs")
+    entries = shared.filter("token is not null").withColumnRenamed("a", "cls")
     arrays = materialise(_arrays(docs, named(hubs).distinct().join(classes, "cls").select("row")), "arrays")
     links = materialise(_verified(hubs, arrays), "links")
     roots = components(links)
     more = _likely(materialise(tiles(entries, classes, roots), "pairs"), classes)
-    more = materialise(more.join(hubs, ["a", "b"], "left_anti").join(hubs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
+    more = materialise(more.join(hubs, ["a", "b"], "left_anti"), "more")
     lacking = named(more).distinct().join(arrays.select("cls"), "cls", "left_anti").join(classes, "cls").select("row")
     if not more.isEmpty():
         arrays = arrays.unionAll(materialise(_arrays(docs, lacking), "arrays").join(arrays.select("cls"), "cls", "left_anti"))

@@ -38,7 +38,9 @@ def test_small_tiles_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(near, "TILE", 4)
     held, links, _ = near.join(H.documents(spark, rows))
     classes = held.filter("n > 0").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("n", "bits", "wide")])
-    entries = near.shared_tokens(H.documents(spark, rows), 10_000)
+    monkeypatch.setattr(near, "HUBS", 1)
+    shared = near.shared_tokens(H.documents(spark, rows), 10_000)
+    entries = shared.filter("token is not null").withColumnRenamed("a", "cls")
     none = spark.createDataFrame([], "node long, root long")
     pairs = {(r.a, r.b) for r in near.tiles(entries, classes, none).collect()}
     sets = {}
@@ -50,6 +52,7 @@ def test_small_tiles_find_the_same(spark, monkeypatch):
     names = sorted(sets)
     linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
     want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if linked(sets[a], sets[b])}
+    pairs |= {(r.a, r.b) for r in shared.filter("token is null").collect()}
     assert want and want <= pairs
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} <= want
 
