@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -9,9 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.operators import results
+from concord.operators import ledger, results
 from concord.session import scratch_path
 
+SIDES_SCHEMA = "case_id string, side string, status string, run string"
 Form = str | Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
@@ -23,17 +26,35 @@ class Case:
     actual: Form
 
 
+#: What an error says when the cluster, not the case, is at fault.
+_PASSING = re.compile(
+    r"(?i)executor ?lost|lost executor|fetch ?failed|no space left|connection (reset|refused)|heartbeat|timed out|out ?of ?memory|block.*not found"
+)
+
+
 def _frame(spark: SparkSession, form: Form, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The result of one side. A SQL text sees the tables of its database as views."""
+    """The result of one side. A SQL text sees the tables of its database as views, while it is planned.
+
+    Afterwards the views are gone and the caller's own are back, so a case never reads tables of another.
+    """
     if callable(form):
         return form(tables)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(form)
+    held = {t.name.lower(): t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(held[name.lower()]) for name in tables if name.lower() in held}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(form)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
-def _write(rows: Sequence[DataFrame], path: str) -> None:
-    reduce(DataFrame.unionByName, rows).write.mode("append").parquet(path)
+def _failure(e: Exception) -> str:
+    return f"{'transient' if _PASSING.search(str(e)) else 'failed'}: {type(e).__name__}"
 
 
 def run_cases(
@@ -44,41 +65,55 @@ def run_cases(
 
     Tables are the caller's, loaded once per database. Cases are written ``batch`` results to a
     job. A side that cannot be planned, or whose batch fails and which then fails alone, is recorded
-    as failed and leaves no rows.
+    as failed and leaves no rows. Where the cluster was at fault the case stays out of the result, and
+    another call with the same ``path`` runs it again; sides already recorded there are not run again. Rows count
+    only under the run that their side record names, so what an interrupted call left behind is not read.
     """
     path = path or scratch_path(spark, "case-rows")
-    spark.createDataFrame([], results.ROWS_SCHEMA).write.mode("append").parquet(path)
-    status: dict[tuple[str, str], str] = {}
+    recorded = ledger.read_table(spark, f"{path}/sides", spark.createDataFrame([], SIDES_SCHEMA).schema)
+    done = {(r.case_id, r.side) for r in recorded.select("case_id", "side").collect()}
+    spark.createDataFrame([], results.ROWS_SCHEMA).write.mode("append").parquet(f"{path}/rows/run=none")
+    passing: set[str] = set()
     planned: list[tuple[str, str, DataFrame]] = []
 
+    def record(entries: Sequence[tuple[str, str, str]], run: str) -> None:
+        kept = [(*x, run) for x in entries if not x[2].startswith("transient")]
+        passing.update(x[0] for x in entries if x[2].startswith("transient"))
+        if kept:
+            spark.createDataFrame(kept, SIDES_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/sides")
+
+    def store(sides: Sequence[tuple[str, str, DataFrame]]) -> None:
+        run = f"r{uuid.uuid4().hex}"  # never read as a number
+        reduce(DataFrame.unionByName, [rows for _, _, rows in sides]).write.parquet(f"{path}/rows/run={run}")
+        record([(c, s, "ok") for c, s, _ in sides], run)
+
     def flush() -> None:
         if not planned:
             return
         try:
-            _write([rows for _, _, rows in planned], path)
-            status.update({(c, s): "ok" for c, s, _ in planned})
+            store(planned)
         except Exception:  # find the sides that fail by themselves
-            for case_id, side, rows in planned:
+            for side in planned:
                 try:
-                    _write([rows], path)
-                    status[case_id, side] = "ok"
+                    store([side])
                 except Exception as e:
-                    status[case_id, side] = f"failed: {type(e).__name__}"
+                    record([(*side[:2], _failure(e))], "none")
         planned.clear()
 
     for case in cases:
         for side, form in zip(results.SIDES, (case.expected, case.actual)):
+            if (case.case_id, side) in done:
+                continue
             try:
                 df = _frame(spark, form, databases[case.db_id])
                 rows = results.rows_from_frame(df, F.lit(case.case_id), side, df.columns, profile)
                 planned.append((case.case_id, side, rows))
             except Exception as e:
-                status[case.case_id, side] = f"failed: {type(e).__name__}"
+                record([(case.case_id, side, _failure(e))], "none")
         if len(planned) >= batch:
             flush()
     flush()
-    rows = spark.read.schema(results.ROWS_SCHEMA).parquet(path)
-    declared = spark.createDataFrame(
-        [(c, s, "ok" if v == "ok" else v) for (c, s), v in status.items()], "case_id string, side string, status string"
-    )
-    return rows, results.complete_sides(rows, declared)
+    sides = ledger.read_table(spark, f"{path}/sides", recorded.schema).filter(~F.col("case_id").isin(sorted(passing)))
+    rows = spark.read.schema(f"{results.ROWS_SCHEMA}, run string").parquet(f"{path}/rows")
+    rows = rows.join(sides.select("case_id", "side", "run"), ["case_id", "side", "run"], "left_semi").drop("run")
+    return rows, results.complete_sides(rows, sides.select("case_id", "side", "status"))

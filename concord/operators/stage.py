@@ -57,8 +57,9 @@ def run_stage(df: DataFrame, fn: Callable, in_col: str = "prompt", partitions: i
 def stage_to_table(prompts: DataFrame, fn: Callable, phase: str, path: str, partitions: int | None = None) -> DataFrame:
     """Run one phase for the questions its table does not hold yet, append, and read it back.
 
-    ``prompts(question_id, prompt)``. The table is partitioned by phase. Questions that ended in a
-    transient failure are asked again; the newest row of a question counts.
+    ``prompts(question_id, prompt)``. The table is partitioned by phase. A question is done when it has an answer
+    or a lasting failure to the very same prompt: it is asked again after a failure that may pass, or when
+    its prompt has changed. The newest row of a question counts.
     """
     spark = prompts.sparkSession
     def held() -> DataFrame:
@@ -67,7 +68,9 @@ def stage_to_table(prompts: DataFrame, fn: Callable, phase: str, path: str, part
         )
     before = held()
     run = (before.agg(F.max("run")).first()[0] or 0) + 1
-    todo = ledger.pending(prompts, ledger.finished(before))
+    asked = F.xxhash64("prompt").alias("asked")
+    over = before.filter(F.coalesce(F.col("status"), F.lit("ok")) != "transient").select("question_id", asked).distinct()
+    todo = prompts.withColumn("asked", asked).join(over, ["question_id", "asked"], "left_anti")
     done = run_stage(todo.select("question_id", "prompt"), fn, "prompt", partitions)
     (
         done.select("question_id", "prompt", "response", "reasoning", "status", "error",

@@ -39,19 +39,29 @@ def three_phase(
     Each phase runs over the whole corpus and is stored before the next, so no call is repeated
     and an interrupted run goes on where it stopped. The oracle template may use ``inquiry`` and
     the gold columns, the final one ``knowledge`` with the answer added as a note. A question whose
-    phase failed has no response there and goes on with empty text. Returns the final answers and
-    the phase table ``question_id, phase, prompt, response, ...``.
+    phase failed for good has no response there and goes on with empty text; after a failure that may pass
+    it waits, with a final row of status ``transient``, until another run gets the phase done. Returns the
+    final answers and the phase table ``question_id, phase, prompt, response, ...``.
     """
     def phase(name: str, frame: DataFrame, fn: Callable) -> DataFrame:
         prompts = C.build_prompts(frame, cards, templates[name], ("question_id",))
         return stage_to_table(prompts, fn, name, path, partitions)
 
+    def over(stage: DataFrame) -> DataFrame:
+        return stage.filter(F.coalesce(F.col("status"), F.lit("ok")) != "transient")
+
     probe = phase("probe", corpus, fn_target)
-    asked = corpus.join(probe.select("question_id", F.col("response").alias("inquiry")), "question_id", "left")
+    asked = corpus.join(over(probe).select("question_id", F.col("response").alias("inquiry")), "question_id")
     oracle = phase("oracle", asked, fn_oracle)
     answer = text.extract_answer(F.col("response")).alias("answer")
-    told = corpus.join(oracle.select("question_id", answer), "question_id", "left").withColumn(
+    ready = over(oracle).join(over(probe).select("question_id"), "question_id", "left_semi")
+    told = corpus.join(ready.select("question_id", answer), "question_id").withColumn(
         "knowledge", C.with_note(F.col("knowledge"), F.col("answer"))
     )
     final = phase("final", told, fn_target)
-    return _final(final, kind), probe.unionByName(oracle).unionByName(final)
+    waiting = corpus.select("question_id").join(told.select("question_id"), "question_id", "left_anti").select(
+        "question_id", F.lit(None).cast("string").alias("final"), F.lit(None).cast("string").alias("reasoning"),
+        F.lit("transient").alias("status"), F.lit("an earlier phase is not done").alias("error"),
+    )
+    answers = _final(final.join(told.select("question_id"), "question_id", "left_semi"), kind).unionByName(waiting)
+    return answers, probe.unionByName(oracle).unionByName(final)

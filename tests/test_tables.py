@@ -172,6 +172,69 @@ def test_cases_isolate_failures(spark):
     assert got["none"].level == "empty" and "actual side failed" in got["fails late"].error
 
 
+def test_cases_see_their_own_tables_and_rerun_adds_nothing(spark, tmp_path):
+    one, two = ({"only_a": spark.createDataFrame([(1,)], "n int")}, {"only_b": spark.createDataFrame([(1,)], "n int")})
+    spark.range(7).createOrReplaceTempView("only_a")
+    runs = [
+        cases.Case("own", "a", "SELECT n FROM only_a", "SELECT n FROM only_a"),
+        cases.Case("foreign", "a", "SELECT n FROM only_a", "SELECT n FROM only_b"),
+        cases.Case("other", "b", "SELECT n FROM only_b", "SELECT n FROM only_b"),
+    ]
+    path, seen = str(tmp_path / "cases"), []
+    for _ in range(2):
+        rows, sides = cases.run_cases(spark, runs, {"a": one, "b": two}, path)
+        seen.append((rows.count(), {r.case_id: r.res for r in parity.verdicts(rows, sides).collect()}))
+    assert seen[0] == seen[1] == (5, {"own": 1, "foreign": 0, "other": 1})
+    assert spark.table("only_a").count() == 7 and not spark.catalog.tableExists("only_b")
+    spark.catalog.dropTempView("only_a")
+
+
+def test_cases_wait_where_the_cluster_failed(spark, tmp_path):
+    calls = []
+
+    def flaky(t):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("Lost executor 3")
+        return t["t"]
+
+    db, path = {"d": {"t": spark.range(3)}}, str(tmp_path / "cases")
+    run = lambda: cases.run_cases(spark, [cases.Case("c", "d", "SELECT id FROM t", flaky)], db, path)
+    rows, sides = run()
+    assert parity.verdicts(rows, sides).count() == 0
+    rows, sides = run()
+    assert [r.res for r in parity.verdicts(rows, sides).collect()] == [1] and rows.count() == 6
+
+
+def test_three_phases_wait_for_an_earlier_one(spark, tmp_path):
+    flat = spark.createDataFrame(
+        [(1, "fine", "shop", "", "SELECT 9", None), (2, "late", "shop", "", "SELECT 8", None)],
+        "question_id bigint, question string, db_id string, knowledge string, gold_sql string, gold_code string",
+    )
+    card = spark.createDataFrame([("shop", "CREATE")], "db_id string, card string")
+    templates = {
+        "probe": [cards.Part("question")], "oracle": [cards.Part("inquiry"), cards.Part("gold_sql", prefix=" gold ")],
+        "final": [cards.Part("knowledge", suffix=" "), cards.Part("question")],
+    }
+    down = tmp_path / "down"
+    down.touch()
+
+    def target(prompt):
+        if "late" in prompt and "Note" not in prompt and down.exists():
+            raise TimeoutError("connection timed out")
+        return f"```sql\n{prompt};\n```" if "Note" in prompt else f"ask {prompt}"
+
+    oracle = lambda p: json.dumps({"answer": f"<{p}>"})
+    run = lambda: {r.question_id: (r.status, r.final) for r in generate.three_phase(flat, card, target, oracle, templates, str(tmp_path / "p"))[0].collect()}
+    first = run()
+    assert first == {1: ("ok", "SELECT Note: <ask fine gold SELECT 9> fine"), 2: ("transient", None)}
+    down.unlink()
+    assert run() == run() == {1: first[1], 2: ("ok", "SELECT Note: <ask late gold SELECT 8> late")}
+    _, phases = generate.three_phase(flat, card, target, oracle, templates, str(tmp_path / "p"))
+    assert phases.count() == 6
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 7  # one failed probe, no other call was made twice
+
+
 def test_accuracy_counts(spark):
     verdicts = spark.createDataFrame([("1", 1), ("2", 0), ("3", 1), ("4", 1), ("5", 1)], "case_id string, res int")
     strata = spark.createDataFrame(
