@@ -131,8 +131,9 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     """Per case: a factor for each column and side, and the decimals to compare at.
 
     A column is scaled only as a whole, when it is numeric throughout and its largest magnitudes
-    are a factor of 100 apart; the smaller side is raised. A scaled column is compared at the
-    precision of its coarser side, which is what rounding before or after scaling leaves.
+    are a factor of 100 apart, up to what rounding to the decimals they show leaves open (0.23 against 22.73);
+    the smaller side is raised. A scaled column is compared at the precision of its coarser side, which is what
+    rounding before or after scaling leaves.
     Result: ``case_id, e_factor, a_factor, places`` (arrays by column) and ``tolerant``, the one
     column that may differ by rounding, or null.
     """
@@ -152,8 +153,13 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     names = ("top", "text", "fraction", "plain_places", "raised_places")
     both = per_side.groupBy("case_id", "col_no").agg(*[by_side(n, s) for n in names for s in results.SIDES])
     numeric = (~F.col("e_text")) & (~F.col("a_text")) & (F.col("e_top") > 0) & (F.col("a_top") > 0)
-    raised = lambda small, big: numeric & F.col(big).between(F.col(small) * 99.0, F.col(small) * 101.0)
-    raise_a, raise_e = raised("a_top", "e_top"), raised("e_top", "a_top")
+    raised = lambda small, big: numeric & (
+        F.col(f"{big}_top").between(F.col(f"{small}_top") * 99.0, F.col(f"{small}_top") * 101.0)
+        | ((F.col(f"{big}_top") >= F.col(f"{small}_top") * 50.0)
+           & (F.abs(F.col(f"{big}_top") - F.col(f"{small}_top") * 100.0) <= half(small) * 100.0 + half(big)))
+    )
+    half = lambda side: F.pow(F.lit(10.0), -F.col(f"{side}_plain_places")) * 0.5
+    raise_a, raise_e = raised("a", "e"), raised("e", "a")
     factors = both.select(
         "case_id", "col_no",
         F.when(raise_e, 100.0).otherwise(1.0).alias("e_factor"),

@@ -14,6 +14,8 @@ from concord.session import materialise
 PAIRS = [
     ("numeric form", [[4]], [["4.0"]], [["4.5"]], "multiset"),
     ("order", [[1], [2], [3]], [[3], [1], [2]], [[3], [1], [1]], "multiset"),
+    ("percent of a rounded share", [[0.23]], [["22.73%"]], [["24.1%"]], "scaled"),
+    ("percent of a small share", [[0.05]], [["5.12%"]], [["5.9%"]], "scaled"),
     ("nesting", ["p", "q"], [[["p"], ["q"]]], [["p"]], "flat"),
     ("list as text", ["p", "q"], "['q','p']", "['q']", "multiset"),
     ("white space", [["oak tree"]], [[" oak tree\n"]], [["oaktree"]], "multiset"),
