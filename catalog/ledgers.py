@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, table
 from concord.operators import ledger, metrics
+from concord.operators.cases import Case
 from concord.plans import evaluate
 from concord.session import scratch_path
 from concord.sources import sinks, tables
@@ -225,3 +226,33 @@ def stream_unread(spark, sf_dir):
     for _ in range(2):
         stream_verdicts(spark, f"{root}/in", f"{root}/ledger", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(unread_path(f"{root}/ledger")).select("line")
+
+
+@query(
+    "evaluate_cases",
+    """WITH r AS (SELECT 'simple' AS level, 1 AS ok UNION ALL
+        SELECT 'moderate', CAST(NOT EXISTS (SELECT n_name FROM nation WHERE n_nationkey <= 0) AS INTEGER) UNION ALL
+        SELECT 'challenging', CAST(NOT EXISTS (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation) AS INTEGER) UNION ALL
+        SELECT 'challenging', 0),
+    a AS (SELECT level, count(*) AS n, CAST(sum(ok) AS BIGINT) AS n_correct FROM r GROUP BY level
+        UNION ALL SELECT 'total', count(*), CAST(sum(ok) AS BIGINT) FROM r)
+    SELECT *, 4 AS n_verdicts, 1 AS n_events FROM a""",
+)
+def evaluate_cases(spark, sf_dir):
+    """Cases to accuracy, run twice; one case reads a table that only the other database has, and must fail."""
+    tables_ = {n: table(spark, sf_dir, n) for n in ("customer", "orders", "nation", "region")}
+    databases = {"shop": tables_, "geo": {n: tables_[n] for n in ("nation", "region")}}
+    cases = [
+        Case("segments", "shop", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1", lambda t: t["customer"].groupBy("c_mktsegment").count()),
+        Case("wrong filter", "geo", "SELECT n_name FROM nation", lambda t: t["nation"].filter("n_nationkey > 0").select("n_name")),
+        Case("customers with a nation", "shop", "SELECT c_custkey FROM customer",
+             lambda t: t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey")),
+        Case("foreign table", "geo", "SELECT count(*) FROM nation", "SELECT count(*) FROM orders"),
+    ]
+    level = dict(zip((c.case_id for c in cases), ("simple", "moderate", "challenging", "challenging")))
+    strata = spark.createDataFrame(list(level.items()), "case_id string, difficulty string")
+    path = scratch_path(spark, "evaluation")
+    for _ in range(2):
+        verdicts, acc = evaluate.evaluate_cases(spark, cases, databases, strata, path)
+    events = spark.read.parquet(f"{path}/events").count()
+    return acc.select("level", "n", "n_correct", F.lit(verdicts.count()).cast("int").alias("n_verdicts"), F.lit(events).cast("int").alias("n_events"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.operators import ledger, metrics, parity, results
+from concord.operators.cases import Case, run_cases
 from concord.session import materialise
+from concord.sources import sinks
 
 
 def judge_outputs(
@@ -51,3 +53,27 @@ def evaluate(
         strata = corpus.select(F.col("question_id").cast("string").alias("case_id"), "difficulty", "pos")
         return verdicts, metrics.accuracy(verdicts, strata, levels=levels, order="pos")
     return verdicts, metrics.accuracy(verdicts, strata, levels=levels)
+
+
+def evaluate_cases(
+    spark: SparkSession, cases: Sequence[Case], databases: Mapping[str, Mapping[str, DataFrame]], strata: DataFrame, path: str,
+    profile: str = "strict", levels: Sequence[str] = metrics.LEVELS,
+) -> tuple[DataFrame, DataFrame]:
+    """Run cases, judge them, append new verdicts to the ledger under ``path``, and report accuracy.
+
+    ``strata(case_id, difficulty)`` has one row a case. The verdicts carry their database; cases that failed go to the
+    event log too, with the message. Where the cluster was at fault a case gets no verdict until another call with
+    the same ``path`` runs it; a call that finds nothing new to run adds nothing. Returns the ledger and the accuracy.
+    """
+    rows, sides = run_cases(spark, cases, databases, f"{path}/cases", profile)
+    empty = spark.createDataFrame([], ledger.VERDICT_SCHEMA)
+    judged = parity.verdicts(rows, sides, profile)
+    named = spark.createDataFrame([(c.case_id, c.db_id) for c in cases], "case_id string, db_id string").distinct()
+    found = judged.join(named, "case_id", "left").withColumn("judge_text", F.lit(None).cast("string")).select(*empty.columns)
+    held = ledger.read_table(spark, f"{path}/verdicts", empty.schema)
+    new = materialise(ledger.new_rows(found, held, "case_id", "level"), "new-verdicts")
+    failed = new.filter("error IS NOT NULL").select(F.lit("case failed").alias("type"), "case_id", F.col("error").alias("message"))
+    sinks.event_log(failed, f"{path}/events")
+    new.write.mode("append").parquet(f"{path}/verdicts")
+    verdicts = ledger.read_table(spark, f"{path}/verdicts", empty.schema)
+    return verdicts, metrics.accuracy(verdicts, strata, levels=levels)
