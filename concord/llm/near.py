@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import numtext
 from concord.llm.components import components
-from concord.llm.registry import query, table
+from concord.llm.registry import query, small_batches, table
 from concord.session import materialise
 
 SHINGLE = 5
@@ -19,7 +19,7 @@ PERCENT = 75
 #: Bits of the bitmap by which tiles compare, and bits a shingle of the one by which pairs are held against each other.
 BITS, WIDE = 512, 4
 #: Tokens held before a task sorts and passes them on; tokens listed as frequent at most; tile side.
-HELD, FREQUENT, TILE = 1 << 20, 1 << 20, 1024
+HELD, FREQUENT, TILE = 1 << 19, 1 << 20, 1024
 #: Hubs of a token: every set that has it is held against each of them.
 HUBS = 6
 _FILTER_BITS = 24
@@ -107,7 +107,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 def frequent(docs: DataFrame, least: int = 8) -> np.ndarray:
     """At most ``FREQUENT`` of the most frequent shingles, sorted. They only set the order of tokens.
 
-    A task passes on what it meets three times among a million shingles, so any shingle of a noticeable
+    A task passes on what it meets three times among half a million shingles, so any shingle of a noticeable
     share of documents is counted; what is not listed is merely ordered by its hash.
     """
 
@@ -187,7 +187,7 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
                     continue
                 seen.add(cls)
                 last = late(values)
-                prefix = np.concatenate([values[~last], values[last]])[: prefix_length(len(values))]
+                prefix = np.concatenate([values[~last], values[last]])[: prefix_length(len(values))].copy()
                 n = len(prefix)
                 held.append((prefix, np.full(n, cls, np.int64), np.full(n, len(values), np.uint32), np.arange(n, dtype=np.uint32)))
                 size += n
@@ -412,6 +412,11 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     within one are not spelled out. Returns ``rows`` (doc_id, row, cls, n, bits, wide), ``links`` (a, b, shared, total)
     and ``roots`` (node, root).
     """
+    with small_batches(docs.sparkSession):
+        return _join(docs)
+
+
+def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = materialise(summaries(docs), "sets")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"))
     classes = materialise(classes, "classes")
