@@ -78,23 +78,35 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
 _ROW = ["id_hash", "text_hash"]
 
 
-def item_sized_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows as long as an item, laid where a shingle of the document lies in the item.
+def item_sized_windows(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every window as long as an item that can reach ``percent`` similarity to an item of this length.
 
-    A window that shares no shingle with any item has similarity zero to all and is never formed. A
-    document that is shorter than the item is one window. Returns ``id_hash, text_hash, start, n_words``.
+    A window and an item share at most as many shingles as the window has places whose shingle lies in an item of
+    its length. Windows with too few such places for ``percent`` are never formed, all others are, in whatever order
+    the parts of a passage come. A document that is shorter than the item is one window. Returns ``id_hash,
+    text_hash, start, n_words``.
     """
     sizes = sorted(r.k for r in items.select(F.least(F.lit(SHINGLE), "n_words").alias("k")).distinct().collect())
     found = []
     for k in sizes:
         own = items.filter(F.col("n_words") >= k if k == SHINGLE else F.col("n_words") == k)
-        anchors = own.select("n_words", F.posexplode(_grams("words", k, F.size("words"))).alias("offset", "gram"))
+        anchors = own.select(F.col("n_words").alias("size"), F.explode(_grams("words", k, F.size("words"))).alias("gram"))
         anchors = materialise(anchors.distinct(), "anchors")
         shaped = _keyed(docs, _words("text").alias("words")).withColumn("n", F.size("words"))
         grams = shaped.select(*_ROW, "n", F.posexplode(_grams("words", k, F.col("n"))).alias("place", "gram"))
-        hits = grams.join(anchors, "gram")
-        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.col("n") - F.col("n_words")))
-        found.append(hits.select(*_ROW, start.alias("start"), F.least("n", "n_words").alias("n_words")))
+        hits = grams.join(anchors, "gram").groupBy(*_ROW, "n", "size").agg(F.sort_array(F.collect_set("place")).alias("at"))
+        # of ``size`` words, ``long`` in a document of fewer; ``need`` hits among ``long - k + 1`` places can reach percent
+        hits = hits.withColumn("long", F.least("n", "size"))
+        need = F.ceil((F.col("long") + F.col("size") - 2 * k + 2) * percent / F.lit(100 + percent)).cast("int")
+        hits = hits.withColumn("need", F.greatest(F.lit(1), need)).filter(F.size("at") >= F.col("need"))
+        # a window that holds the hits i to i + need - 1 begins within a stretch; stretches go up and do not overlap
+        low = lambda i: F.greatest(
+            F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("long") + k, F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0)
+        )
+        high = lambda i: F.least(F.get("at", i), F.col("n") - F.col("long"))
+        stretch = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>"))
+        starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), stretch))
+        found.append(hits.select(*_ROW, F.explode(starts).alias("start"), F.col("long").alias("n_words")))
     if not found:
         return _keyed(docs, F.lit(0).alias("start"), F.lit(0).alias("n_words")).limit(0)
     return reduce(DataFrame.unionAll, found).distinct()
@@ -110,7 +122,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     Equal windows of many documents are searched and verified once.
     """
     items = materialise(passages(benchmark), "items")
-    spans = materialise(item_sized_windows(docs, items), "spans")
+    spans = materialise(item_sized_windows(docs, items, percent), "spans")
     per_doc = materialise(spans.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n_words")).alias("spans")), "marked")
     shaped = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, _ROW)
     shaped = shaped.select("doc_id", _words("text").alias("all"), F.explode("spans").alias("span"))

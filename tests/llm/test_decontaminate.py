@@ -80,3 +80,47 @@ def test_blocks_meet_within_the_radius():
     for _ in range(500):
         bits = rng.sample(range(D.BLOCKS * D.BLOCK_BITS), D.RADIUS)
         assert min(collections.Counter({b: 0 for b in range(D.BLOCKS)} | collections.Counter(b // D.BLOCK_BITS for b in bits)).values()) <= D.FLIPS
+
+
+def moved(rng):
+    """Passages with halves swapped, a part moved, words put in or left out, inside longer documents."""
+    items = [(i, H.prose(rng, rng.choice([24, 60, 90, 120]), 3000)) for i in range(16)]
+    rows = []
+    for i in range(120):
+        w = rng.choice(items)[1].split()
+        at = rng.randrange(len(w) // 3, 2 * len(w) // 3)
+        w = rng.choice([
+            lambda: w[len(w) // 2 :] + w[: len(w) // 2], lambda: w[at:] + w[:at], lambda: w[:at] + ["put", "in"] + w[at:],
+            lambda: w[:at] + w[at + 2 :], lambda: w[: at - 5] + w[at:] + w[at - 5 : at], lambda: w[at:] + ["between"] + w[:at],
+        ])()
+        rows.append((i, f"{H.prose(rng, rng.randrange(120), 3000)} {' '.join(w)} {H.prose(rng, rng.randrange(120), 3000)}", "en", "s"))
+    return rows, items
+
+
+def test_moved_parts_against_all_windows(spark):
+    rows, items = moved(random.Random(13))
+    got = {(r.doc_id, r.item_id): r.shared / r.total for r in D.matches(H.documents(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
+    want = best_matches(rows, items)
+    sure = {k for k, v in want.items() if v >= 0.85}
+    assert len(sure) > 20 and sure <= set(got) <= set(want)
+    assert len(set(want) - set(got)) <= 0.05 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in sure)
+
+
+def test_every_window_that_can_reach_the_limit(spark):
+    """Windows are those whose shingles lie in items of their length often enough, and no others."""
+    rows, items = moved(random.Random(14))
+    rows += leaky(random.Random(15))[0][:40]
+    held = D.passages(spark.createDataFrame(items, ITEMS))
+    own, sizes = {}, collections.Counter(len(words(x)) for _, x in items)
+    for _, x in items:
+        own.setdefault(len(words(x)), set()).update(bag(words(x)))
+    want = 0
+    for w in {tuple(words(t)) for _, t, *_ in rows if t}:
+        for n in sizes:
+            long = min(n, len(w))
+            for s in range(len(w) - long + 1) if long >= 5 else []:
+                hits = sum(tuple(w[i : i + 5]) in own[n] for i in range(s, s + long - 4))
+                want += hits > 0 and hits * 175 >= 75 * (long + n - 8)
+    distinct = {tuple(words(t)): (i, t, *more) for i, t, *more in rows if t}
+    assert D.item_sized_windows(H.documents(spark, list(distinct.values())), held).count() == want > 0
