@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import numtext
+from concord.llm import numtext, store, succinct
 from concord.llm.registry import fold, query, table
-from concord.session import materialise
+from concord.session import materialise, scratch_path
 
 ORDER = 4
 UNKNOWN = "und"
 _SPACE = 32
+#: Bytes of a file of the models, or so.
+SHARD = 1 << 26
 
 
 @lru_cache(maxsize=1)
@@ -70,7 +72,7 @@ class HashArray:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key among the sorted hashes, or -1."""
-        out = np.full(len(keys), -1, np.int32)
+        out = np.full(len(keys), -1, np.int64)
         if not len(self.hashes):
             return out
         hashed = numtext.mix(keys)
@@ -86,15 +88,59 @@ class HashArray:
         return out
 
 
+@lru_cache(maxsize=4096)
+def _opened(uri: str) -> tuple[HashArray, np.ndarray]:
+    held = succinct.read_bundle(uri)
+    names = HashArray.__new__(HashArray)
+    names.hashes, names.first, names.shift = held["hash"], held["first"], np.uint64(held["shift"][0])
+    return names, held["value"].reshape(len(names.hashes), -1)
+
+
+def _shard_bits(code: np.ndarray) -> np.ndarray:
+    """Xorshift, which Spark computes alike (``_shard``)."""
+    code = code ^ (code << np.uint64(13))
+    code = code ^ (code >> np.uint64(7))
+    return code ^ (code << np.uint64(17))
+
+
+class Stored:
+    """Hash arrays in memory-mapped files, one a shard; both the keys and their rows of values."""
+
+    def __init__(self, files: list[str], sizes: list[int], langs: int):
+        self.files, self.langs = files, langs
+        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key over all shards, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        shard = ((_shard_bits(keys) >> np.uint64(32)) & np.uint64(len(self.files) - 1)).astype(np.int64)
+        for s, own in self._by_shard(shard):
+            if self.base[s] < self.base[s + 1]:
+                at = _opened(self.files[s])[0].find(keys[own])
+                out[own] = np.where(at >= 0, at + self.base[s], -1)
+        return out
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(places), self.langs), np.float32)
+        for s, own in self._by_shard(np.searchsorted(self.base, places, "right") - 1):
+            out[own] = _opened(self.files[s])[1][places[own] - self.base[s]]
+        return out
+
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(len(self.files) + 1))
+        return ((s, order[ends[s] : ends[s + 1]]) for s in range(len(self.files)) if ends[s] < ends[s + 1])
+
+
 @dataclass
 class Models:
     """All languages together: per level the grams any language has, and their log probability in each."""
 
     langs: list[str]
-    grams: list[HashArray]
-    logs: list[np.ndarray]
-    contexts: list[HashArray]
-    weights: list[np.ndarray]
+    grams: list[HashArray | Stored]
+    logs: list[np.ndarray | Stored]
+    contexts: list[HashArray | Stored]
+    weights: list[np.ndarray | Stored]
     floor: float
 
     def log_probability(self, code: np.ndarray) -> np.ndarray:
@@ -220,14 +266,82 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(task, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, share: int = 1 << 17) -> Models:
-    """Models of all languages. A gram counts if it makes up one in ``share`` of its language's symbols, so a
-    model has at most ``share`` grams, whatever the size of the corpus; rarer ones are left to the lower orders."""
+def _shard(code: Column, shards: int) -> Column:
+    for turn, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+        code = code.bitwiseXOR(turn(code, by))
+    return F.shiftrightunsigned(code, 32).bitwiseAND(F.lit(shards - 1)).cast("int")
+
+
+def _per_language(df: DataFrame, key: str, langs: int, value: Column, missing: Column) -> DataFrame:
+    """One row per ``key``, with an array of ``value`` for all languages."""
+    held = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", value.alias("value")))).alias("held"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(langs - 1)), lambda i: F.coalesce(F.try_element_at("held", i), missing))
+    return held.select(key, every.alias("by_lang"))
+
+
+def trained(docs: DataFrame, folder: str | None = None) -> Models:
+    """Models of all languages from every gram of the training texts: ``build`` as aggregations and joins of Spark.
+
+    The hash arrays are files in the shared folder, ``SHARD`` bytes or so each, which scoring maps into memory. Only
+    the languages, four discounts for each, and the names of files reach the driver.
+    """
+    folder = folder or scratch_path(docs.sparkSession, "models")
     counted = materialise(gram_counts(docs), "grams")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counted.join(totals, "lang").filter(F.col("n") * share >= F.col("total")).select("lang", "code", "n").toArrow()
-    langs, codes, n = np.array(kept.column("lang").to_pylist(), object), kept.column("code").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    return build({lang: (codes[langs == lang], n[langs == lang]) for lang in set(langs)})
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return build({})
+    places = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, i int")
+    levels = {ORDER: materialise(counted.join(places, "lang").select("i", "code", "n"), "level")}
+    for level in range(ORDER - 1, 0, -1):
+        shorter = F.col("code").bitwiseAND(F.lit(int(_mask(level)))).alias("code")
+        levels[level] = materialise(levels[level + 1].select("i", shorter).groupBy("i", "code").agg(F.count(F.lit(1)).alias("n")), "level")
+
+    floor, parts, lower = -16 * np.log(2), [], None
+    for level in range(1, ORDER + 1):
+        few = levels[level].groupBy("i").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
+        off = F.when((F.col("one") > 0) & (F.col("two") > 0), F.col("one") / (F.col("one") + 2 * F.col("two"))).otherwise(F.lit(0.75))
+        offs = {r.i: r.off for r in few.select("i", off.alias("off")).collect()}
+        off = F.get(F.array(*[F.lit(offs.get(i, 0.75)) for i in range(len(langs))]), F.col("i"))
+        own = levels[level].select("i", "code", F.col("n").cast("double").alias("n"), F.shiftrightunsigned("code", 16).alias("head"), off.alias("off"))
+        total = own.groupBy("i", "head").agg(F.sum("n").alias("total"), F.sum(F.least("n", "off")).alias("left"))
+        nothing = F.struct(F.lit(1.0).alias("weight"), F.lit(1.0).alias("total"))
+        heads = _per_language(total, "head", len(langs), F.struct((F.col("left") / F.col("total")).alias("weight"), F.col("total")), nothing)
+        heads = materialise(heads.withColumnRenamed("by_lang", "context"), "contexts")
+        taken = own.select("i", "code", F.greatest(F.col("n") - F.col("off"), F.lit(0.0)).alias("n"))
+        keys = _per_language(taken, "code", len(langs), F.col("n"), F.lit(0.0)).withColumn("head", F.shiftrightunsigned("code", 16))
+        if level == 1:  # one context, the empty one
+            keys = keys.join(F.broadcast(heads), "head").withColumn("low", F.array_repeat(F.lit(float(np.exp(floor))), len(langs)))
+        else:
+            keys = keys.withColumn("shorter", F.col("code").bitwiseAND(F.lit(int(_mask(level - 1)))))
+            keys = keys.join(heads, "head").join(lower.select(F.col("code").alias("shorter"), F.col("p").alias("low")), "shorter")
+        mixed = F.zip_with("by_lang", F.zip_with("context", "low", lambda c, q: F.struct(c.weight.alias("weight"), c.total.alias("total"), q.alias("low"))),
+                           lambda n, c: n / c.total + c.weight * c.low)
+        lower = materialise(keys.select("code", mixed.alias("p")), "level")
+        logs = lambda a: F.transform(a, lambda x: F.log(x).cast("float")).alias("value")
+        parts.append(lower.select(F.lit(2 * level).alias("kind"), "code", logs(F.col("p"))))
+        parts.append(heads.select(F.lit(2 * level + 1).alias("kind"), F.col("head").alias("code"), logs(F.col("context.weight"))))
+
+    def written(part: pa.Table) -> pa.Table:
+        codes = part.column("code").to_numpy().view(np.uint64)
+        values = part.column("value").combine_chunks().flatten().to_numpy().reshape(len(codes), -1)
+        names, uri = HashArray(codes), store.new_name(folder, ".grams")
+        succinct.write_bundle(uri, {"hash": names.hashes, "first": names.first, "shift": np.array([names.shift]), "value": values[names.order].ravel()})
+        return pa.table({"kind": part.column("kind")[:1], "shard": part.column("shard")[:1], "file": [uri], "rows": pa.array([len(codes)], pa.int64())})
+
+    sizes = [x.count() for x in parts]
+    most = max(sizes) * (16 + 4 * len(langs))
+    shards = max(16, 1 << int(np.ceil(np.log2(max(1, most / SHARD)))))
+    every = reduce(DataFrame.unionAll, parts).withColumn("shard", _shard(F.col("code"), shards))
+    files = every.groupBy("kind", "shard").applyInArrow(written, "kind int, shard int, file string, rows long")
+    made = {(r.kind, r.shard): r for r in materialise(files, "files").collect()}
+    out = Models(langs, [None], [None], [None], [None], float(floor))
+    for level in range(1, ORDER + 1):
+        for kind, names, values in ((2 * level, out.grams, out.logs), (2 * level + 1, out.contexts, out.weights)):
+            own = [made.get((kind, s)) for s in range(shards)]
+            stored = Stored([r.file if r else "" for r in own], [r.rows if r else 0 for r in own], len(langs))
+            names.append(stored)
+            values.append(stored)
+    return out
 
 
 def identified(docs: DataFrame, models: Models | None = None, tail: float = 0.001) -> DataFrame:

@@ -100,3 +100,21 @@ def test_hash_arrays():
     at = held.find(keys)
     assert (held.order[at] == np.arange(len(keys))).all()
     assert (held.find(keys + np.uint64(1)) == -1).mean() > 0.99 and (language.HashArray(keys[:0]).find(keys) == -1).all()
+
+
+def test_every_gram_of_a_large_corpus_counts(spark):
+    """Models from Spark are those of the textbook on all grams, also of those that are rare among many symbols."""
+    rng = random.Random(5)
+    rows = [(i, sample(rng, "aa", 300), "aa", "s") for i in range(400)] + [(1000 + i, sample(rng, "bb", 30), "bb", "s") for i in range(40)]
+    rows += [(2000 + i, x, "aa", "s") for i, x in enumerate(["Xylofoon zwijgt", "jij hebt \U00010400 gezien"] * 2)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert sum(len(symbols(t)) for _, t, x, _ in train if x == "aa") > 1 << 18 and any(t.startswith("Xylo") for _, t, *_ in train)
+    models = language.trained(H.documents(spark, rows))
+    asked = ["Xylofoon zwijgt", "jij hebt", "kato schung", "漢字"]
+    n, xent = models.entropies(*numtext.column(pa.array(asked)))
+    for j, lang in enumerate(["aa", "bb"]):
+        p = kneser_ney([t for _, t, x, _ in train if x == lang])
+        for i, text in enumerate(asked):
+            assert n[i] == len(symbols(text))
+            assert xent[i, j] == pytest.approx(-sum(map(math.log, map(p, symbols(text)))) / n[i], rel=1e-4)
+    assert sum(len(symbols(t)) for t in asked) == n.sum() and models.grams[4].base[-1] == len({g for t in train for g in symbols(t[1])})
