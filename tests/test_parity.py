@@ -210,3 +210,48 @@ def test_a_hot_case_is_dealt_out_by_content(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_noise_in_several_columns(spark):
+    base = [[f"r{i}", i + 1.004, 50 - i + 2.004] for i in range(12)]
+    noisy = [[k, x + 0.0011, y + 0.0011 * (i % 2)] for i, (k, x, y) in enumerate(base)]
+    crossed = [[k, x + 0.0011, noisy[i - 1][2]] for i, (k, x, _) in enumerate(base)]
+    bare, bare_noisy, bare_crossed = ([r[1:] for r in t] for t in (base, noisy, crossed))
+    share = [[r[0], f"{r[1]}%", r[2]] for r in base], [[r[0], (r[1] + 0.0011) / 100, r[2] + 0.0011] for r in base]
+    pairs = {"noisy": (base, noisy[::-1]), "crossed": (base, crossed), "bare": (bare, bare_noisy), "bare, crossed": (bare, bare_crossed), "percent": share}
+    got = {k: (r.res, r.level) for k, r in judge(spark, pairs, "lenient").items()}
+    no = (0, "none")
+    assert got == {"noisy": (1, "scaled"), "crossed": no, "bare": (1, "scaled"), "bare, crossed": no, "percent": (1, "scaled")}
+
+
+def test_near_rows_against_matching(spark):
+    """Never equal where no pairing exists; always where no box is wide in several columns."""
+
+    def paired(a, b):
+        owner = {}
+
+        def place(i, seen):
+            for j, y in enumerate(b):
+                if j not in seen and all(abs(p - q) <= 1 for p, q in zip(a[i], y)):
+                    seen.add(j)
+                    if j not in owner or place(owner[j], seen):
+                        owner[j] = i
+                        return True
+            return False
+
+        return len(a) == len(b) and all(place(i, set()) for i in range(len(a)))
+
+    rng = random.Random(6)
+    rows, want = [], {}
+    for n in range(60):
+        top = 12 if n % 3 == 0 else 4000
+        a = [(rng.randint(0, top), rng.randint(0, top)) for _ in range(rng.randint(1, 12))]
+        b = [tuple(v + rng.choice((-1, 0, 1)) for v in x) for x in a]
+        if n % 4 == 0:
+            b = list(zip([x for x, _ in b], [y for _, y in b[1:] + b[:1]]))
+        want[str(n)] = top, paired(a, b)
+        rows += [(str(n), ["n", "n"], list(x), 1, 0) for x in a] + [(str(n), ["n", "n"], list(x), 0, 1) for x in b]
+    df = spark.createDataFrame(rows, "case_id string, grp array<string>, xs array<bigint>, n_e bigint, n_a bigint").repartition(4)
+    got = {r.case_id for r in parity.near_rows(df).collect()}
+    assert got <= {k for k, (_, ok) in want.items() if ok}
+    assert {k for k, (top, ok) in want.items() if top > 12 and ok} <= got and len(got) > 20
