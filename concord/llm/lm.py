@@ -386,4 +386,5 @@ def scored(docs: DataFrame, trie: Trie | None = None) -> DataFrame:
 
 @query("op10_lm_scoring")
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, least=1))

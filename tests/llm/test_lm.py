@@ -97,3 +97,15 @@ def test_packed_and_monotone_sequences(tmp_path):
 def test_quantised_probabilities():
     p = np.array([1.0, 0.5, 1e-3, 1e-15, 0.0 + 1e-16])
     assert np.allclose(np.log10(lm.restored(lm.quantised(p))), np.log10(p), atol=1e-3)
+
+
+def test_query_keeps_what_occurs_once(spark, tmp_path):
+    """The registered query scores a sequence seen once in training above the same words in another order."""
+    seen = "oak ash elm fir yew bay"
+    own = next(i for i in range(2000, 2100) if not held(i))
+    a, b = [i for i in range(1000, 1100) if held(i)][:2]
+    rows = [(own, seen, "en", "s")] + [(i, H.prose(random.Random(i), 30), "en", "s") for i in range(60)]
+    rows += [(a, seen, "en", "s"), (b, "yew oak fir bay ash elm", "en", "s")]
+    H.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in lm.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[a] > got[b] + 0.5
