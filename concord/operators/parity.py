@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import canon
 from concord.operators import results
+from concord.operators.matching import paired_cases
 from concord.session import materialise
 
 LEVELS = ("multiset", "set", "projection", "flat", "scaled", "tokens")
@@ -134,8 +135,8 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     are a factor of 100 apart, up to what rounding to the decimals they show leaves open (0.23 against 22.73);
     the smaller side is raised. A scaled column is compared at the precision of its coarser side, which is what
     rounding before or after scaling leaves.
-    Result: ``case_id, e_factor, a_factor, places`` (arrays by column), ``tolerant``, the one
-    column that alone may differ by rounding, or null, and ``noisy``, all columns that may.
+    Result: ``case_id, e_factor, a_factor, places`` (arrays by column) and ``noisy``, the columns that may
+    differ by rounding, largest numbers first.
     """
     flat = (
         rows.select("case_id", "side", F.posexplode("cells").alias("col_no", "cell"))
@@ -167,24 +168,17 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
         F.when(raise_a, F.least("e_plain_places", "a_raised_places"))
         .when(raise_e, F.least("e_raised_places", "a_plain_places"))
         .otherwise(digits).alias("places"),
-        (raise_a | raise_e).alias("scaled"),
-        (numeric & (F.greatest("e_fraction", "a_fraction") > 0)).alias("fractional"),
+        ((raise_a | raise_e) | (numeric & (F.greatest("e_fraction", "a_fraction") > 0))).alias("noisy"),
+        F.greatest("e_top", "a_top").alias("top"),
     )
     # Bounded group: the columns of one result table.
     arrays = factors.groupBy("case_id").agg(
         F.sort_array(F.collect_list(F.struct("col_no", "e_factor", "a_factor", "places"))).alias("c"),
-        F.count(F.when(F.col("scaled"), 1)).alias("n_scaled"),
-        F.count(F.when(F.col("fractional"), 1)).alias("n_fractional"),
-        F.max(F.when(F.col("scaled"), F.col("col_no"))).alias("scaled_col"),
-        F.max(F.when(F.col("fractional"), F.col("col_no"))).alias("fractional_col"),
-        F.sort_array(F.collect_list(F.when(F.col("scaled") | F.col("fractional"), F.col("col_no")))).alias("noisy"),
-    )
-    tolerant = F.when(F.col("n_scaled") == 1, F.col("scaled_col")).when(
-        (F.col("n_scaled") == 0) & (F.col("n_fractional") == 1), F.col("fractional_col")
+        F.sort_array(F.collect_list(F.when(F.col("noisy"), F.struct((-F.col("top")).alias("size"), "col_no")))).alias("noisy"),
     )
     return arrays.select(
         "case_id", F.col("c.e_factor").alias("e_factor"), F.col("c.a_factor").alias("a_factor"),
-        F.col("c.places").alias("places"), tolerant.alias("tolerant"), "noisy",
+        F.col("c.places").alias("places"), F.col("noisy.col_no").alias("noisy"),
     )
 
 
@@ -231,62 +225,6 @@ def within_tolerance(values: DataFrame, tol: int = 1) -> DataFrame:
     )
 
 
-def _chains(values: DataFrame, tol: int) -> DataFrame:
-    """``values(case_id, box, col, x)``, distinct, with ``chain``: the smallest value that steps of at most ``tol`` lead
-    to. Values within ``tol`` have one chain. Taken inside pieces and carried over by one row per piece."""
-    keys = ["case_id", "box", "col"]
-    pieces = materialise(values.repartitionByRange(*keys, "x").withColumn("piece", F.spark_partition_id()), "pieces")
-    inside = Window.partitionBy(*keys, "piece").orderBy("x")
-    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-
-    def carried(df, name):
-        ends = df.groupBy(*keys, "piece").agg(F.max(name).alias("end")).withColumn("carried", F.max("end").over(before))
-        return df.join(ends.select(*keys, "piece", "carried"), [*keys, "piece"])
-
-    last = F.coalesce(F.lag("x").over(inside), F.col("carried"))
-    starts = carried(pieces, "x").withColumn("last", last).drop("carried")
-    starts = starts.withColumn("start", F.when(F.col("last").isNull() | (F.col("x") - F.col("last") > tol), F.col("x")))
-    runs = carried(starts, "start").withColumn("run", F.max("start").over(inside))
-    return runs.select(*keys, "x", F.coalesce("run", "carried").alias("chain"))
-
-
-def near_rows(rows: DataFrame, tol: int = 1) -> DataFrame:
-    """Cases whose leftover rows pair up with every noisy column within ``tol``: ``case_id``.
-
-    ``rows(case_id, grp, xs, n_e, n_a)``: the exact columns, units of the noisy ones, rows of each side. Rows that
-    may pair lie in one box: equal exact columns and one chain of values in each noisy column. Boxes are split
-    again until none splits. Rows of a box pair in any order where its values lie within ``tol``, and by rank where
-    one column spreads wider. A box wide in several columns counts as different: pairs are never assumed.
-    """
-    held, boxes = materialise(rows.withColumn("box", F.xxhash64("grp")), "boxes"), -1
-    while True:
-        # grp goes along, so that boxes never rest on the hash alone
-        now = held.select("case_id", "box", "grp").distinct().count()
-        if now == boxes:
-            break
-        boxes = now
-        cells = held.select("case_id", "box", "grp", "xs", "n_e", "n_a", F.posexplode("xs").alias("col", "x"))
-        chains = _chains(cells.select("case_id", "box", "col", "x").distinct(), tol)
-        found = cells.join(chains, ["case_id", "box", "col", "x"]).groupBy("case_id", "box", "grp", "xs", "n_e", "n_a")
-        labels = F.sort_array(F.collect_list(F.struct("col", "chain")))
-        held = materialise(
-            found.agg(labels.alias("labels")).select("case_id", "grp", "xs", "n_e", "n_a", F.xxhash64("box", "labels").alias("box")), "boxes"
-        )
-    cells = held.select("case_id", "box", "grp", "n_e", "n_a", F.posexplode("xs").alias("col", "x"))
-    spread = cells.groupBy("case_id", "box", "grp", "col").agg(
-        F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"), (F.max("x") - F.min("x") > tol).alias("wide")
-    )
-    state = spread.groupBy("case_id", "box", "grp").agg(
-        F.max(F.col("n_e") - F.col("n_a")).alias("off"), F.count_if("wide").alias("n_wide"), F.max(F.when(F.col("wide"), F.col("col"))).alias("col")
-    )
-    state = materialise(state, "box-states")
-    bad = state.filter((F.col("off") != 0) | (F.col("n_wide") > 1)).select("case_id")
-    ranked = cells.join(state.filter("n_wide = 1").select("case_id", "box", "grp", "col"), ["case_id", "box", "grp", "col"])
-    ranked = ranked.select("case_id", F.struct("box", "grp").alias("grp"), "x", "n_e", "n_a")
-    bad = bad.unionAll(within_tolerance(ranked, tol).filter("not ok").select("case_id")).distinct()
-    return state.select("case_id").distinct().join(bad, "case_id", "left_anti")
-
-
 _SALTS = 32
 
 
@@ -304,17 +242,17 @@ def _of_cases(rows: DataFrame, cases: DataFrame, content: str, how: str = "inner
 def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
     """Differences left after percent signs and factors of 100 are evened out, per case.
 
-    Works on canonical rows, since scaling must come before rounding. Where one column alone may
-    carry rounding noise, rows that still differ are compared by rank within ``tol`` units, the
-    rest of the row being equal; where several may, as in ``near_rows``. Returns ``case_id, diff_rows`` with 0 for equal.
+    Works on canonical rows, since scaling must come before rounding. Where columns may carry rounding noise, a case is
+    equal too if its rows pair up with these columns within ``tol`` units and the others equal: by rank where there
+    is one such column, by matching where there are several. Returns ``case_id, diff_rows`` with 0 for equal.
     """
     joined = _of_cases(rows, column_scales(rows, digits), "cells").select(
-        "case_id", "side", "places", "tolerant", "noisy",
+        "case_id", "side", "places", "noisy",
         F.expr(f"transform(cells, c -> {_unpercent('c')})").alias("cells"),
         F.expr("CASE WHEN side = 'expected' THEN e_factor ELSE a_factor END").alias("factor"),
     )
     scaled = joined.select(
-        "case_id", "side", "places", "tolerant", "noisy",
+        "case_id", "side", "places", "noisy",
         F.expr("transform(cells, (c, i) -> struct(c.num * get(factor, i) AS num, c.txt AS txt))").alias("cells"),
     )
     units = _coarse_units("c.num", "get(places, i)", digits)
@@ -323,36 +261,34 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
         f"ELSE coalesce(concat('t', c.txt), 'z') END"
     )
     weighed = materialise(
-        scaled.select("case_id", "side", "tolerant", "noisy", F.expr(f"transform(cells, (c, i) -> {code})").alias("codes"))
-        .groupBy("case_id", "codes", "tolerant", "noisy")
+        scaled.select("case_id", "side", "noisy", F.expr(f"transform(cells, (c, i) -> {code})").alias("codes"))
+        .groupBy("case_id", "codes", "noisy")
         .agg(
             F.count(F.when(F.col("side") == "expected", 1)).alias("n_e"),
             F.count(F.when(F.col("side") == "actual", 1)).alias("n_a"),
         ),
         "scaled-rows",
     )
-    exact = diffs(weighed)
-    units = "try_cast(substring(get(codes, tolerant), 2) AS BIGINT)"
-    rest = f"transform(codes, (c, i) -> CASE WHEN i = tolerant AND startswith(c, 'n') AND {units} IS NOT NULL THEN 'n' ELSE c END)"
-    loose = weighed.filter(F.col("tolerant").isNotNull() & (F.col("n_e") != F.col("n_a"))).select(
-        "case_id", F.expr(rest).alias("grp"), F.expr(f"coalesce({units}, 0)").alias("x"), "n_e", "n_a"
-    )
-    near = within_tolerance(loose, tol).filter("ok").select("case_id")
-    unit = "try_cast(substring(c, 2) AS BIGINT)"
-    number = f"array_contains(noisy, i) AND startswith(c, 'n') AND {unit} IS NOT NULL"
-    several = materialise(
-        weighed.filter((F.size("noisy") > 1) & (F.col("n_e") != F.col("n_a"))).select(
-            "case_id",
-            F.expr(f"transform(codes, (c, i) -> CASE WHEN {number} THEN 'n' ELSE c END)").alias("grp"),
-            F.expr(f"transform(codes, (c, i) -> CASE WHEN {number} THEN {unit} ELSE 0 END)").alias("xs"), "n_e", "n_a",
-        ),
-        "several-noisy",
-    )
-    if tol > 0 and not several.isEmpty():
-        near = near.unionAll(near_rows(several, tol)).distinct()
+    exact = materialise(diffs(weighed).select("case_id", F.col("diff_distinct").alias("diff_rows")), "scaled-diffs")
+    open_cases = exact.filter("diff_rows > 0").select("case_id")
+    if tol <= 0 or open_cases.isEmpty():
+        return exact.select("case_id", F.col("diff_rows").cast("bigint").alias("diff_rows"))
+    # Rows that agree take part too: another pairing of them can be what makes all rows pair up.
+    unit = lambda c: f"try_cast(substring({c}, 2) AS BIGINT)"
+    number = lambda c: f"startswith({c}, 'n') AND {unit(c)} IS NOT NULL"
+    loose = _of_cases(weighed.filter(F.size("noisy") > 0), open_cases, "codes", "left_semi").select(
+        "case_id", "noisy",
+        F.expr(f"transform(codes, (c, i) -> CASE WHEN array_contains(noisy, i) AND {number('c')} THEN 'n' ELSE c END)").alias("grp"),
+        F.expr(f"transform(noisy, i -> CASE WHEN {number('get(codes, i)')} THEN {unit('get(codes, i)')} ELSE 0 END)").alias("xs"), "n_e", "n_a",
+    )
+    one = loose.filter(F.size("noisy") == 1).select("case_id", "grp", F.get("xs", F.lit(0)).alias("x"), "n_e", "n_a")
+    near = within_tolerance(one, tol).filter("ok").select("case_id")
+    several = materialise(loose.filter(F.size("noisy") > 1).drop("noisy"), "several-noisy")
+    if not several.isEmpty():
+        near = near.unionAll(paired_cases(several, tol))
     near = near.select("case_id", F.lit(True).alias("near"))
     return exact.join(near, "case_id", "left").select(
-        "case_id", F.when(F.col("near"), 0).otherwise(F.col("diff_distinct")).cast("bigint").alias("diff_rows")
+        "case_id", F.when(F.col("near"), 0).otherwise(F.col("diff_rows")).cast("bigint").alias("diff_rows")
     )
 
 
