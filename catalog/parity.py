@@ -170,6 +170,58 @@ def parity_scaled(spark, sf_dir):
     return parity.diff_scaled(rows, tol=0)
 
 
+# Every price and charge is one cent off at most, by the row's keys; one row of flag R is two cents beyond the highest price.
+_CENT_OFF = "((l_orderkey * {a} + l_linenumber * {b}) % 3 - 1)"
+
+
+@query(
+    "tolerant_many",
+    """SELECT l_returnflag AS case_id, CAST(l_returnflag <> 'R' AS INTEGER) AS res, CAST(count(*) AS BIGINT) AS n_rows
+    FROM lineitem GROUP BY l_returnflag""",
+)
+def tolerant_many(spark, sf_dir):
+    """Two money columns of all lineitem with a cent of noise and no key column; one planted row is two cents off."""
+    lines = table(spark, sf_dir, "lineitem")
+    price, charge = "round(l_extendedprice * 100)", "round(l_extendedprice * l_tax * 10)"
+    exact = lines.selectExpr("l_returnflag", f"{price} AS p", f"{charge} AS c", f"{_CENT_OFF.format(a=1, b=1)} AS dp", f"{_CENT_OFF.format(a=2, b=1)} AS dc")
+    top = exact.groupBy("l_returnflag").agg(F.max(F.struct("p", "c", "dp", "dc")).alias("top"), F.count("*").cast("bigint").alias("n_rows"))
+    planted = F.when((F.col("l_returnflag") == "R") & (F.struct("p", "c", "dp", "dc") == F.col("top")), 2).otherwise(F.col("dp"))
+    noisy = exact.join(top, "l_returnflag").select("l_returnflag", ((F.col("p") + planted) / 100).alias("p"), ((F.col("c") + F.col("dc")) / 100).alias("c"))
+    rows = results.rows_from_frame(exact.selectExpr("l_returnflag", "p / 100 AS p", "c / 100 AS c"), "l_returnflag", "expected").union(
+        results.rows_from_frame(noisy, "l_returnflag", "actual")
+    )
+    rows = materialise(rows, "case-rows")
+    left = parity.diff_scaled(rows, tol=1).select("case_id", (F.col("diff_rows") == 0).cast("int").alias("res"))
+    return left.join(top.select(F.col("l_returnflag").alias("case_id"), "n_rows"), "case_id")
+
+
+# Shares with four decimals, as ten thousandths, and what the percent side is off by.
+_SHARE = "(CAST(round(l_discount * 100) AS BIGINT) * 100 + CAST(round(l_tax * 100) AS BIGINT) + 11)"
+_OFF = "CASE WHEN l_tax <> 0 THEN 0 WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END"
+
+
+@query(
+    "parity_scaled_tolerant",
+    f"""
+    WITH v AS (SELECT l_returnflag AS case_id, l_orderkey, l_linenumber, {_SHARE} AS e, {_SHARE} + {_OFF} AS a FROM lineitem),
+    e AS (SELECT DISTINCT case_id, l_orderkey, l_linenumber, e AS v FROM v), a AS (SELECT DISTINCT case_id, l_orderkey, l_linenumber, a AS v FROM v),
+    d AS ((SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL (SELECT * FROM a EXCEPT SELECT * FROM e)),
+    far AS (SELECT DISTINCT case_id FROM v WHERE abs(e - a) > 1)
+    SELECT c.case_id, CASE WHEN far.case_id IS NULL THEN 0::BIGINT ELSE (SELECT count(*) FROM d WHERE d.case_id = c.case_id) END AS diff_rows
+    FROM (SELECT DISTINCT case_id FROM e) c LEFT JOIN far USING (case_id)""",
+)
+def parity_scaled_tolerant(spark, sf_dir):
+    """Shares against percents, a hundredth of a percent off in flag A, which is equal, and two in flag R."""
+    lines = table(spark, sf_dir, "lineitem")
+    cols = ["l_orderkey", "l_linenumber", "share"]
+    share = lines.withColumn("share", F.expr(f"{_SHARE} / 10000.0D"))
+    percent = lines.withColumn("share", F.expr(f"concat(CAST(({_SHARE} + {_OFF}) / 100.0D AS STRING), '%')"))
+    rows = results.rows_from_frame(share, "l_returnflag", "expected", cols).union(
+        results.rows_from_frame(percent, "l_returnflag", "actual", cols)
+    )
+    return parity.diff_scaled(rows, tol=1)
+
+
 @query(
     "parity_tokens",
     """

@@ -295,7 +295,9 @@ def diff_scaled(rows: DataFrame, digits: int = 2, tol: int = 1) -> DataFrame:
 # --- projection ------------------------------------------------------------------------------
 
 _SEEDS = (11, 23, 47)
-_BEAM = 32
+#: Of a case: partial maps that a round makes longer, rows of the wider side they are first held against, full maps
+#: checked a round, rows that all its maps may be held against in a round, columns up to which pairs are looked at.
+_BEAM, _WITNESSES, _CHECKED, _WORK, _PAIRED = 8192, 32, 32, 20_000_000, 24
 
 
 def _sketch(value: Column) -> Column:
@@ -391,58 +393,102 @@ def _verified(rows: DataFrame, maps: DataFrame) -> DataFrame:
     )
 
 
+def _consistent(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """The plans with fewer choices: pairs of narrow columns must look like the pairs of wide columns they map to.
+
+    A choice stays while for each other narrow column some choice has an equal sketch of value pairs, until
+    nothing changes. Only tables of up to ``_PAIRED`` columns are looked at; others keep their choices. Plans that lose
+    all choices of a column are dropped.
+    """
+    small = F.greatest(F.size("n_cols"), F.size(F.array_distinct(F.flatten("choices")))) <= _PAIRED
+    held = plans.filter(small & (F.size("n_cols") > 1))
+    if held.isEmpty():
+        return plans
+    positions = held.select("case_id", "n_cols", F.array_sort(F.array_distinct(F.flatten("choices"))).alias("w_cols"))
+    joined = _of_cases(rows, positions, "codes").withColumn("at", F.when(F.col("role") == "n", F.col("n_cols")).otherwise(F.col("w_cols")))
+    two = F.flatten(F.transform("at", lambda i: F.transform(
+        F.filter("at", lambda j: i != j), lambda j: F.struct(i.alias("i"), j.alias("j"), F.xxhash64(F.get("codes", i), F.get("codes", j)).alias("v")))))
+    pairs = joined.select("case_id", "role", F.explode(two).alias("p")).groupBy("case_id", "role", "p.i", "p.j").agg(_sketch(F.col("p.v")).alias("sketch"))
+    pairs = materialise(pairs, "projection-pairs")
+    options = held.select("case_id", F.explode(F.arrays_zip("n_cols", "choices")).alias("o")).select("case_id", F.col("o.n_cols").alias("i"), F.explode("o.choices").alias("a"))
+    options = materialise(options, "projection-choices")
+    other = options.select("case_id", F.col("i").alias("j"), F.col("a").alias("b"))
+    like = (
+        pairs.filter("role = 'n'").drop("role").join(pairs.filter("role = 'w'").select("case_id", F.col("i").alias("a"), F.col("j").alias("b"), "sketch"), ["case_id", "sketch"])
+        .join(options, ["case_id", "i", "a"], "left_semi").join(other, ["case_id", "j", "b"], "left_semi").select("case_id", "i", "j", "a", "b")
+    )
+    like = materialise(like, "projection-alike")
+    n_cols = held.select("case_id", (F.size("n_cols") - 1).alias("others"))
+    count = -1
+    while (left := options.count()) != count:
+        count = left
+        other = options.select("case_id", F.col("i").alias("j"), F.col("a").alias("b"))
+        met = like.join(other, ["case_id", "j", "b"], "left_semi").groupBy("case_id", "i", "a").agg(F.count_distinct("j").alias("n"))
+        options = materialise(
+            options.join(met, ["case_id", "i", "a"]).join(n_cols, "case_id").filter("n = others").select("case_id", "i", "a"), "projection-choices"
+        )
+    fewer = options.groupBy("case_id", "i").agg(F.sort_array(F.collect_list("a")).alias("to")).groupBy("case_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.size("to").alias("k"), F.col("i").alias("col_no"), "to"))).alias("p")
+    )
+    fewer = fewer.join(n_cols, "case_id").filter(F.size("p") == F.col("others") + 1)
+    fewer = fewer.select("case_id", F.col("p.col_no").alias("n_cols"), F.col("p.to").alias("choices"))
+    return materialise(plans.join(held.select("case_id"), "case_id", "left_anti").unionByName(fewer), "projection-plans")
+
+
 def _search_maps(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """Cases with several possible column maps: depth-first search, all cases in step.
+    """Cases with several possible column maps: depth-first search, all cases in step, a depth a round.
 
-    Each round extends the deepest partial maps of every open case by one column, drops those whose
-    projected prefix has another sketch, and verifies the full ones exactly. Maps that wait stay
-    in the frontier, so the work of a round is bounded while no map is ever skipped.
+    A round makes up to ``_BEAM`` of the deepest partial maps of every open case longer by one column. New maps are held
+    against a few rows of the wider side, whose values under the map must occur on the narrower; as far as
+    ``_WORK`` reaches, those left against sketches of all rows. Full maps are checked exactly, ``_CHECKED`` a round. Maps
+    that wait stay in the frontier, so the work of a round is bounded while no map is ever skipped.
     """
     spark = rows.sparkSession
     rows = materialise(_of_cases(rows, plans.select("case_id"), "codes", "left_semi"), "projection-rows")
     depth = F.explode(F.sequence(F.lit(1), F.size("n_cols"))).alias("depth")
-    prefixes = materialise(
-        _of_cases(rows.filter("role = 'n'"), plans.select("case_id", "n_cols"), "codes")
-        .select("case_id", depth, "n_cols", "codes")
-        .groupBy("case_id", "depth")
-        .agg(_sketch(_pick(F.col("codes"), F.slice("n_cols", F.lit(1), F.col("depth")))).alias("sketch")),
-        "projection-prefixes",
-    )
-    frontier = plans.select("case_id", F.array().cast("array<int>").alias("to"))
+    begun = _of_cases(rows.filter("role = 'n'"), plans.select("case_id", "n_cols"), "codes").select("case_id", depth, "n_cols", "codes")
+    begun = begun.select("case_id", "depth", F.xxhash64(_pick(F.col("codes"), F.slice("n_cols", F.lit(1), F.col("depth")))).alias("h")).distinct()
+    begun = materialise(begun, "projection-beginnings")
+    prefixes = materialise(begun.groupBy("case_id", "depth").agg(_sketch(F.col("h")).alias("sketch")), "projection-prefixes")
+    wide = rows.filter("role = 'w'")
+    by_hash = Window.partitionBy("case_id").orderBy(F.xxhash64("codes"), "codes")
+    witnesses = wide.withColumn("nr", F.row_number().over(by_hash)).filter(F.col("nr") <= _WITNESSES).groupBy("case_id").agg(F.collect_list("codes").alias("witnesses"))
+    sizes = wide.groupBy("case_id").agg(F.count("*").alias("n_rows"))
+    plans = materialise(plans.join(witnesses, "case_id").join(sizes, "case_id"), "projection-open")
+    maps = plans.select("case_id", "n_cols", F.array().cast("array<int>").alias("to"))
     found = spark.createDataFrame([], "case_id string")
     deepest = Window.partitionBy("case_id").orderBy(F.size("to").desc(), F.col("to"))
+    full = F.size("to") == F.size("n_cols")
     while True:
-        ranked = frontier.withColumn("rank", F.row_number().over(deepest))
+        ranked = maps.withColumn("rank", F.row_number().over(deepest))
         grown = (
-            ranked.filter(F.col("rank") <= _BEAM)
-            .join(plans, "case_id")
-            .select("case_id", "to", F.explode(F.get("choices", F.size("to"))).alias("next"))
+            ranked.filter((F.col("rank") <= _BEAM) & ~full).drop("n_cols").join(plans, "case_id")
+            .select("case_id", "n_cols", "n_rows", "witnesses", "to", F.explode(F.get("choices", F.size("to"))).alias("next"))
             .filter(~F.array_contains("to", F.col("next")))
-            .select("case_id", F.array_append("to", F.col("next")).alias("to"))
+            .select("case_id", "n_cols", "n_rows", "witnesses", F.array_append("to", F.col("next")).alias("to"))
         )
-        per_case = grown.groupBy("case_id").agg(F.collect_list("to").alias("maps"))
+        shown = F.explode(F.transform("witnesses", lambda c: F.xxhash64(F.transform(F.col("to"), lambda i: F.get(c, i))))).alias("h")
+        refuted = grown.select("case_id", "to", F.size("to").alias("depth"), shown).join(begun, ["case_id", "depth", "h"], "left_anti").select("case_id", "to").distinct()
+        grown = materialise(grown.drop("witnesses").join(refuted, ["case_id", "to"], "left_anti"), "projection-grown")
+        tested = grown.groupBy("case_id").agg(F.collect_list("to").alias("maps"), F.max("n_rows").alias("n_rows")).filter(F.size("maps") * F.col("n_rows") <= _WORK)
         sketched = (
-            _of_cases(rows.filter("role = 'w'"), per_case, "codes")
+            _of_cases(wide, tested.select("case_id", "maps"), "codes")
             .select("case_id", F.explode("maps").alias("to"), "codes")
             .groupBy("case_id", "to")
-            .agg(_sketch(_pick(F.col("codes"), F.col("to"))).alias("sketch"))
+            .agg(_sketch(F.xxhash64(_pick(F.col("codes"), F.col("to")))).alias("sketch"))
             .withColumn("depth", F.size("to"))
+            .join(prefixes, ["case_id", "depth", "sketch"], "left_semi")
         )
-        kept = materialise(
-            sketched.join(prefixes, ["case_id", "depth", "sketch"], "left_semi")
-            .join(plans.select("case_id", "n_cols"), "case_id")
-            .select("case_id", "to", "n_cols", (F.size("to") == F.size("n_cols")).alias("full"))
-            .unionByName(
-                ranked.filter(F.col("rank") > _BEAM)
-                .select("case_id", "to", F.lit(None).cast("array<int>").alias("n_cols"), F.lit(False).alias("full"))
-            ),
-            "projection-frontier",
-        )
-        full = kept.filter("full").select("case_id", "to", "n_cols")
-        if not full.isEmpty():
-            found = materialise(found.union(_verified(rows, full)), "projection-found")
-        frontier = kept.filter("not full").select("case_id", "to").join(found, "case_id", "left_anti")
-        if frontier.isEmpty():
+        kept = grown.join(sketched.select("case_id", "to"), ["case_id", "to"], "left_semi").unionByName(grown.join(tested, "case_id", "left_anti"))
+        waiting = ranked.filter((F.col("rank") > _BEAM) | full).select("case_id", "n_cols", "to")
+        maps = materialise(kept.select("case_id", "n_cols", "to").unionByName(waiting), "projection-frontier")
+        ready = maps.filter(full).withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("to"))).filter(F.col("rank") <= _CHECKED).drop("rank")
+        ready = materialise(ready, "projection-full")
+        if not ready.isEmpty():
+            found = materialise(found.union(_verified(rows, ready)), "projection-found")
+            maps = maps.join(ready.select("case_id", "to"), ["case_id", "to"], "left_anti")
+        maps = maps.join(found, "case_id", "left_anti")
+        if maps.isEmpty():
             return found
 
 
@@ -459,6 +505,9 @@ def match_projection(weighed: DataFrame) -> DataFrame:
     )
     found = _verified(rows, straight.filter(F.size(F.array_distinct("to")) == F.size("to")))
     open_plans = plans.filter(~single)
+    if open_plans.isEmpty():
+        return found
+    open_plans = _consistent(rows, open_plans)
     if open_plans.isEmpty():
         return found
     return found.union(_search_maps(rows, open_plans))
@@ -479,7 +528,7 @@ def verdicts(rows: DataFrame, sides: DataFrame, profile: str = "strict", digits:
 
     ``rows`` are canonical rows of the same profile. ``strict`` decides by multiset equality alone.
     ``lenient`` goes on through the levels, each on the cases the earlier ones left open. Two
-    empty sides are equal; a missing or failed side never is. ``diff_rows`` always counts the
+    empty sides are equal; a missing or failed side never is, nor are rows without a case, which have one record. ``diff_rows`` always counts the
     multiset difference; ``level`` names the level that found equality, or ``none``.
     """
     coded = results.coded(rows, digits)
@@ -511,9 +560,12 @@ def _verdicts(coded: DataFrame, rows: DataFrame | None, sides: DataFrame, profil
         a_empty = a_empty | F.coalesce("a_null", F.lit(False))
     counted = diffs(weigh(coded))
     # A case with rows but no side record is a verdict too: both its sides are absent.
-    base = shapes.join(counted, "case_id", "full").select(
+    counted = counted.withColumnRenamed("case_id", "counted_id")
+    base = shapes.join(counted, F.col("case_id").eqNullSafe(F.col("counted_id")), "full").withColumn(
+        "case_id", F.coalesce("case_id", "counted_id")
+    ).select(
         "case_id", "e_n_rows", "a_n_rows", "e_n_cols", "a_n_cols",
-        side_error.alias("error"),
+        F.when(F.col("case_id").isNull(), "rows without a case").otherwise(side_error).alias("error"),
         F.coalesce("diff_rows", F.lit(0).cast("bigint")).alias("diff_rows"),
         F.coalesce("diff_distinct", F.lit(0).cast("bigint")).alias("diff_distinct"),
         F.coalesce(e_empty & a_empty, F.lit(False)).alias("both_empty"),

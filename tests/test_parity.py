@@ -125,8 +125,10 @@ def brute_projection(e, a):
     )
 
 
-def test_projection_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(parity, "_BEAM", 2)
+@pytest.mark.parametrize("limits", [{"_BEAM": 2, "_CHECKED": 1, "_WORK": 0, "_PAIRED": 0}, {"_BEAM": 3}])
+def test_projection_against_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(parity, name, value)
     rng = random.Random(3)
     pairs = {}
     for n in range(40):
@@ -150,6 +152,32 @@ def test_projection_against_brute_force(spark, monkeypatch):
     assert got == {k for k, (e, a) in pairs.items() if brute_projection(e, a)}
 
 
+def flags(rng, rows, columns, density=0.5):
+    return [[int(rng.random() < density) for _ in range(columns)] for _ in range(rows)]
+
+
+def coded_pair(spark, pairs):
+    rows = [(k, side, [f"n{v}" for v in r]) for k, both in pairs.items() for side, t in zip(results.SIDES, both) for r in t]
+    return parity.weigh(spark.createDataFrame(rows, "case_id string, side string, codes array<string>"))
+
+
+def test_projection_of_flag_columns(spark):
+    """Six flags against ten, all values 0 or 1: no map, one map, and every map."""
+    rng = random.Random(9)
+    wide = flags(rng, 600, 10)
+    narrow = [list(r) for r in {tuple(r) for r in flags(rng, 400, 6)}][:40]
+    source = flags(rng, 90, 10, 0.3)
+    one = [[r[i] for i in (7, 2, 9, 0, 4, 1)] for r in source]
+    every = [[i >> b & 1 for b in range(6)] for i in range(64)]
+    weighed = coded_pair(spark, {"none": (narrow, wide), "one": (one, source), "every": (every, flags(rng, 3000, 10))})
+    context = spark.sparkContext
+    context.setJobGroup("flags", "flags")
+    got = {r.case_id for r in parity.match_projection(weighed).collect()}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    print("jobs", len(context.statusTracker().getJobIdsForGroup("flags")))
+    assert got == {"one", "every"}
+
+
 def test_tolerance_against_brute_force(spark):
     rng = random.Random(5)
     rows, want = [], {}
