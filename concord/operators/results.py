@@ -7,7 +7,7 @@ Three shapes, each derivable from a DataFrame or from JSON text:
 * ``coded(case_id, side, codes)``: one row per result row, ``codes`` an array of comparison keys.
 
 ``sides(case_id, side, n_rows, n_cols, status)`` records that a side exists, also when it is empty
-or failed. ``side`` is ``expected`` or ``actual``.
+or failed. ``side`` is ``expected`` or ``actual``. Rows without a case are kept in all shapes, under a null case.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _unfused(values: Sequence[str]) -> Column:
     method as large as those of a table with many columns. A projection that holds a lambda is left
     out of the loop, and its generated code is cut into small methods.
     """
-    return F.expr(f"CASE WHEN exists(array(case_id), c -> c IS NULL) THEN NULL ELSE array({', '.join(values)}) END")
+    return F.expr(f"CASE WHEN exists(array(case_id), c -> length(c) < 0) THEN NULL ELSE array({', '.join(values)}) END")
 
 
 def _stage(df, case, side, fields, profile) -> tuple[DataFrame, list[str], dict[str, str]]:
@@ -102,7 +102,6 @@ def _stage(df, case, side, fields, profile) -> tuple[DataFrame, list[str], dict[
         for f, n in zip(fields, names)
     ]
     frame = df.select(_case_column(case).alias("case_id"), F.lit(side).alias("side"), *columns)
-    frame = frame.filter(F.col("case_id").isNotNull())  # a row without a case belongs to no verdict
     texts = [n for n in names if n[0] == "t"]
     if texts:
         frame = frame.select("*", _unfused([canon.text_number(t, profile) for t in texts]).alias("xs"))
