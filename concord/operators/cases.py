@@ -59,13 +59,13 @@ def _failure(e: Exception) -> str:
 
 def run_cases(
     spark: SparkSession, cases: Sequence[Case], databases: Mapping[str, Mapping[str, DataFrame]],
-    path: str | None = None, profile: str = "strict", batch: int = 32,
+    path: str | None = None, profile: str = "strict", batch: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
     """Results of all cases as stored canonical rows, and their side records.
 
     Tables are the caller's, loaded once per database. Cases are written ``batch`` results to a
-    job. A side that cannot be planned, or whose batch fails and which then fails alone, is recorded
-    as failed and leaves no rows. Where the cluster was at fault the case stays out of the result, and
+    job; a batch that fails is halved until the sides at fault stand alone, some two jobs for each halving. A side that
+    cannot be planned, or that fails alone, is recorded as failed and leaves no rows. Where the cluster was at fault the case stays out of the result, and
     another call with the same ``path`` runs it again; sides already recorded there are not run again. Rows count
     only under the run that their side record names, so what an interrupted call left behind is not read.
     """
@@ -87,17 +87,24 @@ def run_cases(
         reduce(DataFrame.unionByName, [rows for _, _, rows in sides]).write.parquet(f"{path}/rows/run={run}")
         record([(c, s, "ok") for c, s, _ in sides], run)
 
+    def settle(group: Sequence[tuple[str, str, DataFrame]], fails: bool = False) -> bool:
+        """Store what can be stored of a group, by halves; ``fails`` if it is known to hold a side that fails."""
+        if not fails or len(group) == 1:
+            try:
+                store(group)
+                return True
+            except Exception as e:
+                if len(group) == 1:
+                    record([(*group[0][:2], _failure(e))], "none")
+                    return False
+        half = len(group) // 2
+        first = settle(group[:half])
+        settle(group[half:], fails=first)  # if the first half is sound, the fault lies in the other
+        return False
+
     def flush() -> None:
-        if not planned:
-            return
-        try:
-            store(planned)
-        except Exception:  # find the sides that fail by themselves
-            for side in planned:
-                try:
-                    store([side])
-                except Exception as e:
-                    record([(*side[:2], _failure(e))], "none")
+        if planned:
+            settle(planned)
         planned.clear()
 
     for case in cases:
@@ -113,7 +120,9 @@ def run_cases(
         if len(planned) >= batch:
             flush()
     flush()
-    sides = ledger.read_table(spark, f"{path}/sides", recorded.schema).filter(~F.col("case_id").isin(sorted(passing)))
+    sides = ledger.read_table(spark, f"{path}/sides", recorded.schema)
+    if passing:
+        sides = sides.join(spark.createDataFrame([(c,) for c in sorted(passing)], "case_id string"), "case_id", "left_anti")
     rows = spark.read.schema(f"{results.ROWS_SCHEMA}, run string").parquet(f"{path}/rows")
     rows = rows.join(sides.select("case_id", "side", "run"), ["case_id", "side", "run"], "left_semi").drop("run")
     return rows, results.complete_sides(rows, sides.select("case_id", "side", "status"))
