@@ -204,14 +204,35 @@ def prompt_build(spark, sf_dir):
     return C.build_prompts(corpus_flat(spark, sf_dir), _cards(spark), TEMPLATE)
 
 
+def _card_sql(name: str, columns: list[tuple[str, str]], order: str, n: int) -> str:
+    """The definition of a table and its first rows as the card has them."""
+    ddl = f"concat('CREATE TABLE {name} (', chr(10), " + ", ',', chr(10), ".join(f"'  {c} {t}'" for c, t in columns) + ", chr(10), ')')"
+    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None') AS {c}" for c, _ in columns)
+    wide = lambda c: f"CAST(greatest({len(c)}, (SELECT max(length({c})) FROM {name}_rows)) AS INTEGER)"
+    head = " || ' ' || ".join(f"lpad('{c}', {wide(c)}, ' ')" for c, _ in columns)
+    line = " || ' ' || ".join(f"lpad({c}, {wide(c)}, ' ')" for c, _ in columns)
+    return f"""{name}_rows AS (SELECT row_number() OVER (ORDER BY {order}) AS nr, {texts} FROM {name} ORDER BY {order} LIMIT {n}),
+    {name}_card AS (SELECT concat({ddl}, ' ', chr(10), ' /* ', chr(10), ' {n} example rows: ', chr(10), ' SELECT * FROM {name} LIMIT {n}; ', chr(10), ' ',
+        {head} || ' ', chr(10), (SELECT string_agg({line} || ' ', chr(10) ORDER BY nr) FROM {name}_rows), ' ', chr(10), ' */') AS card)"""
+
+
+_SHOP = {
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string")],
+}
+_SHOP_ORDER = {"customer": ["c_custkey"], "part": ["p_partkey"], "conversations": ["conv_id", "turn"]}
+
+
 @query(
     "schema_card",
-    """SELECT 'shop' AS db_id, concat('CREATE TABLE region (', chr(10), '  r_regionkey int,', chr(10), '  r_name string', chr(10), ')', chr(10), chr(10),
-    'CREATE TABLE nation (', chr(10), '  n_nationkey int,', chr(10), '  n_name string,', chr(10), '  n_regionkey int', chr(10), ')') AS card""",
+    "WITH " + ", ".join(_card_sql(n, c, ", ".join(f"{n}.{k}" for k in _SHOP_ORDER[n]), 7) for n, c in _SHOP.items())
+    + " SELECT 'shop' AS db_id, concat_ws(chr(10) || chr(10), " + ", ".join(f"(SELECT card FROM {n}_card)" for n in _SHOP) + ") AS card",
 )
 def schema_card(spark, sf_dir):
-    shop = {n: table(spark, sf_dir, n) for n in ("region", "nation")}
-    return C.schema_cards(spark, {"shop": shop})
+    """Definitions and first rows of the tables of a database."""
+    shop = {n: table(spark, sf_dir, n).select(*[name for name, _ in c]) for n, c in _SHOP.items()}
+    return C.schema_cards(spark, {"shop": shop}, sample_rows=7, order=_SHOP_ORDER)
 
 
 # --- stages ------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from concord.operators.cases import Case
 from concord.plans import evaluate
 from concord.session import scratch_path
 from concord.sources import sinks, tables
-from concord.streaming.verdicts import stream_verdicts, unread_path
+from concord.streaming.verdicts import stream_accuracy, stream_verdicts, unread_path
 
 
 def _orders(spark, sf_dir):
@@ -73,6 +73,24 @@ def ledger_append(spark, sf_dir):
     return spark.read.schema(orders.schema).parquet(path)
 
 
+@query(
+    "ledger_two_writers",
+    """SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P'
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) = 1""",
+)
+def ledger_two_writers(spark, sf_dir):
+    """Two writers with overlapping ids that do not see each other, each of them repeated: one row an id."""
+    path, orders = scratch_path(spark, "ledger"), _orders(spark, sf_dir)
+    batches = {"1": orders.filter("o_orderstatus = 'F'"), "2": orders.filter("o_orderstatus = 'O'")}
+    blind = scratch_path(spark, "ledger")
+    for name in ("2", "1"):  # each writes to a ledger where it sees only itself
+        ledger.append_batch(batches[name], f"{blind}-{name}", name, "o_custkey", "o_orderkey")
+        spark.read.parquet(f"{blind}-{name}").write.mode("append").partitionBy("batch").parquet(path)
+    for name in ("1", "2", "2"):
+        ledger.append_batch(batches[name], path, name, "o_custkey", "o_orderkey")
+    return ledger.read_batches(spark, path, orders.schema, "o_custkey")
+
+
 @query(
     "attach_expected",
     """WITH gold AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS output FROM orders
@@ -178,6 +196,25 @@ def stream_ledger(spark, sf_dir):
     return spark.read.schema("case_id bigint, res int, seq bigint").parquet(f"{root}/ledger")
 
 
+@query(
+    "stream_accuracy",
+    """SELECT event_type AS level, count(*) AS n, CAST(count(*) FILTER (value > 50) AS BIGINT) AS n_correct FROM events GROUP BY event_type""",
+)
+def stream_accuracy_of_events(spark, sf_dir):
+    """Events as verdicts in several micro-batches, some late and a third of them sent again; stopped and started between."""
+    root = scratch_path(spark, "stream")
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("case_id"), (F.col("value") > 50).cast("int").alias("res"), F.col("event_type").alias("level"), F.col("ts").cast("string").alias("ts"),
+    )
+    part = F.pmod(F.xxhash64("case_id"), F.lit(4))
+    for i in range(4):
+        again = events.filter((part == i - 1) & (F.col("case_id") % 3 == 0)) if i else events.limit(0)
+        lines = events.filter(part == i).unionByName(again).select(F.to_json(F.struct("*")).alias("value"))
+        lines.coalesce(2).write.mode("append").text(f"{root}/in")
+        stream_accuracy(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", delay="3650 days", files=1).awaitTermination()
+    return metrics.totals(spark.read.parquet(f"{root}/out/totals"))
+
+
 @query(
     "evaluate_run",
     """WITH first AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM orders

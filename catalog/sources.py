@@ -29,16 +29,20 @@ def table_dir_roundtrip(spark, sf_dir):
     )
 
 
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_FLOATS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 @query(
     "export_float_text",
-    """SELECT l_orderkey, l_linenumber, l_partkey, printf('%.10f', l_quantity) AS l_quantity, printf('%.10f', l_extendedprice) AS l_extendedprice,
-    printf('%.10f', l_discount) AS l_discount, l_returnflag FROM lineitem""",
+    "SELECT " + ", ".join(f"printf('%.10f', {c}) AS {c}" if c in _FLOATS else f"strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000') AS {c}" if c == "l_shipdate" else
+                          f"CAST({c} AS VARCHAR) AS {c}" for c in _LINE) + " FROM lineitem",
 )
 def export_float_text(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
-    )
-    return sinks.export_frame(lines.orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    """All of lineitem through the export, as the text that its files hold."""
+    path = scratch_path(spark, "export-lines")
+    sinks.export_table(table(spark, sf_dir, "lineitem").select(*_LINE), path, ["l_orderkey", "l_linenumber", "l_partkey"])
+    return spark.read.option("header", True).option("escape", '"').csv(path).select(*_LINE)
 
 
 _KEYS = (("l_orderkey",), ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ("tax_code",))

@@ -11,25 +11,26 @@ from concord.functions import text
 # Responses in the forms a model gives them, around the whole text of a turn.
 RESPONSE = """CASE (conv_id + turn) % 9
     WHEN 0 THEN concat('<think>plan: SELECT ', role, '</think>', {nl}, '```sql', {nl}, 'SELECT ', CAST(turn AS {text}), ' AS x;', {nl}, '```', text)
-    WHEN 1 THEN concat('Here: ```SQL SELECT ', CAST(conv_id AS {text}), {nl})
+    WHEN 1 THEN concat('Here: ```SQL SELECT ', CAST(conv_id AS {text}), {nl}, text)
     WHEN 2 THEN concat('```', 'SELECT c FROM t;', {nl}, '```', text)
-    WHEN 3 THEN concat('The answer is', {nl}, '-- note', {nl}, 'select a', {nl}, {nl}, '# c', {nl}, '  from t; ')
+    WHEN 3 THEN concat('The answer is', {nl}, '-- note', {nl}, 'select a', {nl}, {nl}, '# c', {nl}, '  from t; ', {nl}, text)
     WHEN 4 THEN text
-    WHEN 5 THEN concat('WITH q AS (SELECT 1) SELECT * FROM q', {nl}, 'WHERE ', CAST(turn AS {text}), ' = 1;')
-    WHEN 6 THEN concat('a</think>b</think>```sqlite', {nl}, 'SELECT 2 ; ', {nl}, '```')
+    WHEN 5 THEN concat('WITH q AS (SELECT 1) SELECT * FROM q', {nl}, 'WHERE ', CAST(turn AS {text}), ' = 1;', {nl}, '-- ', text)
+    WHEN 6 THEN concat('a</think>b</think>```sqlite', {nl}, 'SELECT 2 ; ', {nl}, text, '```')
     WHEN 7 THEN concat('```Python', {nl}, 'import pandas as pd', {nl}, 'a = pd.read_csv("data/orders.csv", sep=",")', {nl},
                        'b = pandas.read_csv(''Customer.csv'')', {nl}, 'c = pd.read_csv("x/myorders.csv")', {nl}, '```', text)
-    ELSE '' END"""
-
-# Answers of the second phase, as JSON and as prose.
-ANSWER = """CASE (conv_id + turn) % 7
-    WHEN 0 THEN concat('```json', {nl}, '{{"classification": ["Join & Relationship Logic", "Scope"], "answer": "turn ', CAST(turn AS {text}), '"}}', {nl}, '```')
-    WHEN 1 THEN concat('{{"classification": "Constraint", "answer": "c', CAST(conv_id AS {text}), '"}}')
-    WHEN 2 THEN concat('```', {nl}, '{{"answer": "no class"}}', {nl}, '```')
-    WHEN 3 THEN concat('[Domain Concept], [abc] and Calculation Logic: see [ Domain Concept ] ', role)
+    ELSE concat('<think>', text) END"""
+
+# Answers of the second phase, as JSON and as prose; within JSON, line breaks, tabs, quotes and backslashes of the text are spaces.
+_WITHIN = "translate(text, concat(chr(10), chr(9), chr(13), chr(34), chr(92)), '     ')"
+ANSWER = f"""CASE (conv_id + turn) % 7
+    WHEN 0 THEN concat('```json', {{nl}}, '{{{{"classification": ["Join & Relationship Logic", "Scope"], "answer": "turn ', CAST(turn AS {{text}}), ' ', {_WITHIN}, '"}}}}', {{nl}}, '```')
+    WHEN 1 THEN concat('{{{{"classification": "Constraint", "answer": "c', CAST(conv_id AS {{text}}), ' ', {_WITHIN}, '"}}}}')
+    WHEN 2 THEN concat('```', {{nl}}, '{{{{"answer": "no class ', {_WITHIN}, '"}}}}', {{nl}}, '```')
+    WHEN 3 THEN concat('[Domain Concept], [abc] and Calculation Logic: see [ Domain Concept ] ', role, ' ', text)
     WHEN 4 THEN text
-    WHEN 5 THEN '{{"classification": ["broken", '
-    ELSE concat(role, ' only') END"""
+    WHEN 5 THEN concat('{{{{"classification": ["broken", "', text)
+    ELSE concat(role, ' only ', text) END"""
 
 
 def spark_expr(template: str) -> F.Column:

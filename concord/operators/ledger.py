@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VERDICT_SCHEMA = (
     "case_id string, res int, level string, diff_rows bigint, error string, "
@@ -76,6 +77,31 @@ def append_new(batch: DataFrame, path: str, key: str, order: str | Column) -> No
     new_rows(batch, ledger, key, order).write.mode("append").parquet(path)
 
 
+def append_batch(batch: DataFrame, path: str, name: str, key: str, order: str | Column) -> None:
+    """Add the new rows of a named batch as a partition of a ledger that several writers may add to at once.
+
+    Rows whose id a batch of an earlier name holds stay out. A batch that is written again takes the place of its own
+    partition alone. Writers that do not see each other may both add an id; ``read_batches`` settles that.
+    """
+    held = _batches(batch.sparkSession, path, batch.schema).filter(F.col("batch") < name)
+    new = new_rows(batch, held, key, order).withColumn("batch", F.lit(name))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def _batches(spark, path: str, schema) -> DataFrame:
+    if path_exists(spark, path):
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).parquet(path)
+    return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.StringType())]))
+
+
+def read_batches(spark, path: str, schema, key: str) -> DataFrame:
+    """A ledger of named batches: of an id that several hold, the record of the batch whose name comes first.
+
+    So names should sort by time. The answer is the same for every reader, whatever order the batches were written in.
+    """
+    return keep_first(_batches(spark, path, schema), key, "batch").drop("batch")
+
+
 def read_table(spark, path: str, schema) -> DataFrame:
     """A Parquet table, or an empty frame of the schema where nothing was written yet."""
     if path_exists(spark, path):

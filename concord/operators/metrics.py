@@ -77,3 +77,8 @@ def full_log(corpus: DataFrame, phases: DataFrame, preds: DataFrame, gold: str =
             F.coalesce("final", empty).alias("final"),
         )
     )
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    """``level, n, n_correct`` from counts that were kept batch by batch."""
+    return parts.groupBy("level").agg(F.sum("n").cast("bigint").alias("n"), F.sum("n_correct").cast("bigint").alias("n_correct"))

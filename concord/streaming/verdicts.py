@@ -45,3 +45,33 @@ def stream_verdicts(
         .trigger(availableNow=True)
         .start()
     )
+
+
+STATED_SCHEMA = "case_id bigint, res int, level string, ts timestamp"
+
+
+def stream_accuracy(
+    spark: SparkSession, source: str, path: str, checkpoint: str, schema: str = STATED_SCHEMA, key: str = "case_id",
+    time: str = "ts", delay: str = "7 days", files: int | None = None,
+) -> StreamingQuery:
+    """Verdicts from JSON-lines files into ``path``, with counts by level kept as they come in.
+
+    Ids seen are held as state of the stream, so no batch reads what was written before: a record whose id came up to
+    ``delay`` of event time earlier is a repeat and is passed over; records older than that are too late and are not
+    counted. Records of an id are taken to agree; where they differ, one of those that come first counts. Every
+    micro-batch writes its rows and its counts to partitions of its own number, which it writes over if it is
+    repeated. ``metrics.totals`` adds up ``path/totals``. Stops when all present files are read.
+    """
+    fields = T.StructType.fromDDL(schema)
+    reader = spark.readStream.schema(fields)
+    parsed = (reader.option("maxFilesPerTrigger", files) if files else reader).json(source)
+    fresh = parsed.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
+        counts = batch.groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("res") == 1).alias("n_correct"))
+        counts.write.mode("overwrite").parquet(f"{path}/totals/batch={number}")
+        batch.unpersist()
+
+    return fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

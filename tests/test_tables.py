@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from concord.operators import cards, cases, corpus, ledger, metrics, parity, stage
+from concord.operators import cards, cases, corpus, ledger, metrics, parity, results, stage
 from concord.plans import evaluate, generate
 from concord.sources import sinks, tables
-from concord.streaming.verdicts import stream_verdicts, unread_path
+from concord.streaming.verdicts import stream_accuracy, stream_verdicts, unread_path
 
 
 def test_table_dir(spark, tmp_path):
@@ -135,6 +135,111 @@ def test_stage_resumes_only_what_may_pass(spark, tmp_path):
     assert second[1].response == "again" and second[2].status == "permanent" and second[3].response == "P3"
 
 
+def test_answers_outlive_a_lost_task(spark, tmp_path):
+    """The process is gone after 23 calls of a task; a second run asks again for no more than a chunk of each task."""
+    path, calls, chunk = str(tmp_path / "stage"), tmp_path / "calls", 5
+    calls.mkdir()
+    prompts = spark.range(60).selectExpr("id AS question_id", "concat('p', id) AS prompt").coalesce(1)
+
+    def dying(prompt):
+        import os
+
+        with open(calls / f"{prompt}-{os.getpid()}-{os.urandom(4).hex()}", "w"):
+            pass
+        if len(os.listdir(calls)) == 23:
+            os._exit(1)
+        return prompt.upper()
+
+    with pytest.raises(Exception):
+        stage.stage_to_table(prompts, dying, "final", path, chunk=chunk).count()
+    got = {r.question_id: r.response for r in stage.stage_to_table(prompts, dying, "final", path, chunk=chunk).collect()}
+    assert got == {i: f"P{i}" for i in range(60)}
+    asked = [c.name.split("-")[0] for c in calls.iterdir()]
+    again = len(asked) - len(set(asked))
+    assert len(set(asked)) == 60 and 1 <= again <= chunk
+    stage.stage_to_table(prompts, dying, "final", path, chunk=chunk).count()
+    assert len(list(calls.iterdir())) == len(asked)
+
+
+def test_calls_side_by_side_and_again(spark):
+    """Four calls at a time; a call that fails once is tried again."""
+    import time
+
+    seen = {}
+
+    def slow(prompt):
+        time.sleep(0.2)
+        seen[prompt] = seen.get(prompt, 0) + 1
+        if prompt == "p3" and seen[prompt] < 3:
+            raise ConnectionError("reset")
+        return prompt
+
+    df = spark.range(16).selectExpr("concat('p', id) AS prompt").coalesce(1)
+    start = time.time()
+    got = stage.run_stage(df, slow, concurrent=8, retries=2, pause=0.01).collect()
+    assert [r.response for r in got] == [f"p{i}" for i in range(16)] and {r.status for r in got} == {"ok"}
+    assert time.time() - start < 16 * 0.2 + 5
+    assert {r.prompt: r.status for r in stage.run_stage(df, slow, retries=0).collect()}["p3"] == "transient"
+
+
+def test_two_writers_leave_one_row_an_id(spark, tmp_path):
+    """Both look at the ledger before either writes; readers agree, and a batch that is repeated changes nothing."""
+    path = str(tmp_path / "ledger")
+    one = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "id int, v string")
+    two = spark.createDataFrame([(2, "b"), (3, "b"), (4, "b"), (4, "c")], "id int, v string")
+    ledger.append_batch(spark.createDataFrame([(9, "z")], "id int, v string"), path, "0", "id", "v")
+    held = [ledger._batches(spark, path, one.schema) for _ in range(2)]
+    for name, batch, seen in (("2", two, held[1]), ("1", one, held[0])):
+        new = ledger.new_rows(batch, seen, "id", "v").withColumn("batch", F.lit(name))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    want = {(9, "z"), (1, "a"), (2, "a"), (3, "a"), (4, "b")}
+    assert {tuple(r) for r in ledger.read_batches(spark, path, one.schema, "id").collect()} == want
+    for name, batch in (("1", one), ("2", two), ("1", one)):
+        ledger.append_batch(batch, path, name, "id", "v")
+        assert sorted(tuple(r) for r in ledger.read_batches(spark, path, one.schema, "id").collect()) == sorted(want)
+
+
+def test_faulty_cases_are_found_by_halves(spark, tmp_path, monkeypatch):
+    """64 cases with two that fail when they run: at most 20 writes of results, the other verdicts unchanged."""
+    good = [cases.Case(f"c{i:02}", "db", f"SELECT {i} AS x", f"SELECT {i} AS x") for i in range(64)]
+    broken = "SELECT raise_error('broken') AS x FROM range(3)"
+    sides = [cases.Case(c.case_id, "db", c.expected, broken if c.case_id in ("c10", "c11") else c.actual) for c in good]
+    writes = []
+    plain = cases.uuid.uuid4
+    monkeypatch.setattr(cases.uuid, "uuid4", lambda: writes.append(1) or plain())
+    rows, found = cases.run_cases(spark, sides, {"db": {}}, str(tmp_path / "cases"), batch=128)
+    got = {r.case_id: r.res for r in parity.verdicts(rows, found).collect()}
+    assert got == {c.case_id: int(c.case_id not in ("c10", "c11")) for c in good}
+    assert len(writes) <= 22  # a name for each attempt, and Spark's own few
+
+
+def test_rows_without_a_case_are_kept(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    for profile in ("strict", "lenient"):
+        rows = results.rows_from_frame(df, "k", "expected", profile=profile).union(results.rows_from_frame(df.filter("v < 3"), "k", "actual", profile=profile))
+        assert rows.count() == 5 and rows.filter("cells IS NULL").count() == 0
+        assert results.to_cells(df, "k", "expected").count() == 3
+        got = {r.case_id: (r.res, r.diff_rows, r.error) for r in parity.verdicts(rows, results.sides_of(rows), profile).collect()}
+        assert got == {"a": (1, 0, None), None: (0, 1, "rows without a case")}
+
+
+def test_stream_state_outlives_a_restart(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    lines = lambda rows: spark.createDataFrame([(json.dumps(dict(zip(("case_id", "res", "level", "ts"), r))),) for r in rows], "value string")
+    days = lambda d: f"2024-01-{d:02} 00:00:00"
+    batches = [
+        [(1, 1, "x", days(10)), (2, 0, "x", days(10)), (1, 1, "x", days(10))],
+        [(2, 0, "x", days(10)), (3, 1, "y", days(5)), (4, 1, "y", days(12))],  # one repeat, one that is late
+        [(4, 1, "y", days(12)), (5, 0, "y", days(30)), (None, 1, "y", days(30))],
+    ]
+    for rows in batches:
+        lines(rows).coalesce(1).write.mode("append").text(source)
+        stream_accuracy(spark, source, out, check, delay="20 days").awaitTermination()
+    got = {r.level: (r.n, r.n_correct) for r in metrics.totals(spark.read.parquet(f"{out}/totals")).collect()}
+    assert got == {"x": (2, 1), "y": (3, 2)}
+    assert sorted(r.case_id for r in spark.read.parquet(f"{out}/verdicts").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_three_phase_and_full_log(spark, tmp_path):
     flat = spark.createDataFrame(
         [(1, "how many", "shop", "", "SELECT 9", None), (2, "which", "none", "k", None, None)],
