@@ -128,6 +128,36 @@ def _decimals(x: str, digits: int) -> Column:
     return F.expr(f"CASE WHEN {x} IS NULL THEN NULL {tests} ELSE {digits} END")
 
 
+def _plain_cells(rows: DataFrame) -> DataFrame:
+    """``case_id, side, col_no, num, txt`` of every cell, percents read as numbers."""
+    return (
+        rows.select("case_id", "side", F.posexplode("cells").alias("col_no", "cell"))
+        .select("case_id", "side", "col_no", F.expr(_unpercent("cell")).alias("cell"))
+        .select("case_id", "side", "col_no", "cell.num", "cell.txt")
+    )
+
+
+def _column_stats(cells: DataFrame, digits: int) -> DataFrame:
+    return cells.groupBy("case_id", "col_no", "side").agg(
+        F.max(F.abs("num")).alias("top"),
+        F.max(F.col("txt").isNotNull()).alias("text"),
+        F.max(F.abs(F.col("num") - F.rint("num"))).alias("fraction"),
+        F.max(_decimals("num", digits)).alias("plain_places"),
+        F.max(_decimals("(num * 100D)", digits)).alias("raised_places"),
+    )
+
+
+def _raised(small: str, big: str) -> Column:
+    """Whether two numeric columns are a factor of 100 apart, up to what rounding to their decimals leaves open."""
+    top = lambda side: F.col(f"{side}_top")
+    half = lambda side: F.pow(F.lit(10.0), -F.col(f"{side}_plain_places")) * 0.5
+    numeric = (~F.col(f"{small}_text")) & (~F.col(f"{big}_text")) & (top(small) > 0) & (top(big) > 0)
+    return numeric & (
+        top(big).between(top(small) * 99.0, top(small) * 101.0)
+        | ((top(big) >= top(small) * 50.0) & (F.abs(top(big) - top(small) * 100.0) <= half(small) * 100.0 + half(big)))
+    )
+
+
 def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     """Per case: a factor for each column and side, and the decimals to compare at.
 
@@ -138,29 +168,12 @@ def column_scales(rows: DataFrame, digits: int = 2) -> DataFrame:
     Result: ``case_id, e_factor, a_factor, places`` (arrays by column) and ``noisy``, the columns that may
     differ by rounding, largest numbers first.
     """
-    flat = (
-        rows.select("case_id", "side", F.posexplode("cells").alias("col_no", "cell"))
-        .select("case_id", "side", "col_no", F.expr(_unpercent("cell")).alias("cell"))
-        .select("case_id", "side", "col_no", "cell.num", F.col("cell.txt").isNotNull().alias("text"))
-    )
-    per_side = flat.groupBy("case_id", "col_no", "side").agg(
-        F.max(F.abs("num")).alias("top"),
-        F.max("text").alias("text"),
-        F.max(F.abs(F.col("num") - F.rint("num"))).alias("fraction"),
-        F.max(_decimals("num", digits)).alias("plain_places"),
-        F.max(_decimals("(num * 100D)", digits)).alias("raised_places"),
-    )
+    per_side = _column_stats(_plain_cells(rows), digits)
     by_side = lambda name, side: F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side[0]}_{name}")
     names = ("top", "text", "fraction", "plain_places", "raised_places")
     both = per_side.groupBy("case_id", "col_no").agg(*[by_side(n, s) for n in names for s in results.SIDES])
     numeric = (~F.col("e_text")) & (~F.col("a_text")) & (F.col("e_top") > 0) & (F.col("a_top") > 0)
-    raised = lambda small, big: numeric & (
-        F.col(f"{big}_top").between(F.col(f"{small}_top") * 99.0, F.col(f"{small}_top") * 101.0)
-        | ((F.col(f"{big}_top") >= F.col(f"{small}_top") * 50.0)
-           & (F.abs(F.col(f"{big}_top") - F.col(f"{small}_top") * 100.0) <= half(small) * 100.0 + half(big)))
-    )
-    half = lambda side: F.pow(F.lit(10.0), -F.col(f"{side}_plain_places")) * 0.5
-    raise_a, raise_e = raised("a", "e"), raised("e", "a")
+    raise_a, raise_e = _raised("a", "e"), _raised("e", "a")
     factors = both.select(
         "case_id", "col_no",
         F.when(raise_e, 100.0).otherwise(1.0).alias("e_factor"),
@@ -435,13 +448,14 @@ def _consistent(rows: DataFrame, plans: DataFrame) -> DataFrame:
     return materialise(plans.join(held.select("case_id"), "case_id", "left_anti").unionByName(fewer), "projection-plans")
 
 
-def _search_maps(rows: DataFrame, plans: DataFrame) -> DataFrame:
+def _search_maps(rows: DataFrame, plans: DataFrame, forms: int = 1) -> DataFrame:
     """Cases with several possible column maps: depth-first search, all cases in step, a depth a round.
 
     A round makes up to ``_BEAM`` of the deepest partial maps of every open case longer by one column. New maps are held
     against a few rows of the wider side, whose values under the map must occur on the narrower; as far as
     ``_WORK`` reaches, those left against sketches of all rows. Full maps are checked exactly, ``_CHECKED`` a round. Maps
-    that wait stay in the frontier, so the work of a round is bounded while no map is ever skipped.
+    that wait stay in the frontier, so the work of a round is bounded while no map is ever skipped. Positions that
+    agree in whole ``forms`` are forms of one column, of which a map takes one.
     """
     spark = rows.sparkSession
     rows = materialise(_of_cases(rows, plans.select("case_id"), "codes", "left_semi"), "projection-rows")
@@ -464,7 +478,7 @@ def _search_maps(rows: DataFrame, plans: DataFrame) -> DataFrame:
         grown = (
             ranked.filter((F.col("rank") <= _BEAM) & ~full).drop("n_cols").join(plans, "case_id")
             .select("case_id", "n_cols", "n_rows", "witnesses", "to", F.explode(F.get("choices", F.size("to"))).alias("next"))
-            .filter(~F.array_contains("to", F.col("next")))
+            .filter(~F.exists("to", lambda x: F.floor(x / forms) == F.floor(F.col("next") / forms)))
             .select("case_id", "n_cols", "n_rows", "witnesses", F.array_append("to", F.col("next")).alias("to"))
         )
         shown = F.explode(F.transform("witnesses", lambda c: F.xxhash64(F.transform(F.col("to"), lambda i: F.get(c, i))))).alias("h")
@@ -498,19 +512,73 @@ def match_projection(weighed: DataFrame) -> DataFrame:
     A reordering of all columns counts as well. Returns ``case_id``.
     """
     rows = _projection_rows(weighed)
-    plans = materialise(_column_plans(rows), "projection-plans")
+    return _mapped(rows, materialise(_column_plans(rows), "projection-plans"))
+
+
+def _mapped(rows: DataFrame, plans: DataFrame, forms: int = 1) -> DataFrame:
+    """Cases for which some choice of the plans gives equal sets of rows."""
     single = F.forall("choices", lambda c: F.size(c) == 1)
     straight = plans.filter(single).select(
         "case_id", "n_cols", F.transform("choices", lambda c: c[0]).alias("to")
     )
-    found = _verified(rows, straight.filter(F.size(F.array_distinct("to")) == F.size("to")))
+    columns = F.array_distinct(F.transform("to", lambda x: F.floor(x / forms)))
+    found = _verified(rows, straight.filter(F.size(columns) == F.size("to")))
     open_plans = plans.filter(~single)
     if open_plans.isEmpty():
         return found
     open_plans = _consistent(rows, open_plans)
     if open_plans.isEmpty():
         return found
-    return found.union(_search_maps(rows, open_plans))
+    return found.union(_search_maps(rows, open_plans, forms))
+
+
+def match_scaled_projection(rows: DataFrame, digits: int = 2) -> DataFrame:
+    """Cases in which the narrower side equals, as a set of rows, some columns of the wider one after scaling.
+
+    Works on canonical rows of sides of different widths. Every column is coded in several forms: plain and raised by
+    100, each at every number of decimals. For each two columns their magnitudes say which forms to compare, as in
+    ``column_scales``, and sketches of these whether they can be the same. A narrow column that fits some column unscaled is taken
+    unscaled. Values are equal after rounding; there is no further tolerance. Returns ``case_id``.
+    """
+    forms = 2 * (digits + 1)
+    width = rows.groupBy("case_id", "side").agg(F.min(F.size("cells")).alias("low"), F.max(F.size("cells")).alias("high"))
+    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    widths = width.groupBy("case_id").agg(side("expected", "low").alias("e"), side("actual", "low").alias("a"), F.max(F.col("low") != F.col("high")).alias("ragged"))
+    widths = widths.filter("NOT ragged AND e <> a").select("case_id", F.when(F.col("e") < F.col("a"), "expected").otherwise("actual").alias("narrow"))
+    own = _of_cases(rows, widths, "cells").withColumn("role", F.when(F.col("side") == F.col("narrow"), "n").otherwise("w"))
+    own = own.select("case_id", "role", F.expr(f"transform(cells, c -> {_unpercent('c')})").alias("cells"))
+    form = lambda f, p: (
+        f"CASE WHEN c.num IS NOT NULL THEN concat('n', coalesce(CAST({_coarse_units(f'(c.num * {f}D)', str(p), digits)} AS STRING), "
+        f"concat('~', CAST(c.num * {f}D AS STRING)))) ELSE coalesce(concat('t', c.txt), 'z') END"
+    )
+    every = ", ".join(form(f, p) for f in (1, 100) for p in range(digits + 1))
+    coded = own.select("case_id", "role", "cells", F.expr(f"flatten(transform(cells, c -> array({every})))").alias("codes"))
+    coded = materialise(coded.groupBy("case_id", "role", "codes").agg(F.min("cells").alias("cells")), "scaled-forms")
+    if coded.isEmpty():
+        return coded.select("case_id")
+    cells = coded.select("case_id", F.col("role").alias("side"), F.posexplode("cells").alias("col_no", "cell")).select("case_id", "side", "col_no", "cell.num", "cell.txt")
+    stats = _column_stats(cells, digits)
+    prints = coded.select("case_id", F.col("role").alias("side"), F.posexplode("codes").alias("at", "code")).groupBy("case_id", "side", "at").agg(_sketch(F.col("code")).alias("sketch"))
+    prints = prints.groupBy("case_id", "side", F.floor(F.col("at") / forms).cast("int").alias("col_no")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "sketch"))), lambda x: x["sketch"]).alias("sketches")
+    )
+    columns = materialise(stats.join(prints, ["case_id", "side", "col_no"]), "scaled-columns")
+    of = lambda role: columns.filter(F.col("side") == role).select("case_id", *[F.col(c).alias(f"{role}_{c}") for c in ("col_no", "top", "text", "plain_places", "raised_places", "sketches")])
+    two = of("n").join(of("w"), "case_id")  # bounded group: the columns of one case
+    up_n, up_w = _raised("n", "w"), _raised("w", "n")
+    places = (
+        F.when(up_n, F.least("n_raised_places", "w_plain_places")).when(up_w, F.least("n_plain_places", "w_raised_places")).otherwise(digits)
+    )
+    two = two.withColumns({"n_form": places + F.when(up_n, digits + 1).otherwise(0), "w_form": places + F.when(up_w, digits + 1).otherwise(0), "scaled": up_n | up_w})
+    met = two.filter(F.get("n_sketches", F.col("n_form")) == F.get("w_sketches", F.col("w_form")))
+    best = F.min(F.struct("scaled", "n_form")).over(Window.partitionBy("case_id", "n_col_no"))
+    met = met.withColumn("best", best).filter((F.col("scaled") == F.col("best.scaled")) & (F.col("n_form") == F.col("best.n_form")))
+    at = lambda role: (F.col(f"{role}_col_no") * forms + F.col(f"{role}_form")).cast("int")
+    choices = met.select("case_id", at("n").alias("col_no"), at("w").alias("to")).groupBy("case_id", "col_no").agg(F.sort_array(F.collect_set("to")).alias("to"))
+    needed = columns.filter("side = 'n'").groupBy("case_id").agg(F.count("*").alias("needed"))
+    plans = choices.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.size("to").alias("k"), "col_no", "to"))).alias("p")).join(needed, "case_id")
+    plans = plans.filter(F.size("p") == F.col("needed")).select("case_id", F.col("p.col_no").alias("n_cols"), F.col("p.to").alias("choices"))
+    return _mapped(coded.select("case_id", "role", "codes"), materialise(plans, "projection-plans"), forms)
 
 
 # --- cascade ---------------------------------------------------------------------------------
@@ -597,6 +665,9 @@ def _verdicts(coded: DataFrame, rows: DataFrame | None, sides: DataFrame, profil
                 diff_scaled(_only(rows, is_open.filter("e_n_cols = a_n_cols"), "cells"), digits)
                 .filter("diff_rows = 0").select("case_id")
             )
+            uneven = is_open.filter("e_n_cols <> a_n_cols")
+            if not uneven.isEmpty():
+                hits = hits.union(match_scaled_projection(_only(rows, uneven, "cells"), digits))
         else:
             hits = diff_tokens(_only(rest, is_open), digits).filter("diff_rows = 0").select("case_id")
         hits = materialise(hits.select("case_id", F.lit(level).alias("found")), f"verdict-{level}")

@@ -296,6 +296,48 @@ def test_pairing_against_matching(spark):
     assert got == {k for k, ok in want.items() if ok} and 20 < len(got) < 110
 
 
+def brute_scaled(e, a):
+    """Whether some columns of the wider table, each as it is or a factor of 100 apart as a whole, give the rows of the other."""
+    from itertools import permutations
+
+    narrow, wide = (e, a) if len(e[0]) < len(a[0]) else (a, e)
+
+    def read(v):
+        return float(v[:-1]) if isinstance(v, str) and v.endswith("%") else v
+
+    def forms(column_n, column_w):
+        n, w = [read(v) for v in column_n], [read(v) for v in column_w]
+        if all(isinstance(v, (int, float)) for v in n + w):
+            top_n, top_w = max(map(abs, n)), max(map(abs, w))
+            if top_n and 99 <= top_w / top_n <= 101:
+                return [round(v * 100, 2) for v in n], [round(v, 2) for v in w]
+            if top_w and 99 <= top_n / top_w <= 101:
+                return [round(v, 2) for v in n], [round(v * 100, 2) for v in w]
+        return n, w
+
+    columns_n, columns_w = list(zip(*narrow)), list(zip(*wide))
+    for m in permutations(range(len(columns_w)), len(columns_n)):
+        both = [forms(c, columns_w[i]) for c, i in zip(columns_n, m)]
+        if set(zip(*[b[0] for b in both])) == set(zip(*[b[1] for b in both])):
+            return True
+    return False
+
+
+def test_extra_columns_beside_percents(spark):
+    rng = random.Random(12)
+    pairs = {"percent": ([["a", "25%"], ["b", "7%"]], [["a", "x", 0.25], ["b", "y", 0.07]]), "other rows": ([["a", "25%"], ["b", "7%"]], [["a", "x", 0.07], ["b", "y", 0.25]])}
+    for n in range(30):
+        shares = [rng.randint(1, 99) / 100 for _ in range(rng.randint(2, 6))]
+        wide = [[rng.choice("abc"), v, rng.randint(1, 3), rng.choice("xy")] for v in shares]
+        narrow = [[f"{round(r[1] * 100)}%" if n % 2 else round(r[1] * 100), r[0]] for r in wide]
+        if n % 3 == 0:
+            narrow[0][0] = f"{round(shares[0] * 100) + 1}%" if n % 2 else round(shares[0] * 100) + 1
+        pairs[str(n)] = (narrow, wide) if n % 4 else (wide, narrow)
+    got = judge(spark, pairs, "lenient")
+    assert {k: r.res for k, r in got.items()} == {k: int(brute_scaled(*v)) for k, v in pairs.items()}
+    assert got["percent"].level == "scaled" and got["other rows"].res == 0 and 10 < sum(r.res for r in got.values()) < 30
+
+
 def test_dense_money_columns(spark):
     """Every value within one cent, values close together, nothing else to tell rows by."""
     rng = random.Random(8)
