@@ -69,10 +69,12 @@ def passages(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _row_keys() -> list[Column]:
+    return [F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.xxhash64("text")]
+
+
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(
-        F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("id_hash"), F.xxhash64("text").alias("text_hash"), *more
-    )
+    return docs.select(*[k.alias(c) for k, c in zip(_row_keys(), _ROW)], *more)
 
 
 _ROW = ["id_hash", "text_hash"]
@@ -121,12 +123,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     bits are all found, as they agree in one block up to three flips; flips are taken on the side of the items.
     Equal windows of many documents are searched and verified once.
     """
+    cut, held = _found(docs, benchmark, percent)
+    best = F.max(F.struct((F.col("shared") / F.col("total")).alias("s"), (-F.col("start")).alias("at"), "n_words", "shared", "total"))
+    return (
+        cut.join(held, ["w1", "w2"]).groupBy("doc_id", "item_id").agg(best.alias("m"))
+        .select("doc_id", "item_id", (-F.col("m.at")).cast("long").alias("start_word"), F.col("m.n_words").cast("long").alias("n_words"),
+                F.col("m.shared").cast("long").alias("shared"), F.col("m.total").cast("long").alias("total"))
+    )
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of rows, and the windows that hold an item: ``id_hash, text_hash, doc_id, start, n_words, w1, w2`` and ``w1, w2, item_id, shared, total``."""
     items = materialise(passages(benchmark), "items")
     spans = materialise(item_sized_windows(docs, items, percent), "spans")
     per_doc = materialise(spans.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n_words")).alias("spans")), "marked")
     shaped = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, _ROW)
-    shaped = shaped.select("doc_id", _words("text").alias("all"), F.explode("spans").alias("span"))
-    cut = shaped.select("doc_id", "span.start", "span.n_words", F.slice("all", F.col("span.start") + 1, F.col("span.n_words")).alias("words"))
+    shaped = shaped.select(*_ROW, "doc_id", _words("text").alias("all"), F.explode("spans").alias("span"))
+    cut = shaped.select(*_ROW, "doc_id", "span.start", "span.n_words", F.slice("all", F.col("span.start") + 1, F.col("span.n_words")).alias("words"))
     cut = materialise(cut.withColumns({"w1": F.xxhash64("words"), "w2": F.xxhash64(F.lit(1), "words")}).distinct(), "windows")
 
     kinds = materialise(_prints(cut.groupBy("w1", "w2").agg(F.first("words").alias("words")), "w1", "w2"), "kinds")
@@ -143,19 +156,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     apart = F.aggregate(F.zip_with("print", "item_print", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     both = both.withColumn("shared", F.size(F.array_intersect("bag", "item_bag"))).withColumn("total", F.size("bag") + F.size("item_bag") - F.col("shared"))
     held = both.filter(apart <= RADIUS).filter(F.col("shared") * 100 >= F.col("total") * percent)
-    held = materialise(held.select("w1", "w2", "item_id", "shared", "total"), "verified")
-    best = F.max(F.struct((F.col("shared") / F.col("total")).alias("s"), (-F.col("start")).alias("at"), "n_words", "shared", "total"))
-    return (
-        cut.join(held, ["w1", "w2"]).groupBy("doc_id", "item_id").agg(best.alias("m"))
-        .select("doc_id", "item_id", (-F.col("m.at")).cast("long").alias("start_word"), F.col("m.n_words").cast("long").alias("n_words"),
-                F.col("m.shared").cast("long").alias("shared"), F.col("m.total").cast("long").alias("total"))
-    )
+    return cut, materialise(held.select("w1", "w2", "item_id", "shared", "total"), "verified")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no item. Rows of an id go together."""
-    found = materialise(matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_hit"]), "left_anti")
+    """The documents, with all their columns, that hold no item.
+
+    Each row is judged by its own text: of rows that share an id, or have none, only those with an item go.
+    """
+    cut, held = _found(docs, benchmark, PERCENT)
+    hits = cut.join(held.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi").select(*[F.col(c).alias(f"_{c}") for c in _ROW])
+    hits = materialise(hits.distinct(), "hits")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[k.alias(f"_own_{c}") for k, c in zip(_row_keys(), _ROW)])
+    kept = keyed.join(hits, (F.col("_own_id_hash") == F.col("_id_hash")) & (F.col("_own_text_hash") == F.col("_text_hash")), "left_anti")
+    return kept.drop("_own_id_hash", "_own_text_hash")
 
 
 @query("op9_decontamination")

@@ -8,20 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from concord.llm import numtext
+from concord.llm import counting, numtext
 from concord.llm.components import components
-from concord.llm.registry import query, small_batches, table
+from concord.llm.registry import query, small_batches, table, trimmed
 from concord.session import materialise
 
 SHINGLE = 5
 PERCENT = 75
 #: Bits of the bitmap by which tiles compare, and bits a shingle of the one by which pairs are held against each other.
 BITS, WIDE = 512, 4
-#: Tokens held before a task sorts and passes them on; tokens listed as frequent at most; tile side.
-HELD, FREQUENT, TILE = 1 << 19, 1 << 20, 1024
-#: Hubs of a token: every set that has it is held against each of them.
-HUBS = 6
+#: Tokens held before a task sorts and passes them on; sets in a part of a very frequent token; tile side.
+HELD, PART, TILE = 1 << 18, 1 << 17, 1024
+#: Up to so many sets of a token are compared one by one; hubs of a size band of a token with more.
+FEW, HUBS = 7, 6
+#: Bits of the hash by which the table of token frequency is laid out.
+ORDER_BITS = 24
 _FILTER_BITS = 24
 
 
@@ -49,14 +52,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def class_of(values: np.ndarray) -> int:
-    """64-bit name of a set; equal sets have equal names. 0 for the empty set."""
+def class_of(values: np.ndarray, seed: int = 0) -> int:
+    """A 64-bit hash of a set; equal sets have equal ones. 0 for the empty set."""
     if not len(values):
         return 0
-    total = numtext.mix(values + np.uint64(len(values))).sum(dtype=np.uint64)
+    total = numtext.mix(values + np.uint64(len(values) + seed)).sum(dtype=np.uint64)
     return int(numtext.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def second_of(values: np.ndarray) -> int:
+    return class_of(values, 0x9E3779B9)
+
+
+def name_of(values: np.ndarray, shared: frozenset[int]) -> int:
+    """The name of a set: its hash, or where different sets have that hash (``shared``), both hashes mixed.
+
+    So sets are told apart by 128 bits, and names need only 64.
+    """
+    cls = class_of(values)
+    return mixed_name(cls, second_of(values)) if cls in shared and len(values) else cls
+
+
+def mixed_name(cls: int, second: int) -> int:
+    both = numtext.mix(np.array([cls, second], np.int64).view(np.uint64) + np.array([1, 2], np.uint64))
+    return int(numtext.mix(both[:1] + numtext.mix(both[1:])).view(np.int64)[0])
+
+
 def bitmap(values: np.ndarray, size: int = BITS) -> bytes:
     """A bit for each remainder of a hash; ``size`` is a power of two, so halves can be laid over each other."""
     bits = np.zeros(size, bool)
@@ -73,11 +94,13 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
+def _row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """``doc_id, row, text``: ``row`` names the content of a row, so ids may be null or repeat."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row"), F.col("text").cast("string").alias("text")
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("text"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -87,65 +110,48 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, cls, n, bits, wide`` per row: the name, size and bitmaps of its set."""
+    """``doc_id, row, cls, second, n, bits, wide`` per row: two hashes, the size and bitmaps of its set."""
 
     def task(batches):
         for batch, _, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array([class_of(x) for x in sets], pa.int64()),
-                 pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary()),
+                 pa.array([second_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary()),
                  pa.array([wide_bitmap(x) for x in sets], pa.binary())],
-                names=["doc_id", "row", "cls", "n", "bits", "wide"],
+                names=["doc_id", "row", "cls", "second", "n", "bits", "wide"],
             )
 
-    return _texts(docs).mapInArrow(task, "doc_id long, row long, cls long, n long, bits binary, wide binary")
+    return _texts(docs).mapInArrow(trimmed(task), "doc_id long, row long, cls long, second long, n long, bits binary, wide binary")
 
 
 # Tokens that two or more sets share
 
 
-def frequent(docs: DataFrame, least: int = 8) -> np.ndarray:
-    """At most ``FREQUENT`` of the most frequent shingles, sorted. They only set the order of tokens.
+def rarity(docs: DataFrame, total: int, shared: frozenset[int], least: int = 8) -> np.ndarray:
+    """How frequent tokens are, in quarter powers of two, by the first ``ORDER_BITS`` bits of their hash; 0 below ``least`` sets.
 
-    A task passes on what it meets three times among half a million shingles, so any shingle of a noticeable
-    share of documents is counted; what is not listed is merely ordered by its hash.
+    All tokens of all sets are counted; ``total`` is about their number. The table only sets the order in which tokens are
+    looked at, so keys that fall together cost time and nothing else. Its size is fixed.
     """
+    ranges = counting.ranges_for(total, bits=ORDER_BITS)
 
-    def task(batches):
-        held, size = [], 0
-
-        def counted():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values[n >= 3].view(np.int64)), pa.array(n[n >= 3])], names=["token", "n"])
-
+    def spread(batches):
+        runs, seen = counting.Runs(ranges, 2 * HELD), set()
         for _, _, sets in _sets(batches):
-            held += sets
-            size += sum(map(len, sets))
-            if size >= HELD:
-                yield counted()
-                held, size = [], 0
-        if size:
-            yield counted()
-
-    rows = _texts(docs).mapInArrow(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = rows.orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().view(np.uint64))
-
-
-def _member(sorted_: np.ndarray):
-    """A test for membership of a sorted array, by bits first."""
-    bits = np.zeros(1 << 20, bool)
-    bits[(sorted_ & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def test(values: np.ndarray) -> np.ndarray:
-        out = bits[(values & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        if len(at):
-            place = np.minimum(np.searchsorted(sorted_, values[at]), len(sorted_) - 1)
-            out[at] = sorted_[place] == values[at]
-        return out
+            new = []
+            for values in sets:
+                name = name_of(values, shared)
+                if len(values) and name not in seen:
+                    seen.add(name)
+                    new.append(values)
+            if new:
+                yield from runs.add(np.concatenate(new))
+            if len(seen) > HELD:
+                seen = set()
+        yield from runs.rest()
 
-    return test
+    quarters = lambda n: np.where(n >= least, np.minimum(4 * np.log2(n), 255), 0).astype(np.uint8)
+    return counting.table_of(_texts(docs), spread, ranges, 1 << ORDER_BITS, quarters)
 
 
 def prefix_length(n: int) -> int:
@@ -153,41 +159,51 @@ def prefix_length(n: int) -> int:
     return n - -(-n * PERCENT // 100) + 1
 
 
-def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
+def shared_tokens(docs: DataFrame, total: int, shared: frozenset[int] = frozenset()) -> DataFrame:
     """What the tokens that two or more prefixes share say about pairs of sets.
 
     Linked sets share a token of their prefixes: at least 75 % of the larger set is common to both. The
     order puts frequent tokens last, so a passage of many documents is in a prefix only of documents that
-    are little else. Of each token some sets, spread over the run of its sets, are hubs; every set makes a pair with each.
-    Pairs come as rows ``a, b`` with a null ``token``. So tokens of up to ``HUBS`` + 1 sets are done; for others there is a
-    row ``token, a, n, place`` a set too: its size, and the tokens of it that come before. Pairs that sizes or places
-    rule out are left out. Tokens travel in packed runs by range of their value; ``total`` of them make so many
-    ranges that each fits a task. A set that repeats within a task is passed on once.
+    are little else. Of a token with few sets every two make a pair. Of others, the sets of a size band whose
+    names are least under several mixings are its hubs; every set makes a pair with those of its band, and hubs of
+    neighbouring bands do. As names rule everywhere, near copies choose the same few hubs at all their tokens. Pairs come as rows ``a, b`` with a null ``token``.
+    Tokens of more sets also give a row ``token, a, n, place, hub`` a set: its size, the tokens of it that come before, and
+    whether it is a hub. Pairs that sizes or places rule out are left out. Tokens travel in packed runs by range of their
+    value; ``total`` of them make so many ranges that each fits a task. Very frequent tokens are dealt out further by the
+    names of sets; they have hubs in each part. A set that repeats within a task is passed on once.
     """
     spark = docs.sparkSession
     ranges = 1 << max(3, int(np.ceil(np.log2(max(1, total / HELD)))))
     shift = np.uint64(64 - ranges.bit_length() + 1)
-    known = spark.sparkContext.broadcast(frequent(docs))
+    known = spark.sparkContext.broadcast(rarity(docs, total * 4, shared))  # 16 MB at every size
+
+    def parts_of(tokens: np.ndarray) -> np.ndarray:
+        """Parts over which a token's sets are dealt."""
+        often = 2.0 ** (known.value[_place_of(tokens)] / 4)
+        return np.maximum(often / PART, 1).astype(np.int64)
 
     def spread(batches):
-        held, size, seen, late = [], 0, set(), _member(known.value)
+        held, size, seen = [], 0, set()
 
         def packed():
-            t, *rest = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(t)
-            cut = np.searchsorted(t[order] >> shift, np.arange(ranges + 1, dtype=np.uint64))
+            t, c, n, at = (np.concatenate(x) for x in zip(*held))
+            parts = parts_of(t)
+            part = (c.view(np.uint64) % parts.astype(np.uint64)).astype(np.uint64)
+            home = np.where(part > 0, numtext.mix(t + part), t) >> shift
+            order = np.argsort(home, kind="stable")
+            cut = np.searchsorted(home[order], np.arange(ranges + 1, dtype=np.uint64))
             keep = [i for i in range(ranges) if cut[i] < cut[i + 1]]
-            parts = [[x[order[cut[i] : cut[i + 1]]].tobytes() for i in keep] for x in (t, *rest)]
-            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array(x, pa.binary()) for x in parts]], names=["range", *_PACKED])
+            packs = [[x[order[cut[i] : cut[i + 1]]].tobytes() for i in keep] for x in (t, c, n, at)]
+            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array(x, pa.binary()) for x in packs]], names=["range", *_PACKED])
 
         for _, _, sets in _sets(batches):
             for values in sets:
-                cls = class_of(values)
+                cls = name_of(values, shared)
                 if not len(values) or cls in seen:
                     continue
                 seen.add(cls)
-                last = late(values)
-                prefix = np.concatenate([values[~last], values[last]])[: prefix_length(len(values))].copy()
+                order = np.argsort(known.value[_place_of(values)], kind="stable")
+                prefix = values[order[: prefix_length(len(values))]]
                 n = len(prefix)
                 held.append((prefix, np.full(n, cls, np.int64), np.full(n, len(values), np.uint32), np.arange(n, dtype=np.uint32)))
                 size += n
@@ -204,52 +220,90 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             for r, *parts in zip(batch.column("range").to_pylist(), *(batch.column(c) for c in _PACKED)):
                 if r != now and held:
-                    yield from _pairs_and_entries(held)
+                    yield from _pairs_and_entries(held, parts_of)
                     held = []
                 now = r
                 held.append([x.as_py() for x in parts])
         if held:
-            yield from _pairs_and_entries(held)
+            yield from _pairs_and_entries(held, parts_of)
 
-    runs = _texts(docs).mapInArrow(spread, "range int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    runs = _texts(docs).mapInArrow(trimmed(spread), "range int, " + ", ".join(f"{c} binary" for c in _PACKED))
     runs = runs.repartitionById(ranges, "range").sortWithinPartitions("range")
-    return runs.mapInArrow(gather, "token long, a long, b long, n long, place long")
+    return runs.mapInArrow(trimmed(gather), "token long, a long, b long, n long, place long, hub boolean")
+
+
+def _place_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
 _PACKED = ("tokens", "names", "sizes", "places")
 
 
-def _pairs_and_entries(held: list) -> Iterator[pa.RecordBatch]:
+def bands(n: np.ndarray) -> np.ndarray:
+    """Size bands, each 4/3 of the one before: links stay in a band or reach the next."""
+    return np.floor(np.log(n) / np.log(100 / PERCENT)).astype(np.int64)
+
+
+def _pairs_and_entries(held: list, parts_of) -> Iterator[pa.RecordBatch]:
     """The rows of ``shared_tokens`` for one range of tokens, from what all tasks passed on."""
     t, c, n, at = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint64, np.int64, np.uint32, np.uint32)))
-    order = np.lexsort((c, t))
-    t, c = t[order], c[order]
+    band = bands(n)
+    order = np.lexsort((c, band, t))
+    t, c, band = t[order], c[order], band[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    t, c, n, at = t[new], c[new], n[order][new].astype(np.int64), at[order][new].astype(np.int64)
+    t, c, band, n, at = t[new], c[new], band[new], n[order][new].astype(np.int64), at[order][new].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     m = np.diff(np.append(first, len(t)))
     start, size = np.repeat(first, m), np.repeat(m, m)
-    keep = np.flatnonzero(size > 1)
     found = []
-    for k in range(HUBS):
-        own = keep[size[keep] > k]
-        hub = start[own] + np.where(size[own] > HUBS, size[own] * k // HUBS, k)
-        ok = (own != hub) & _can_link(n[own], n[hub]) & _enough_left(n[own], n[hub], at[own], at[hub])
-        x, y = c[own[ok]], c[hub[ok]]
+
+    def add(own: np.ndarray, other: np.ndarray) -> None:
+        ok = (own != other) & _can_link(n[own], n[other]) & _enough_left(n[own], n[other], at[own], at[other])
+        x, y = c[own[ok]], c[other[ok]]
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+
+    few = np.flatnonzero((size > 1) & (size <= FEW))
+    for k in range(FEW - 1):
+        own = few[size[few] > k]
+        add(own, start[own] + k)
+    many = np.flatnonzero(size > FEW)
+    # runs of one token and band; hubs are the sets whose names are least, after one of several mixings
+    new_run = np.concatenate([[True], (t[1:] != t[:-1]) | (band[1:] != band[:-1])]) if len(t) else np.zeros(0, bool)
+    run_start = np.flatnonzero(new_run)
+    run = np.cumsum(new_run) - 1
+    if len(many):
+        for k in range(HUBS):
+            keys = numtext.mix(c.view(np.uint64) + np.uint64(k)) if k else c.view(np.uint64)
+            least = np.flatnonzero(keys == np.minimum.reduceat(keys, run_start)[run])
+            add(many, least[run[many]])
+        # the hubs of neighbouring bands stand for what lies on both sides of their border
+        first_run = np.unique(run[many])
+        last = first_run[first_run + 1 < len(run_start)]
+        here, there = run_start[last], run_start[last + 1]
+        beside = (t[here] == t[there]) & (band[here] + 1 == band[there])
+        add(here[beside], there[beside])
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     none = lambda k: pa.nulls(k, pa.int64())
     for i in range(0, len(pairs), 1 << 18):
         x, y = pairs[i : i + (1 << 18)].T
-        yield pa.RecordBatch.from_arrays([none(len(x)), pa.array(x), pa.array(y), none(len(x)), none(len(x))], names=_ROWS)
-    many = np.flatnonzero(size > HUBS + 1)
-    for i in range(0, len(many), 1 << 18):
-        j = many[i : i + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(t[j].view(np.int64)), pa.array(c[j]), none(len(j)), pa.array(n[j]), pa.array(at[j])], names=_ROWS)
+        yield pa.RecordBatch.from_arrays([none(len(x)), pa.array(x), pa.array(y), none(len(x)), none(len(x)), pa.nulls(len(x), pa.bool_())], names=_ROWS)
+    split = parts_of(t) > 1
+    lasting = np.flatnonzero((size > FEW) | split)
+    hub = split & new_run
+    for i in range(0, len(lasting), 1 << 18):
+        j = lasting[i : i + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(t[j].view(np.int64)), pa.array(c[j]), none(len(j)), pa.array(n[j]), pa.array(at[j]), pa.array(hub[j])], names=_ROWS)
+
 
+_ROWS = ["token", "a", "b", "n", "place", "hub"]
 
-_ROWS = ["token", "a", "b", "n", "place"]
+
+def hubs_of_parts(entries: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the hubs of a dealt-out token's parts with the least of them in their band."""
+    own = entries.filter("hub").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")).select("token", "band", F.col("cls").alias("a"))
+    least = own.groupBy("token", "band").agg(F.min("a").alias("b"))
+    return own.join(least, ["token", "band"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 # Candidates
@@ -290,7 +344,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("x"))
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("y"))
     sized = pairs.join(one.drop("x"), "a").join(two.drop("y"), "b").filter(_can_link(F.col("n1"), F.col("n2"))).select("a", "b")
-    return sized.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(task, "a long, b long")
+    return sized.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(task), "a long, b long")
 
 
 def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -351,13 +405,13 @@ def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
             k += 1
 
-    return laid.repartition("tile").sortWithinPartitions("tile").mapInArrow(task, "a long, b long").distinct()
+    return laid.repartition("tile").sortWithinPartitions("tile").mapInArrow(trimmed(task), "a long, b long").distinct()
 
 
 # Exact verification
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _arrays(docs: DataFrame, wanted: DataFrame, shared: frozenset[int]) -> DataFrame:
     """``cls, shingles`` of the wanted sets, from the one row that stands for each.
 
     Rows are picked by a bit filter of fixed size, made from the wanted rows; rows that pass without
@@ -377,9 +431,9 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             hit = (known.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             some = batch.filter(pa.array(hit.astype(bool)))
             for _, _, sets in _sets([some]):
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x, shared) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "shingles"])
 
-    every = _texts(docs).select("row", "text").mapInArrow(task, "cls long, shingles binary")
+    every = _texts(docs).select("row", "text").mapInArrow(trimmed(task), "cls long, shingles binary")
     return every.dropDuplicates(["cls"])
 
 
@@ -400,14 +454,14 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 
     one = arrays.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     two = arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(task, "a long, b long, shared long, total long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(trimmed(task), "a long, b long, shared long, total long")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their sets, verified links between sets, and components of sets.
 
-    Exact copies meet in one set, so links are between different texts. First each set is held against the
-    hubs of every token it shares; components of these links already hold nearly all near copies. Then tiles
+    Exact copies meet in one set, so links are between different texts; ``links`` hold enough of them for the
+    components, not every one within a component. First each set is held against the hubs of every token it shares; components of these links already hold nearly all near copies. Then tiles
     look at every pair that shares a token across components, so no component is missed while pairs
     within one are not spelled out. Returns ``rows`` (doc_id, row, cls, n, bits, wide), ``links`` (a, b, shared, total)
     and ``roots`` (node, root).
@@ -416,23 +470,40 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return _join(docs)
 
 
+def _named(rows: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """The rows with ``cls`` as the name of the set, and the hashes that different sets have."""
+    kinds = rows.filter("n > 0").groupBy("cls").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    shared = frozenset(r.cls for r in kinds.filter("low <> high").select("cls").collect())  # one in 2**64 pairs
+    if not shared:
+        return rows.drop("second"), shared
+
+    def task(batches):
+        for batch in batches:
+            cls, second, n = (batch.column(c).to_pylist() for c in ("cls", "second", "n"))
+            names = [mixed_name(a, b) if k and a in shared else a for a, b, k in zip(cls, second, n)]
+            yield batch.set_column(batch.schema.get_field_index("cls"), "cls", pa.array(names, pa.int64()))
+
+    return materialise(rows.mapInArrow(trimmed(task), rows.schema), "named-sets").drop("second"), shared
+
+
 def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = materialise(summaries(docs), "sets")
+    rows, shared = _named(materialise(summaries(docs), "sets"))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"))
     classes = materialise(classes, "classes")
     total = classes.agg(F.sum(F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")).alias("t")).first().t or 0
-    shared = materialise(shared_tokens(docs, int(total)), "tokens")
+    tokens = materialise(shared_tokens(docs, int(total), shared), "tokens")
     named = lambda p: p.select(F.col("a").alias("cls")).unionAll(p.select(F.col("b").alias("cls")))
-    hubs = materialise(_likely(shared.filter("token is null").select("a", "b").distinct(), classes), "hubs")
-    entries = shared.filter("token is not null").withColumnRenamed("a", "cls")
-    arrays = materialise(_arrays(docs, named(hubs).distinct().join(classes, "cls").select("row")), "arrays")
+    entries = tokens.filter("token is not null").withColumnRenamed("a", "cls")
+    pairs = tokens.filter("token is null").select("a", "b").unionAll(hubs_of_parts(entries)).distinct()
+    hubs = materialise(_likely(pairs, classes), "hubs")
+    arrays = materialise(_arrays(docs, named(hubs).distinct().join(classes, "cls").select("row"), shared), "arrays")
     links = materialise(_verified(hubs, arrays), "links")
     roots = components(links)
     more = _likely(materialise(tiles(entries, classes, roots), "pairs"), classes)
     more = materialise(more.join(hubs, ["a", "b"], "left_anti"), "more")
     lacking = named(more).distinct().join(arrays.select("cls"), "cls", "left_anti").join(classes, "cls").select("row")
     if not more.isEmpty():
-        arrays = arrays.unionAll(materialise(_arrays(docs, lacking), "arrays").join(arrays.select("cls"), "cls", "left_anti"))
+        arrays = arrays.unionAll(materialise(_arrays(docs, lacking, shared), "arrays").join(arrays.select("cls"), "cls", "left_anti"))
         found = materialise(_verified(more, arrays), "links")
         links = links.unionAll(found)
         if not found.isEmpty():
@@ -455,24 +526,34 @@ def labelled(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "row", "root", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _digest(docs: DataFrame):
+    """SHA-256 of all columns of a row, each with its length, or marked as null."""
+    simple = {f.name: isinstance(f.dataType, AtomicType) for f in docs.schema.fields}
+    text = lambda c: F.col(f"`{c}`").cast("string") if simple[c] else F.to_json(F.struct(f"`{c}`"), {"ignoreNullFields": "false"})
+    part = lambda c: F.coalesce(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("n"))
+    return F.sha2(F.concat(*[part(c) for c in docs.columns]).cast("binary"), 256)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are the first of their component.
 
-    First is the smallest id, rows without an id last, then the hash of the row. Rows that repeat it whole are one.
-    Documents without a word link with nothing and all stay. Dropped rows are found by an anti join on the
-    content of rows, so the texts that stay are not grouped.
+    First is the smallest id, rows without an id last, then the content of all columns, by its SHA-256. Rows that
+    repeat it whole are one. Documents without a word link with nothing and all stay, but rows that repeat one
+    of them whole are one as well. Dropped rows are found by joins on digests, so the texts that stay are not grouped.
     """
-    rows = labelled(docs).filter("n_shingles > 0")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("row").alias("row"))
-    first = rows.groupBy("root").agg(F.min(key).alias("first"))
-    gone = rows.join(materialise(first, "first"), "root").filter(key != F.col("first")).select(F.col("row").alias("gone"))
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row of this stage"))
-    gone = materialise(gone.distinct(), "gone")
-    own = own.join(gone, own["row of this stage"] == gone["gone"], "left_anti")
-    again = materialise(rows.groupBy(F.col("row").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"), "again")
-    same = own["row of this stage"] == again["again"]
-    once, more = own.join(again, same, "left_anti"), own.join(again, same, "left_semi").dropDuplicates(["row of this stage"])
-    return once.unionAll(more).drop("row of this stage")
+    inner = "row of this stage"
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _digest(docs).alias(inner))
+    names = materialise(own.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.col(f"`{inner}`").alias("whole")), "row-names")
+    roots = materialise(labelled(docs).filter("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "root").distinct(), "row-roots")
+    named = names.join(roots, (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).drop("id", "of")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("whole").alias("whole"))
+    first = materialise(named.groupBy("root").agg(F.min(key).alias("first")), "first")
+    gone = materialise(named.join(first, "root").filter(F.col("whole") != F.col("first.whole")).select(F.col("whole").alias("gone")).distinct(), "gone")
+    own = own.join(gone, own[inner] == gone["gone"], "left_anti")
+    again = materialise(names.groupBy(F.col("whole").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"), "again")
+    same = own[inner] == again["again"]
+    once, more = own.join(again, same, "left_anti"), own.join(again, same, "left_semi").dropDuplicates([inner])
+    return once.unionAll(more).drop(inner)
 
 
 @query("op4_ngram_jaccard")

@@ -32,7 +32,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, kept by the worker."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        size = max(n, 2 * SLICE)
+        size = max(n, SLICE + (1 << 12))
         inverse = pow(_BASE, -1, 1 << 64)
         tables = []
         for base in (_BASE, inverse):

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import numtext
-from concord.llm.registry import fold, query, table
+from concord.llm.registry import fold, give_back, query, small_batches, table, trimmed
+from concord.session import materialise
 
 # Document statistics
 
@@ -154,8 +155,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int
 def labelled_statistics(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``sample`` training documents, those whose ids hash lowest.
 
-    ``sample`` bounds what is broadcast (an id and a label a row) and what the driver gets (under 500 bytes a row). Only rows off the held-out fold count. A
-    document with several labels takes the least; a null label is none.
+    ``sample`` bounds what is broadcast (an id and a label a row) and what the driver gets (under 500 bytes a row). Only
+    rows off the held-out fold count. A document with several labels takes the least; a null label is none. Of several
+    rows of an id that one counts whose text has the least hash.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,12 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample: int = 20_000
     train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label is not null and doc_id is not null")
     train = train.filter(~fold("doc_id", 3, 1)).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(train), "doc_id").select("label", "text").mapInArrow(task, "label int, x array<double>").toArrow()
+    known = texts.join(F.broadcast(train), "doc_id")
+    mark = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    one = known.groupBy("doc_id").agg(F.min(mark).alias("least")).withColumnRenamed("doc_id", "id")
+    own = known.join(F.broadcast(one), (F.col("doc_id") == F.col("id")) & (mark == F.col("least")))
+    own = own.groupBy("doc_id", "label").agg(F.first("text").alias("text"))  # rows that are left have the same text
+    got = own.select("label", "text").mapInArrow(trimmed(task), "label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, _width())
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # rows come in no fixed order; sums must not depend on it
@@ -186,6 +193,7 @@ def scorer(model: Trees):
         for values in texts:
             parts = [model.score(statistics(data, offsets)) for _, _, data, offsets in numtext.slices(values)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        give_back()
 
     return score
 
@@ -200,8 +208,10 @@ def with_score(docs: DataFrame, model: Trees, out: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents, with all their columns, whose score is at least ``least``."""
-    scored = with_score(docs, trained(docs, labels), "quality score of this stage")
-    return scored.filter(F.col("`quality score of this stage`") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with small_batches(docs.sparkSession):
+        scored = with_score(docs, trained(docs, labels), "quality score of this stage")
+        kept = scored.filter(F.col("`quality score of this stage`") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return materialise(kept, "accepted")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

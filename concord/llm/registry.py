@@ -31,6 +31,32 @@ def fold(doc_id: str, folds: int, held: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(True))
 
 
+def trimmed(task: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives memory back to the system when its task is over.
+
+    Workers live on after a task, and what numpy and Arrow have freed would stay with them.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc has it
+        libc.malloc_trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most so many rows for the jobs that run inside; the setting is put back.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from concord.llm import numtext, store
-from concord.llm.registry import query, table
+from concord.llm.registry import query, small_batches, table, trimmed
 from concord.session import materialise, scratch_path
 
 #: Fixed values of the file format.
@@ -27,8 +27,10 @@ MAGIC = b"HUFIDS1\n"
 BLOCK = 1024
 LONGEST = 16
 
-_CACHED = 300_000
+#: Bytes that a generation of the piece cache may take, with what Python adds to an entry.
+_CACHED, _ENTRY = 16 << 20, 200
 _known: dict[str, tuple[dict[int, bytes], dict[int, bytes]]] = {}
+_held: dict[str, int] = {}
 _ONE_RUN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
@@ -114,10 +116,13 @@ def _ids_of(path: str, tokenizer, keys: list[int], piece) -> list[bytes]:
     fresh = [i for i, x in enumerate(parts) if x is None]
     for i, ids in zip(fresh, _encode_new(tokenizer, [piece(i) for i in fresh])):
         parts[i] = ids
-    if len(new) + len(keys) > _CACHED:
+    size = sum(map(len, parts)) + _ENTRY * len(parts)
+    if _held.get(path, 0) + size > _CACHED:
         new, old = {}, new
-        _known[path] = new, old
-    new.update(zip(keys, parts))
+        _known[path], _held[path] = (new, old), 0
+    if size <= _CACHED:
+        new.update(zip(keys, parts))
+        _held[path] = _held.get(path, 0) + size
     return parts
 
 
@@ -169,7 +174,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     narrow = _narrow(tokenizer)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(task, "doc_id long, n_tokens long, ids_crc32 long, ids binary")
+    return texts.mapInArrow(trimmed(task), "doc_id long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _narrow(tokenizer: str) -> bool:
@@ -356,7 +361,7 @@ def counts_of(encoded: DataFrame, size: int, narrow: bool) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
-    rows = encoded.select("ids", "n_tokens").mapInArrow(task, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.select("ids", "n_tokens").mapInArrow(trimmed(task), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -368,6 +373,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_id
     Rows of one id go by their number of ids and checksum. Returns a row per file:
     ``part, nr, file, n_docs, n_ids``, in the order of part and nr.
     """
+    with small_batches(docs.sparkSession):
+        return _write(docs, tokenizer, folder, end_id, file_ids)
+
+
+def _write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, file_ids: int) -> DataFrame:
     encoded, narrow = materialise(encode(docs, tokenizer, end_id), "ids"), _narrow(tokenizer)
     size = max(_tokenizer(tokenizer)[0].get_vocab_size(), end_id + 1)
     counts = counts_of(encoded, size, narrow)
@@ -400,7 +410,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_id
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("n_tokens"), F.col("ids_crc32")]
     parts = max(1, -(-int(counts.sum()) // file_ids))
     ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
-    return materialise(ordered.mapInArrow(task, "part int, nr int, file string, n_docs long, n_ids long"), "id-files")
+    return materialise(ordered.mapInArrow(trimmed(task), "part int, nr int, file string, n_docs long, n_ids long"), "id-files")
 
 
 _FILES = pa.schema([("part", pa.int32()), ("nr", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -425,7 +435,7 @@ def read(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = materialise(placed.select("file", "base"), "placed")
-    return placed.repartition(max(1, placed.count())).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, placed.count())).mapInArrow(trimmed(task), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:

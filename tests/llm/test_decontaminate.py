@@ -67,8 +67,12 @@ def test_odd_rows_and_filter(spark):
     df = H.documents(spark, rows, clashing=True)
     got = D.decontaminated(df, items)
     assert got.columns == df.columns
-    # item 4 is the text of the first row without an id; rows without an id go together
-    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 1, 2, 3, 4, 8, 9, 10, 11, 12]
+    # item 4 is the text of the first row without an id; the other row without one stays
+    ids = [r.doc_id for r in got.collect()]
+    assert sorted(i for i in ids if i is not None) == [0, 1, 1, 2, 3, 4, 8, 9, 10, 11, 12] and ids.count(None) == 1
+    leak = H.prose(random.Random(12), 30)
+    own = H.documents(spark, [(1, "before " + leak, "en", "a"), (1, "clean text", "en", "a"), (None, leak, None, None), (None, "clean too", None, None)])
+    assert sorted(r.text for r in D.decontaminated(own, spark.createDataFrame([(7, leak)], ITEMS)).collect()) == ["clean text", "clean too"]
     none = spark.createDataFrame([], ITEMS)
     assert D.matches(df, none).count() == 0 and D.matches(df.limit(0), items).count() == 0
     assert D.decontaminated(df, none).count() == len(rows)

@@ -38,7 +38,7 @@ def test_small_tiles_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(near, "TILE", 4)
     held, links, _ = near.join(H.documents(spark, rows))
     classes = held.filter("n > 0").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("n", "bits", "wide")])
-    monkeypatch.setattr(near, "HUBS", 1)
+    monkeypatch.setattr(near, "FEW", 2)
     shared = near.shared_tokens(H.documents(spark, rows), 10_000)
     entries = shared.filter("token is not null").withColumnRenamed("a", "cls")
     none = spark.createDataFrame([], "node long, root long")
@@ -57,6 +57,41 @@ def test_small_tiles_find_the_same(spark, monkeypatch):
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} <= want
 
 
+def test_sets_of_equal_hashes_are_told_apart(spark, monkeypatch):
+    """With six bits of the first hash nearly all sets share it; the second keeps them apart."""
+    plain = near.class_of
+    monkeypatch.setattr(near, "class_of", lambda values, seed=0: plain(values, seed) if seed or not len(values) else plain(values) & 63)
+    rows = family(random.Random(8))[:60]
+    data = [near.shingle_sets(*numtext.column(pa.array([t])))[0] for _, t, *_ in rows]
+    hashes = frozenset(near.class_of(x) for x in data)
+    names = {near.name_of(x, hashes): x.tobytes() for x in data}
+    assert len(names) == len({x.tobytes() for x in data}) > len(hashes)
+
+
+def test_tokens_dealt_out(spark, monkeypatch):
+    """Frequent tokens whose sets lie in several parts still link all of their sets."""
+    rng = random.Random(9)
+    base = H.prose(rng, 60).split()
+    rows = []
+    for i in range(120):
+        own = list(base)
+        own[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(own), "en", "s"))
+    monkeypatch.setattr(near, "PART", 8)
+    got = near.labelled(H.documents(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert H.plain(got) == H.plain(H.near_components(rows))
+    hubs = near.shared_tokens(H.documents(spark, rows), 10_000).filter("hub").count()
+    assert hubs > 0
+
+
+def test_one_of_each_by_whole_rows(spark):
+    """Rows equal in id and text but not in their source: the same one stays, however rows are dealt."""
+    text = H.prose(random.Random(10), 50)
+    rows = [(1, text, "en", s) for s in "dbca"] + [(None, text + " more", "en", s) for s in "yx"] + [(None, "  ", None, "s"), (None, "  ", None, "s"), (None, None, None, "t")]
+    kept = [sorted(map(repr, near.one_of_each(H.documents(spark, rows).repartition(n)).collect())) for n in (1, 3, 4)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+
+
 def test_one_of_each(spark):
     rng = random.Random(6)
     rows = H.odd_documents(rng)

@@ -40,6 +40,17 @@ def test_held_out_rows_are_told_apart(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def test_sample_is_a_bound(spark):
+    """One row an id counts, the same however rows are dealt."""
+    rng = random.Random(5)
+    rows = [(7, H.prose(rng, 20), "en", "s") for _ in range(300)] + [(7, "copy of it", "en", "s")] * 100 + [(i, H.prose(rng, 30), "en", "s") for i in range(20, 60)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(7, 1, 0)], LABELS)
+    x, y = quality.labelled_statistics(H.documents(spark, rows), marks, sample=5)
+    assert len(x) == len(y) <= 5
+    whole = [quality.labelled_statistics(H.documents(spark, rows).repartition(n), marks)[0] for n in (1, 5)]
+    assert np.array_equal(*whole) and len(whole[0]) <= 41
+
+
 def test_odd_rows(spark):
     rows = H.odd_documents(random.Random(2))
     docs = H.documents(spark, rows, clashing=True)

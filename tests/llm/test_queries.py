@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and the pipeline as a whole."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -43,3 +45,31 @@ def test_pipeline(spark):
     assert {r.doc_id for r in mix[2].collect()} <= {r.doc_id for r in mix[1].collect()}
     assert sorted(r.doc_id for r in ids[2].collect()) == sorted(r.doc_id for r in ids[1].collect())
 
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Null and repeated ids, rows that differ in other columns alone, null and empty texts, columns of clashing names."""
+    rng = random.Random(1)
+    leak = duckdb.connect().execute(f"SELECT text FROM '{SF_DIR}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchone()[0]
+    clean = [H.prose(rng, 90, 3000).capitalize() + "." for _ in range(6)]
+    rows = [(None, clean[0], "en", "a"), (None, clean[1], "en", "a"), (None, f"{clean[2]} {leak}", "en", "a"), (7, clean[3], "en", "b"), (7, clean[3], "en", "c")]
+    rows += [(7, clean[4], None, None), (8, None, None, None), (9, "", "en", "b"), (10, clean[5], "en", "b")]
+    docs = H.documents(spark, rows, clashing=True)
+    kept = materialise(docs, "odd-rows")
+    texts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialise(stage(spark, kept, SF_DIR), "odd-stage")
+        assert kept.columns == docs.columns
+        texts.append([r.text for r in kept.collect()])
+    assert not any(leak in (t or "") for t in texts[2]) and set(texts[2]) <= set(texts[1]) <= set(texts[0])
+    assert len(texts[1]) == len(set(texts[1])) or None in texts[1]
+    encoded = corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR)
+    assert encoded.count() == len(texts[3])
+
+
+def test_pipeline_on_nothing(spark):
+    docs = H.documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF_DIR)
+        assert docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == 0
