@@ -329,7 +329,7 @@ def _words_of(values: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that sizes, the small and then the wide bitmaps allow."""
+    """Pairs ``a, b`` that sizes and the wide bitmaps allow."""
 
     def task(batches):
         for batch in batches:
@@ -343,8 +343,8 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("x"))
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("y"))
-    sized = pairs.join(one.drop("x"), "a").join(two.drop("y"), "b").filter(_can_link(F.col("n1"), F.col("n2"))).select("a", "b")
-    return sized.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(task), "a long, b long")
+    both = pairs.join(one, "a").join(two, "b").filter(_can_link(F.col("n1"), F.col("n2")))
+    return both.select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(task), "a long, b long")
 
 
 def tiles(entries: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
