@@ -5,14 +5,13 @@ order) and from the last on (suffix order). In prefix order a phrase follows the
 pass with a stack meets the count of each left part and of each one-word extension to the right in lockstep; in
 suffix order the same pass meets right parts and extensions to the left. Nothing is looked up by hash.
 
-A part of a phrase occurs at least as often as the phrase. So only phrases of frequent parts are counted: bits of
-frequent words, then of frequent pairs, in bitmaps of fixed size, say which windows can still be frequent. A bitmap may
-let through too much, which costs time; the counts themselves are exact.
+A part of a phrase occurs at least as often as the phrase. So phrases are first counted by hash, those of one word,
+then of two and so on, where their parts are frequent; a bitmap of fixed size says which can still be. It may let
+through too much, which costs time. What it lets through is counted by its words, exactly.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm import numtext
-from concord.llm.registry import query, small_batches, table
+from concord.llm import counting, numtext
+from concord.llm.registry import query, small_batches, table, trimmed
 from concord.session import materialise
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: What ends a piece, and what parts words besides.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
-#: Bits of a bitmap of frequent windows; windows held in a task; phrases held in a task; bytes of text whose windows make a range.
-FILTER_BITS, HELD, PHRASES, RANGE_BYTES = 27, 1 << 20, 1 << 18, 1 << 25
+#: Bits of the bitmap of frequent windows; windows held in a task; phrases held in a task.
+FILTER_BITS, HELD, PHRASES = 27, 1 << 20, 1 << 19
 
 _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
@@ -72,84 +71,37 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _may_be(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - FILTER_BITS)
+    at = hashes >> np.uint64(62 - len(bits).bit_length())  # bits are a power of two, eight a byte
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _summed(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    hashes, n = hashes[order], n[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    at = np.flatnonzero(new)
-    return hashes[at], np.add.reduceat(n, at) if len(at) else n
+def _key(hashes: np.ndarray, size: int) -> np.ndarray:
+    return numtext.mix(hashes + np.uint64(size))
 
 
-def frequent(texts: DataFrame, size: int, known: Broadcast | None, ranges: int, least: int) -> Broadcast:
-    """A bitmap of the windows of ``size`` words that occur ``least`` times or more, by hash.
+def frequent(texts: DataFrame, size: int, known: np.ndarray, ranges: int, least: int) -> np.ndarray:
+    """A bitmap, by hash, of the windows of ``size`` words that occur ``least`` times or more, and of all that ``known`` has.
 
-    ``known`` is that of single words, for windows of two. Tasks pass on sorted runs of counts by range of the hash,
-    added up as far as memory allows; a range is added up by one task and becomes a stretch of the bitmap. Its size is
-    fixed, so it may go to all tasks.
+    Only windows are counted whose first and last words, one less than all, are in ``known``. The bitmap may have windows
+    that are not frequent but never lacks one that is. Its size is fixed, so it may go to all tasks.
     """
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
-    stretch = (1 << FILTER_BITS) // ranges
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def spread(batches):
-        held, counts, size_held = [], [], 0
-
-        def packed(h, n):
-            cut = np.searchsorted(h >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else np.array([0, len(h)])
-            keep = [i for i in range(ranges) if cut[i] < cut[i + 1]]
-            parts = [[x[cut[i] : cut[i + 1]].tobytes() for i in keep] for x in (h, n.astype(np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array(x, pa.binary()) for x in parts]], names=["range", "hashes", "n"])
-
+        runs = counting.Runs(ranges, HELD)
         for _, words in _words(batches):
-            if size == 1:
-                h = words.hashes
-            else:
-                h, at = words.windows(2)
-                some = _may_be(known.value, words.hashes)
+            h, at = words.windows(size)
+            if size > 1:
+                part, part_at = words.windows(size - 1)
+                some = np.zeros(len(words.hashes) + 1, bool)
+                some[part_at] = _may_be(shared.value, _key(part, size - 1))
                 h = h[some[at] & some[at + 1]]
-            held.append(h)
-            counts.append(np.ones(len(h), np.int64))
-            size_held += len(h)
-            if size_held >= HELD:
-                h, n = _summed(np.concatenate(held), np.concatenate(counts))
-                if len(h) >= HELD // 2:
-                    yield packed(h, n)
-                    held, counts, size_held = [], [], 0
-                else:
-                    held, counts, size_held = [h], [n], len(h)
-        if size_held:
-            yield packed(*_summed(np.concatenate(held), np.concatenate(counts)))
-
-    def gather(batches):
-        now, held = None, []
-
-        def done():
-            h, n = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in ((0, np.uint64), (1, np.int64)))
-            h, n = _summed(h, n)
-            bits = np.zeros(stretch, bool)
-            bits[((h[n >= least] >> np.uint64(64 - FILTER_BITS)) - np.uint64(now * stretch)).astype(np.int64)] = True
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], names=["range", "bits"])
+            yield from runs.add(_key(h, size))
+        yield from runs.rest()
 
-        for batch in batches:
-            for r, h, n in zip(batch.column("range").to_pylist(), batch.column("hashes").to_pylist(), batch.column("n").to_pylist()):
-                if r != now and held:
-                    yield done()
-                    held = []
-                now = r
-                held.append((h, n))
-        if held:
-            yield done()
-
-    runs = texts.mapInArrow(spread, "range int, hashes binary, n binary").repartitionById(ranges, "range").sortWithinPartitions("range")
-    found = runs.mapInArrow(gather, "range int, bits binary").toArrow()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r, b in zip(found.column("range").to_pylist(), found.column("bits").to_pylist()):
-        bits[r * stretch // 8 : (r + 1) * stretch // 8] = np.frombuffer(zlib.decompress(b), np.uint8)
-    return texts.sparkSession.sparkContext.broadcast(bits)
+    found = counting.table_of(texts, spread, ranges, 1 << FILTER_BITS, lambda n: (n >= least).astype(np.uint8), bits=True)
+    shared.unpersist()
+    return found | known
 
 
 # Counts
@@ -158,47 +110,63 @@ def frequent(texts: DataFrame, size: int, known: Broadcast | None, ranges: int,
 _COUNTED = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64())])
 
 
-def counts(texts: DataFrame, words: Broadcast, pairs: Broadcast, least: int, longest: int) -> DataFrame:
+class _Held:
+    """Counts by the hash of a phrase, sorted, and the phrases: some hundred bytes each."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.phrases = np.zeros(0, object)
+
+    def add(self, keys: np.ndarray, n: np.ndarray, phrase) -> None:
+        at = np.searchsorted(self.keys, keys)
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.n[at[hit]] += n[hit]
+        new = np.flatnonzero(~hit)
+        new = new[np.argsort(keys[new])]
+        if len(new):
+            own = np.empty(len(new), object)
+            for i, k in enumerate(new.tolist()):
+                lang, words = phrase(k)
+                own[i] = (lang, "\t".join(words))  # no word holds a tab
+            self.keys, self.n, self.phrases = (np.insert(x, at[new], y) for x, y in ((self.keys, keys[new]), (self.n, n[new]), (self.phrases, own)))
+
+    def rows(self, totals: dict[str, int]) -> pa.RecordBatch:
+        phrases = self.phrases.tolist()
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang for lang, _ in phrases] + [*totals], pa.string()),
+            pa.array([text.split("\t") for _, text in phrases] + [[] for _ in totals], pa.list_(pa.string())),
+            pa.array(self.n.tolist() + [*totals.values()], pa.int64()),
+        ], schema=_COUNTED)
+
+
+def counts(texts: DataFrame, known: Broadcast, least: int, longest: int) -> DataFrame:
     """``lang, words, a``: how often each phrase of ``least`` occurrences or more occurs; the empty one is all words.
 
-    Keys are the words themselves. Within a task equal windows meet by 64-bit hash among some hundred thousand.
+    Keys are the words themselves. Within a task equal windows meet by 64-bit hash, among half a million.
     """
 
     def task(batches):
-        held: dict[int, list] = {}
-        totals: dict[str, int] = {}
-
-        def put():
-            keys, rows = [*held.values()], [*totals.items()]
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys] + [r[0] for r in rows], pa.string()), pa.array([k[1] for k in keys] + [[] for _ in rows], pa.list_(pa.string())),
-                pa.array([k[2] for k in keys] + [r[1] for r in rows], pa.int64())], schema=_COUNTED)
-
+        held, totals = _Held(), {}
         for batch, own in _words(batches):
             langs = batch.column("lang").to_pylist()
             for row, n in zip(*np.unique(own.rows, return_counts=True)):
                 totals[langs[row]] = totals.get(langs[row], 0) + int(n)
-            some = _may_be(words.value, own.hashes)
-            two, at_two = own.windows(2)
-            pair = np.zeros(len(own.hashes) + 1, bool)
-            pair[at_two] = _may_be(pairs.value, two)
+            found = []
             for size in range(1, longest + 1):
                 h, at = own.windows(size)
-                ok = some if size == 1 else np.all([pair[at + i] for i in range(size - 1)], axis=0)
-                kinds, first, n = np.unique(numtext.mix(h[ok] + np.uint64(size)), return_index=True, return_counts=True)
-                first = at[ok][first]
-                for k, i, c in zip(kinds.tolist(), first.tolist(), n.tolist()):
-                    if (x := held.get(k)) is not None:
-                        x[2] += c
-                    else:
-                        held[k] = [langs[own.rows[i]], own.text(i, size), c]
-            if len(held) >= PHRASES:
-                yield put()
-                held, totals = {}, {}
-        if held or totals:
-            yield put()
-
-    rows = texts.mapInArrow(task, "lang string, words array<string>, a long")
+                keys = _key(h, size)
+                ok = _may_be(known.value, keys)
+                kinds, first, n = np.unique(keys[ok], return_index=True, return_counts=True)
+                found.append((kinds, at[ok][first], n, np.full(len(kinds), size)))
+            kinds, first, n, size = (np.concatenate(x) for x in zip(*found))
+            held.add(kinds, n, lambda i: (langs[own.rows[first[i]]], own.text(int(first[i]), int(size[i]))))
+            if len(held.keys) >= PHRASES:
+                yield held.rows(totals)
+                held, totals = _Held(), {}
+        if len(held.keys) or totals:
+            yield held.rows(totals)
+
+    rows = texts.mapInArrow(trimmed(task), "lang string, words array<string>, a long")
     return rows.groupBy("lang", "words").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.size("words") == 0))
 
 
@@ -260,7 +228,7 @@ def in_order(rows: DataFrame, carried: list[str] | None = None) -> DataFrame:
 
     ranged = rows.select("lang", "words", "a", *carried).repartitionByRange("lang", "words").sortWithinPartitions("lang", "words")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields[3:])
-    scanned = materialise(ranged.mapInArrow(task, _SCANNED + (f", {kinds}" if kinds else "")), "count-stream")
+    scanned = materialise(ranged.mapInArrow(trimmed(task), _SCANNED + (f", {kinds}" if kinds else "")), "count-stream")
     before, opened = {}, []
     for part, chain in sorted(scanned.filter("kind = 'end'").select("part", "chain").collect()):
         before[part] = opened
@@ -289,10 +257,11 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> D
     with small_batches(docs.sparkSession):
         texts = _texts(docs)
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        ranges = 1 << min(FILTER_BITS - 3, max(3, int(np.ceil(np.log2(max(1, size / RANGE_BYTES))))))
-        words = frequent(texts, 1, None, ranges, least)
-        pairs = frequent(texts, 2, words, ranges, least)
-        counted = materialise(counts(texts, words, pairs, least, longest), "counts")
+        ranges = counting.ranges_for(size // 6, bits=FILTER_BITS)  # of about so many words
+        known = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        for order in range(1, longest + 1):
+            known = frequent(texts, order, known, ranges, least)
+        counted = materialise(counts(texts, docs.sparkSession.sparkContext.broadcast(known), least, longest), "counts")
         backward = in_order(counted.withColumn("words", F.reverse("words")))
         backward = backward.select("lang", F.reverse("words").alias("words"), "a", F.col("chain").alias("rights"), F.col("more").alias("left_more"))
         both = in_order(backward, ["rights", "left_more"])

@@ -73,7 +73,7 @@ def test_small_buffers(spark, monkeypatch):
     rows = corpus(rng, 40)[:41]
     monkeypatch.setattr(phrases, "HELD", 500)
     monkeypatch.setattr(phrases, "PHRASES", 50)
-    monkeypatch.setattr(phrases, "RANGE_BYTES", 1 << 10)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 12)
     assert got(phrases.collocations(H.documents(spark, rows), 4)) == expected(rows, 4, 5, 2000)
 
 
