@@ -64,13 +64,17 @@ _LETTERS = _byte_letters()
 
 
 def _encode_new(tokenizer, pieces: list[bytes]) -> list[bytes]:
-    """Ids of each piece; a run of letters is one unit to the pattern, and goes to the merges directly."""
-    out, other, tokenize = [b""] * len(pieces), [], tokenizer.model.tokenize
-    for i, x in enumerate(pieces):
-        if _ONE_RUN.fullmatch(x):
-            out[i] = array("I", [t.id for t in tokenize(x.decode("latin-1").translate(_LETTERS))]).tobytes()
-        else:
-            other.append(i)
+    """Ids of each piece; a run of letters is one unit to the pattern, and goes to the merges directly.
+
+    The runs are turned into the tokenizer's letters all at once; none holds a line break, which parts them.
+    """
+    out, tokenize = [b""] * len(pieces), tokenizer.model.tokenize
+    one_run = [_ONE_RUN.fullmatch(x) is not None for x in pieces]
+    runs = [i for i, is_run in enumerate(one_run) if is_run]
+    other = [i for i, is_run in enumerate(one_run) if not is_run]
+    letters = b"\n".join([pieces[i] for i in runs]).decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
+    for i, x in zip(runs, letters):
+        out[i] = array("I", [t.id for t in tokenize(x)]).tobytes()
     for i, e in zip(other, tokenizer.encode_batch([pieces[i].decode() for i in other], add_special_tokens=False)):
         out[i] = np.array(e.ids, np.uint32).tobytes()
     return out
@@ -109,12 +113,12 @@ _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = True
 
 
-def _ids_of(path: str, tokenizer, keys: list[int], piece) -> list[bytes]:
+def _ids_of(path: str, tokenizer, keys: list[int], pieces) -> list[bytes]:
     """Ids by the hash of a piece. The worker keeps those of late: two generations of bounded size."""
     new, old = _known.setdefault(path, ({}, {}))
     parts = [new.get(k) or old.get(k) for k in keys]
     fresh = [i for i, x in enumerate(parts) if x is None]
-    for i, ids in zip(fresh, _encode_new(tokenizer, [piece(i) for i in fresh])):
+    for i, ids in zip(fresh, _encode_new(tokenizer, pieces(fresh))):
         parts[i] = ids
     size = sum(map(len, parts)) + _ENTRY * len(parts)
     if _held.get(path, 0) + size > _CACHED:
@@ -140,7 +144,9 @@ def encode_slice(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
         return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
     ends = np.append(starts[1:], len(data))
     kinds, first, which = np.unique(numtext.hashes(data, starts, ends), return_index=True, return_inverse=True)
-    parts = _ids_of(path, tokenizer, kinds.tolist(), lambda i: data[starts[first[i]] : ends[first[i]]].tobytes())
+    raw = data.tobytes()
+    cut = lambda some: [raw[a:b] for a, b in zip(starts[first[some]].tolist(), ends[first[some]].tolist())]
+    parts = _ids_of(path, tokenizer, kinds.tolist(), cut)
     flat = np.frombuffer(b"".join(parts), np.uint32)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     places = np.cumsum(lengths) - lengths
