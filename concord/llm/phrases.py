@@ -7,7 +7,7 @@ suffix order the same pass meets right parts and extensions to the left. Nothing
 
 A part of a phrase occurs at least as often as the phrase. So phrases are first counted by hash, those of one word,
 then of two and so on, where their parts are frequent; a bitmap of fixed size says which can still be. It may let
-through too much, which costs time. What it lets through is counted by its words, exactly.
+through too much, which costs time. What it lets through is counted by 64-bit hash, and what is frequent spelled once.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ class Words:
         passed = np.concatenate([[0], np.cumsum(_END[data])])
         self.pieces = passed[self.starts] + self.rows
         langs, at = numtext.column(batch.column("lang"))
-        salt = numtext.hashes(langs, at[:-1], at[1:])
-        self.hashes = numtext.mix(numtext.hashes(data, self.starts, self.ends, lower=True) + salt[self.rows])
+        self.salt = numtext.hashes(langs, at[:-1], at[1:])
+        self.hashes = numtext.mix(numtext.hashes(data, self.starts, self.ends, lower=True) + self.salt[self.rows])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of every window of so many words in a piece."""
@@ -108,66 +108,108 @@ def frequent(texts: DataFrame, size: int, known: np.ndarray, ranges: int, least:
 
 
 _COUNTED = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64())])
-
-
-class _Held:
-    """Counts by the hash of a phrase, sorted, and the phrases: some hundred bytes each."""
-
-    def __init__(self) -> None:
-        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.phrases = np.zeros(0, object)
-
-    def add(self, keys: np.ndarray, n: np.ndarray, phrase) -> None:
-        at = np.searchsorted(self.keys, keys)
-        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        self.n[at[hit]] += n[hit]
-        new = np.flatnonzero(~hit)
-        new = new[np.argsort(keys[new])]
-        if len(new):
-            own = np.empty(len(new), object)
-            for i, k in enumerate(new.tolist()):
-                lang, words = phrase(k)
-                own[i] = (lang, "\t".join(words))  # no word holds a tab
-            self.keys, self.n, self.phrases = (np.insert(x, at[new], y) for x, y in ((self.keys, keys[new]), (self.n, n[new]), (self.phrases, own)))
-
-    def rows(self, totals: dict[str, int]) -> pa.RecordBatch:
-        phrases = self.phrases.tolist()
-        return pa.RecordBatch.from_arrays([
-            pa.array([lang for lang, _ in phrases] + [*totals], pa.string()),
-            pa.array([text.split("\t") for _, text in phrases] + [[] for _ in totals], pa.list_(pa.string())),
-            pa.array(self.n.tolist() + [*totals.values()], pa.int64()),
-        ], schema=_COUNTED)
-
-
-def counts(texts: DataFrame, known: Broadcast, least: int, longest: int) -> DataFrame:
+_SUMS = pa.schema([("at", pa.int64()), ("key", pa.int64()), ("a", pa.int64())])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their counts added up, and the least text each occurs in."""
+    order = np.argsort(keys, kind="stable")
+    keys, n, at = keys[order], n[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return (keys[first], np.add.reduceat(n, first), np.minimum.reduceat(at, first)) if len(keys) else (keys, n, at)
+
+
+class _Sums:
+    """Counts of a task by the hash of a phrase, passed on as packed runs, one for each range of hashes."""
+
+    def __init__(self, ranges: int) -> None:
+        self.bits = ranges.bit_length() - 1
+        self.held, self.size = [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(_summed(keys, n, at))
+        self.size += len(self.held[-1][0])
+        if self.size >= PHRASES:
+            self.held = [_summed(*map(np.concatenate, zip(*self.held)))]
+            self.size = len(self.held[0][0])
+            if self.size >= PHRASES // 2:
+                yield from self.rest()
+                self.held, self.size = [], 0
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            keys, n, at = _summed(*map(np.concatenate, zip(*self.held)))
+            home = keys >> np.uint64(64 - self.bits)
+            first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])).tolist()
+            packed = [[x[i:j].tobytes() for i, j in zip(first, [*first[1:], len(keys)])] for x in (keys, n, at)]
+            kinds = [pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((home[first].tolist(), *packed), kinds)], names=["range", "keys", "n", "at"])
+
+
+def _phrases(own: Words, bits: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and size of each phrase that may be frequent; for each word the empty one too."""
+    keys, firsts = [_key(own.salt[own.rows], 0)], [np.arange(len(own.rows))]
+    for size in range(1, longest + 1):
+        h, at = own.windows(size)
+        key = _key(h, size)
+        ok = _may_be(bits, key)
+        keys.append(key[ok])
+        firsts.append(at[ok])
+    return np.concatenate(keys), np.concatenate(firsts), np.repeat(np.arange(longest + 1), [len(x) for x in keys])
+
+
+def counts(texts: DataFrame, known: Broadcast, ranges: int, least: int, longest: int) -> DataFrame:
     """``lang, words, a``: how often each phrase of ``least`` occurrences or more occurs; the empty one is all words.
 
-    Keys are the words themselves. Within a task equal windows meet by 64-bit hash, among half a million.
+    Counts are added up by 64-bit hash. Only then phrases are spelled, each once, from the text of the least hash that holds
+    it. Such texts are few, as those of low hashes hold most phrases. Copies of a text are taken as one.
     """
+    rows = texts.withColumn("at", F.xxhash64("lang", "text"))
+
+    def spread(batches):
+        sums = _Sums(ranges)
+        for batch, own in _words(batches):
+            keys, first, _ = _phrases(own, known.value, longest)
+            yield from sums.add(keys, np.ones(len(keys), np.int64), batch.column("at").to_numpy(zero_copy_only=False)[own.rows[first]])
+        yield from sums.rest()
+
+    def gather(batches):
+        now, held = None, []
 
-    def task(batches):
-        held, totals = _Held(), {}
+        def done():
+            keys, n, at = _summed(*(np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held), ("<u8", "<i8", "<i8"))))
+            often = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (at, keys.view(np.int64), n)], schema=_SUMS)
+
+        for batch in batches:
+            for r, *run in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "n", "at"))):
+                if r != now and held:
+                    yield done()
+                    held = []
+                now = r
+                held.append(run)
+        if held:
+            yield done()
+
+    def spell(batches):
         for batch, own in _words(batches):
-            langs = batch.column("lang").to_pylist()
-            for row, n in zip(*np.unique(own.rows, return_counts=True)):
-                totals[langs[row]] = totals.get(langs[row], 0) + int(n)
-            found = []
-            for size in range(1, longest + 1):
-                h, at = own.windows(size)
-                keys = _key(h, size)
-                ok = _may_be(known.value, keys)
-                kinds, first, n = np.unique(keys[ok], return_index=True, return_counts=True)
-                found.append((kinds, at[ok][first], n, np.full(len(kinds), size)))
-            kinds, first, n, size = (np.concatenate(x) for x in zip(*found))
-            held.add(kinds, n, lambda i: (langs[own.rows[first[i]]], own.text(int(first[i]), int(size[i]))))
-            if len(held.keys) >= PHRASES:
-                yield held.rows(totals)
-                held, totals = _Held(), {}
-        if len(held.keys) or totals:
-            yield held.rows(totals)
-
-    rows = texts.mapInArrow(trimmed(task), "lang string, words array<string>, a long")
-    return rows.groupBy("lang", "words").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.size("words") == 0))
+            asked, a = (x.to_numpy(zero_copy_only=False) for x in batch.column("asked").flatten().flatten())
+            keys, first, size = _phrases(own, known.value, longest)
+            keys, some = np.unique(keys, return_index=True)
+            asked = asked.view(np.uint64)
+            at = np.searchsorted(keys, asked)
+            hit = keys[np.minimum(at, len(keys) - 1)] == asked if len(keys) else np.zeros(len(asked), bool)
+            langs, some = batch.column("lang").to_pylist(), some[at[hit]]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([langs[i] for i in own.rows[first[some]].tolist()], pa.string()),
+                pa.array([own.text(i, k) for i, k in zip(first[some].tolist(), size[some].tolist())], pa.list_(pa.string())),
+                pa.array(a[hit], pa.int64()),
+            ], schema=_COUNTED)
+
+    runs = rows.mapInArrow(trimmed(spread), "range int, keys binary, n binary, at binary").repartitionById(ranges, "range").sortWithinPartitions("range")
+    sums = runs.mapInArrow(trimmed(gather), "at long, key long, a long")
+    asked = materialise(sums.groupBy("at").agg(F.collect_list(F.struct("key", "a")).alias("asked")), "asked")
+    return rows.join(asked, "at").distinct().mapInArrow(trimmed(spell), "lang string, words array<string>, a long")
 
 
 # Streams in order
@@ -261,7 +303,7 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> D
         known = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for order in range(1, longest + 1):
             known = frequent(texts, order, known, ranges, least)
-        counted = materialise(counts(texts, docs.sparkSession.sparkContext.broadcast(known), least, longest), "counts")
+        counted = materialise(counts(texts, docs.sparkSession.sparkContext.broadcast(known), ranges, least, longest), "counts")
         backward = in_order(counted.withColumn("words", F.reverse("words")))
         backward = backward.select("lang", F.reverse("words").alias("words"), "a", F.col("chain").alias("rights"), F.col("more").alias("left_more"))
         both = in_order(backward, ["rights", "left_more"])

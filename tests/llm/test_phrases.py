@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,27 @@ def test_scores_are_exact(spark):
 def test_nothing(spark):
     assert got(phrases.collocations(H.documents(spark, []))) == []
     assert got(phrases.collocations(H.documents(spark, [(1, None, None, None), (2, " . ", "en", "s")]))) == []
+
+
+def test_a_phrase_is_spelled_once(spark, monkeypatch, tmp_path):
+    """Neither tasks nor copies of a text make more rows of a phrase; an empty phrase a language tells its words."""
+    rng = random.Random(4)
+    prose = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(60)]
+    rows = [(i, text, "en", "s") for i, text in enumerate(prose + ["copied text of some words"] * 300 + ["a b c d"] * 100)] + [(9, "a b", "de", "s")] * 20
+    trimmed, folder = phrases.trimmed, str(tmp_path)
+
+    def watched(task):
+        def run(batches):
+            for batch in task(batches):
+                if batch.schema.names == ["lang", "words", "a"]:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(batch.num_rows))
+                yield batch
+
+        return trimmed(run)
+
+    monkeypatch.setattr(phrases, "trimmed", watched)
+    found = phrases.collocations(H.documents(spark, rows).repartition(16), 10)
+    assert got(found) == expected(rows, 10, 5, 2000)
+    f = collections.Counter((lang, w[i : i + k]) for _, t, lang, _ in rows for w in [tuple(t.split())] for k in range(6) for i in range(max(len(w) - k + 1, 0)))
+    assert sum(int(x.read_text()) for x in tmp_path.iterdir()) == sum(n >= 10 for n in f.values())
