@@ -209,7 +209,8 @@ def counts(texts: DataFrame, known: Broadcast, ranges: int, least: int, longest:
     runs = rows.mapInArrow(trimmed(spread), "range int, keys binary, n binary, at binary").repartitionById(ranges, "range").sortWithinPartitions("range")
     sums = runs.mapInArrow(trimmed(gather), "at long, key long, a long")
     asked = materialise(sums.groupBy("at").agg(F.collect_list(F.struct("key", "a")).alias("asked")), "asked")
-    return rows.join(asked, "at").distinct().mapInArrow(trimmed(spell), "lang string, words array<string>, a long")
+    kinds = rows.groupBy("at").agg(F.collect_set(F.struct("lang", "text")).alias("kinds"))  # copies become one before they are shuffled
+    return kinds.join(asked, "at").select("asked", F.inline("kinds")).mapInArrow(trimmed(spell), "lang string, words array<string>, a long")
 
 
 # Streams in order
