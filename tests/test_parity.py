@@ -2,10 +2,12 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from concord import session
 from concord.functions import canon
 from concord.operators import matching, parity, results
 from concord.operators.matching import paired_cases
@@ -372,3 +374,62 @@ def test_rows_without_a_choice_need_no_search(spark, monkeypatch):
     rows += [("short", ["n"], [0, 0], 1, 0), ("short", ["n"], [10, 0], 2, 0), ("short", ["n"], [1, 0], 0, 2), ("short", ["n"], [10, 1], 0, 1)]
     df = spark.createDataFrame(rows, "case_id string, grp array<string>, xs array<bigint>, n_e bigint, n_a bigint")
     assert {r.case_id for r in paired_cases(df).collect()} == {"c"}
+
+
+def test_pairing_leaves_nothing_on_disk(spark, tmp_path, monkeypatch):
+    """Two noisy columns: no scratch table of rows, neighbours or paths outlives the comparison, and no shuffle file a stored table."""
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
+    rng = random.Random(3)
+    base = [("c", rng.randrange(900, 1000) / 100 + 0.001, rng.randrange(300, 340) / 100 + 0.001) for _ in range(40)]
+    noisy = [(k, *[round(x + rng.choice((-1, 0, 1)) / 100, 3) for x in r]) for k, *r in base]
+    side = lambda t, name: results.rows_from_frame(spark.createDataFrame(t, "k string, x double, y double"), "k", name)
+    got = parity.diff_scaled(side(base, "expected").union(side(noisy, "actual"))).collect()
+    assert [(r.case_id, r.diff_rows) for r in got] == [("c", 0)]
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "concord").iterdir()}
+    large = {"scaled-rows", "several-noisy", "differing-groups", "near-rows", "near-nodes", "near-edges", "near-flow", "flow-change", "reached", "front", "paths",
+             "found-paths", "forced", "senders", "takers", "open-rows"}
+    assert "scaled-diffs" in left and not left & large
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    had = set(files())
+    materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    new = lambda: [f for f in files() if "shuffle_" in f and f not in had]
+    deadline = time.time() + 20
+    while new() and time.time() < deadline:
+        time.sleep(0.2)
+    assert not new()
+
+
+def test_rows_meet_once_for_all_columns(spark):
+    """Neighbours by one shuffle of either side, and some more copies of rows than there are rows, not one for each shift."""
+    rng = random.Random(4)
+    at = lambda: [rng.randrange(-9000, 9000) for _ in range(3)]
+    near = lambda x: [v + rng.choice((-1, 0, 1)) for v in x]
+    e = [at() for _ in range(500)]
+    a = [near(x) for x in e for _ in range(3)] + [[x[0] + 2, *x[1:]] for x in e[:200]]
+    rows = [(i, "c", ["n"], x, 1, 0) for i, x in enumerate(e)] + [(500 + i, "c", ["n"], x, 0, 1) for i, x in enumerate(a)]
+    rows += [(5000, "d", ["n"], [-1, 15], 1, 0), (5001, "d", ["n"], [0, 16], 0, 1), (5002, "d", ["m"], [0, 16], 0, 1)]
+    df = spark.createDataFrame(rows, "id bigint, case_id string, grp array<string>, xs array<bigint>, n_e bigint, n_a bigint")
+    edges = matching._neighbours(df, 1)
+    got = sorted((r.u, r.v) for r in edges.collect())
+    want = [(i, 500 + j) for i, x in enumerate(e) for j, y in enumerate(a) if all(abs(p - q) <= 1 for p, q in zip(x, y))]
+    assert got == sorted([*want, (5000, 5001)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = matching._neighbours(df, 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_groups_are_paired_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_BATCH", 40)
+    rows, sizes, unpaired = [], [], matching._unpaired
+    monkeypatch.setattr(matching, "_unpaired", lambda nodes, tol: sizes.append(nodes.count()) or unpaired(nodes, tol))
+    for case, groups, far in (("one group", 1, 0), ("far", 1, 2), ("groups", 12, 0), ("far group", 12, 2), ("small", 1, 0), ("small, far", 1, 2)):
+        n = 4 if groups == 12 else 3 if "small" in case else 60
+        for g in range(groups):
+            rows += [(case, [f"g{g}"], [7 * i, 5 * i], 1, 0) for i in range(n)]
+            rows += [(case, [f"g{g}"], [7 * i + (i % 3 - 1 if i or g else far), 5 * i], 0, 1) for i in range(n)]
+    df = spark.createDataFrame(rows, "case_id string, grp array<string>, xs array<bigint>, n_e bigint, n_a bigint")
+    assert {r.case_id for r in paired_cases(df).collect()} == {"one group", "groups", "small"}
+    assert len(sizes) >= 6 and sum(sizes) == df.groupBy("case_id", "grp", "xs").count().count() and max(sizes) <= 120
