@@ -423,8 +423,8 @@ def test_rows_meet_once_for_all_columns(spark):
 
 def test_groups_are_paired_in_batches(spark, monkeypatch):
     monkeypatch.setattr(matching, "_BATCH", 40)
-    rows, sizes, unpaired = [], [], matching._unpaired
-    monkeypatch.setattr(matching, "_unpaired", lambda nodes, tol: sizes.append(nodes.count()) or unpaired(nodes, tol))
+    rows, sizes, unsettled = [], [], matching._unsettled
+    monkeypatch.setattr(matching, "_unsettled", lambda rows, *rest: (rest[-1] == 0 and sizes.append(rows.count())) or unsettled(rows, *rest))
     for case, groups, far in (("one group", 1, 0), ("far", 1, 2), ("groups", 12, 0), ("far group", 12, 2), ("small", 1, 0), ("small, far", 1, 2)):
         n = 4 if groups == 12 else 3 if "small" in case else 60
         for g in range(groups):
@@ -433,3 +433,34 @@ def test_groups_are_paired_in_batches(spark, monkeypatch):
     df = spark.createDataFrame(rows, "case_id string, grp array<string>, xs array<bigint>, n_e bigint, n_a bigint")
     assert {r.case_id for r in paired_cases(df).collect()} == {"one group", "groups", "small"}
     assert len(sizes) >= 6 and sum(sizes) == df.groupBy("case_id", "grp", "xs").count().count() and max(sizes) <= 120
+
+
+def test_runs_that_reach_nothing_else_are_settled_alone(spark, monkeypatch):
+    """Dense noise on lines: few rows are left for the search; an uneven run decides its case; runs at borders are kept."""
+    rng = random.Random(11)
+    e = [(p, p // 40) for p in (rng.randrange(-5000, 5000) for _ in range(4000))]
+    a = [tuple(v + rng.choice((-1, 0, 1)) for v in x) for x in e]
+    rows = [(c, ["n"], list(x), n, 1 - n) for c, far in (("even", 0), ("uneven", 2)) for n, t in ((1, e), (0, [(max(e)[0] + far, max(e)[1]), *a[1:]] if far else a)) for x in t]
+    df = spark.createDataFrame(rows, "case_id string, grp array<string>, xs array<bigint>, n_e bigint, n_a bigint")
+    df = df.groupBy("case_id", "grp", "xs").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
+    # against all rows: what a run that was left out could reach is in it
+    all_rows = {(r.case_id, *r.xs): (r.n_e, r.n_a) for r in df.collect()}
+    for shift in (0, 1):
+        runs = matching._unsettled(df, 2, 1, shift).collect()
+        kept = {(r.case_id, *x.xs) for r in runs if not r.uneven for x in r.rows}
+        gone = all_rows.keys() - kept
+        if shift == 0:
+            assert len(gone) > len(all_rows) / 2
+        uneven = {r.case_id for r in runs if r.uneven}
+        for c, x, y in gone:
+            if c not in uneven:
+                reached = [(c, x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+                mixed = [k for k in reached if k in kept and ((all_rows[c, x, y][0] and all_rows[k][1]) or (all_rows[c, x, y][1] and all_rows[k][0]))]
+                assert not mixed
+    sizes, unpaired = [], matching._unpaired
+    monkeypatch.setattr(matching, "_unpaired", lambda nodes, tol: sizes.append(nodes.count()) or unpaired(nodes, tol))
+    even = df.filter("case_id = 'even'")
+    assert [r.case_id for r in paired_cases(even, weighed=True).collect()] == ["even"] and sizes[0] < even.count() / 4
+    uneven_rows = [("far", ["n"], [0, 0], 1, 0), ("far", ["n"], [2, 0], 0, 1), ("border", ["n"], [4095, 8], 1, 0), ("border", ["n"], [4096, 8], 0, 1)]
+    small = spark.createDataFrame(uneven_rows, df.schema)
+    assert {r.case_id for r in paired_cases(small).collect()} == {"border"}
